@@ -19,6 +19,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+SECONDS = {"spark": 0.0, "duck": 0.0}
+
+
 def _plain(value):
     if value is None:
         return "\0null"
@@ -42,12 +45,15 @@ def rows_of(columns, rows):
 
 def compare(spark, con, run, sql, sf_dir) -> str | None:
     """``None`` when equal, else a short account of the difference."""
+    start = time.time()
     df = run(spark, sf_dir)
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    SECONDS["spark"], start = time.time() - start, time.time()
     if sql is None:
         return None
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
+    SECONDS["duck"] = time.time() - start
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}"
     if got != want:
@@ -65,14 +71,13 @@ def main(argv: list[str]) -> int:
     chosen = [n for n in runs if not argv[1:] or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in argv[1:])]
     spark, con, bad = local_session(), duck(sf_dir), 0
     for name in chosen:
-        start = time.time()
         try:
             problem = compare(spark, con, runs[name], texts.get(name), sf_dir)
         except Exception as e:  # report and go on with the next query
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
         note = "" if name in texts else " (rows only)"
-        print(f"{'FAIL' if problem else 'ok  '} {name}{note} {time.time() - start:.1f}s {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name}{note} spark {SECONDS['spark']:.1f}s duck {SECONDS['duck']:.1f}s {problem or ''}", flush=True)
     return bad
 
 

@@ -88,6 +88,28 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def lookup_join(
+    stream: DataFrame,
+    build: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: Sequence[str],
+    rows_per_task: int = ROWS_PER_TASK,
+    max_broadcast_rows: int = 200_000,
+) -> DataFrame:
+    """Join a long, possibly skewed ``stream`` to a derived lookup table.
+
+    The lookup is written out and counted. Within the bound it is broadcast,
+    so the stream is not shuffled at all and its hot keys do not matter; past
+    the bound the join is salted. Both give the same rows.
+    """
+    table = materialise(build, "lookup")
+    hinted = broadcast_if_small(table, max_broadcast_rows)
+    if hinted is not table:
+        return stream.join(hinted, list(keys), how)
+    return salted_join(stream, table, keys, how, spread, rows_per_task)
+
+
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Cut every key's ordered rows into consecutive blocks of bounded size.
 

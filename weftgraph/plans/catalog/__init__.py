@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("graph", "reports")
+SUBJECTS = ("graph", "reports", "linking")
 
 
 def load() -> tuple[dict, dict]:

@@ -6,7 +6,7 @@ names in braces, so an oracle can start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -111,7 +111,7 @@ FROM {nation}
 
 # One consumer per order line; a MACHINERY customer lives in the service repo.
 ROUTE_CONSUMERS = """
-SELECT concat(CASE WHEN c_mktsegment = 'MACHINERY' THEN 'svc_' ELSE 'web_' END, lower(n_name), ':src/order_', CAST(l_orderkey AS STRING), '.ts:line_', CAST(l_linenumber AS STRING), ':', CAST(l_linenumber * 4 AS STRING)) AS id,
+SELECT concat(CASE WHEN c_mktsegment = 'MACHINERY' THEN 'svc_' ELSE 'web_' END, lower(n_name), ':src/order_', CAST(l_orderkey AS STRING), '.ts:line_', CAST(l_linenumber AS STRING), '_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING), l_returnflag, l_linestatus, ':', CAST(l_linenumber * 4 AS STRING)) AS id,
        concat(CASE WHEN c_mktsegment = 'MACHINERY' THEN 'svc_' ELSE 'web_' END, lower(n_name)) AS repo,
        CASE WHEN l_linestatus = 'F' AND l_returnflag = 'R' THEN '/'
             WHEN l_returnflag = 'R' THEN concat('https://gw.internal/v1/suppliers/', CAST(l_suppkey AS STRING), '/orders')
@@ -142,8 +142,15 @@ FROM {documents}
 """
 
 
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table; its schema is read from the file footer only once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
@@ -155,3 +162,24 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 def duck(text: str) -> str:
     """The same view for DuckDB, where the tables are registered by name."""
     return "(" + text.format(**{t: t for t in TABLES}) + ")"
+
+
+# One caller per order line with an import and a call; suppliers are the targets.
+IMPORT_NODES = """
+SELECT concat('web_', lower(cn.n_name), ':src/o', CAST(l_orderkey AS STRING), '.ts:line_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey AS STRING), l_returnflag, l_linestatus, ':', CAST(l_linenumber AS STRING)) AS id,
+       concat('web_', lower(cn.n_name)) AS repo, 'line' AS symbol_name, 'function' AS symbol_type,
+       split(CASE WHEN l_linenumber = 1 THEN concat('from requests import svc_', lower(sn.n_name))
+                  WHEN l_returnflag = 'R' THEN concat('./local;svc_', lower(sn.n_name), '.supplier_', CAST(l_suppkey AS STRING))
+                  WHEN l_linestatus = 'F' THEN concat('@acme/repo_SVC_', lower(sn.n_name), '/client;react')
+                  ELSE concat('xsvc_', lower(sn.n_name), ';lodash') END, ';') AS file_imports,
+       CASE WHEN l_returnflag = 'A' THEN concat('return SupplierClient.supplier_', CAST(l_suppkey AS STRING), '(line)')
+            ELSE concat('return supplier_', CAST(l_suppkey AS STRING), '(line)') END AS code_content,
+       l_orderkey * 10 + l_linenumber AS ordinal, l_suppkey AS suppkey
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {nation} cn ON c_nationkey = cn.n_nationkey JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} sn ON s_nationkey = sn.n_nationkey
+UNION ALL
+SELECT concat('repo_svc_', lower(n_name), ':app/s', CAST(s_suppkey AS STRING), '.py:supplier_', CAST(s_suppkey AS STRING), ':1'),
+       concat('repo_svc_', lower(n_name)), concat('supplier_', CAST(s_suppkey AS STRING)),
+       CASE WHEN s_acctbal < 1500 THEN 'endpoint' ELSE 'class' END, split('', ';'), '', -s_suppkey - 1, s_suppkey
+FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+"""
