@@ -125,7 +125,7 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_cu
 
 # --- tool calls, messages, texts -------------------------------------------
 TOOL_CALLS = """
-SELECT user_id AS session, event_id AS seq, ts, event_type AS tool, props AS args,
+SELECT user_id AS session, event_id AS seq, ts, event_type AS tool, CASE WHEN event_type = 'click' THEN '{{}}' ELSE props END AS args,
        CAST(floor(value) AS BIGINT) AS result_tokens, value AS duration_ms,
        concat('repo_', CAST(event_id % 17 AS STRING)) AS repo_ref,
        concat('repo_', CAST(event_id % 17 AS STRING), ':file_', CAST(event_id % 97 AS STRING)) AS file_ref
