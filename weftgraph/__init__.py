@@ -1,3 +1,11 @@
 """Code-graph analytics as PySpark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Python functions travel to the executors by value, so a cluster needs no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

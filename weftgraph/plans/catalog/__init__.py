@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("graph", "reports", "linking", "searching", "metering")
+SUBJECTS = ("graph", "reports", "linking", "searching", "metering", "extraction")
 
 
 def load() -> tuple[dict, dict]:
