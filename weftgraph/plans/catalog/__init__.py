@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("graph", "reports", "linking", "searching", "metering", "extraction")
+SUBJECTS = ("graph", "reports", "linking", "searching", "metering", "extraction", "planning")
 
 
 def load() -> tuple[dict, dict]:

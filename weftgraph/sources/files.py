@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from weftgraph.functions.routes import repo_name
 from weftgraph.operators import rules
@@ -62,7 +62,7 @@ def read_files(spark: SparkSession, root: str, include_all: bool = True, only_so
 
 def _utf8(data: Column) -> Column:
     """Decode with replacement; only invalid rows pay for the Python path."""
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def lenient(batch: pd.Series) -> pd.Series:
         return batch.map(lambda b: None if b is None else bytes(b).decode("utf-8", "replace"))
 
