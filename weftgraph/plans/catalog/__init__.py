@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-SUBJECTS = ("graph", "reports", "linking", "searching", "metering", "extraction", "planning")
+SUBJECTS = ("graph", "reports", "linking", "searching", "metering", "extraction", "planning", "storing")
 
 
 def load() -> tuple[dict, dict]:
