@@ -63,9 +63,10 @@ GUARD_STATE = T.StructType([
 ])
 
 
-def guardrails(calls: DataFrame, limits: Limits = Limits(), ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def guardrails(calls: DataFrame, limits: Limits = Limits(), ttl_ms: int | None = None, late: str = "1 hour") -> DataFrame:
     """Decision per call, as it arrives. The state of a session holds only its
-    recorded calls, at most ``max_tool_calls``, and expires after ``ttl_ms``."""
+    recorded calls, at most ``max_tool_calls``. With ``ttl_ms`` a session is
+    forgotten once the watermark has passed its last call by that much."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -96,11 +97,17 @@ def guardrails(calls: DataFrame, limits: Limits = Limits(), ttl_ms: int = 24 * 3
                 repos.update(row.repos)
                 files.update(row.files)
         state.update((calls_used, tokens, signatures, sorted(repos), sorted(files)))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            newest = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(out, columns=[f.name for f in DECISION.fields])
 
-    slim = calls.select("session", "seq", "tool", "args", "result_tokens", "repos", "files")
-    return slim.groupBy("session").applyInPandasWithState(step, DECISION, GUARD_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    slim = calls.select("session", "seq", "ts", "tool", "args", "result_tokens", "repos", "files")
+    timeout = GroupStateTimeout.NoTimeout
+    if ttl_ms is not None:
+        # event time, so that a bounded run ends: processing-time timers never do
+        slim, timeout = slim.withWatermark("ts", late), GroupStateTimeout.EventTimeTimeout
+    return slim.groupBy("session").applyInPandasWithState(step, DECISION, GUARD_STATE, "append", timeout)
 
 
 # --- conversation memory ----------------------------------------------------
