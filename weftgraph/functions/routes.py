@@ -13,16 +13,22 @@ PLAIN_SEGMENT = r"^[a-zA-Z0-9_\-\.]+$"
 CONSUMED_PATH = r"(/(?:api/)?(?:v[0-9]+/)?(?:api/)?[a-zA-Z0-9_\-/{}:]+)"
 
 
+# White space that ``strip`` removes from both ends.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+# Optional host, optional /api, one slash, then the path without end slashes.
+PATH_OF = r"(?s)^(?:https?://[^/]+)?(?:/?api(?=/))?/?(.*?)/*\z"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_route(route: Column) -> Column:
-    """Path of a route or URL: no query, no host, no ``/api``, no end slash."""
-    path = F.regexp_replace(strip(F.substring_index(route, "?", 1)), r"^https?://[^/]+", "")
-    # each step is one replacement, so the expression never repeats its input
-    path = F.regexp_replace(F.regexp_replace(path, "^(?!/)", "/"), "^/api/", "/")
-    return F.regexp_replace(F.regexp_replace(path, "^/+$", "/"), "(?<=[^/])/+$", "")
+    """Path of a route or URL: no query, no host, no ``/api``, no end slash.
+
+    One regular expression per route: this runs on every consumer.
+    """
+    return F.concat(F.lit("/"), F.regexp_extract(strip(F.substring_index(route, "?", 1)), PATH_OF, 1))
 
 
 def canonical_route(route: Column) -> Column:

@@ -95,7 +95,7 @@ def lookup_join(
     how: str,
     spread: Sequence[str],
     rows_per_task: int = ROWS_PER_TASK,
-    max_broadcast_rows: int = 200_000,
+    max_broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Join a long, possibly skewed ``stream`` to a derived lookup table.
 
