@@ -86,6 +86,20 @@ def python_facts(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_python_facts(t) for t in texts], columns=[f.name for f in PY_FACTS.fields])
 
 
+def _cached(build):
+    """Build a large expression once per Spark context, not once per call."""
+    made: dict[int, Column] = {}
+
+    @wraps(build)
+    def get() -> Column:
+        key = id(SparkContext._active_spark_context)
+        if key not in made:
+            made[key] = build()
+        return made[key]
+
+    return get
+
+
 # --- units ------------------------------------------------------------------
 
 def script_blocks(html: Column) -> Column:
@@ -120,8 +134,8 @@ def notebook_code(text: Column) -> Column:
     return F.array_join(F.transform(code, source), "")
 
 
-def code_parts(files: DataFrame) -> DataFrame:
-    """``(repo, file_path, parts)``: what to read of each file, by language.
+def raw_parts(files: DataFrame) -> DataFrame:
+    """``(repo, file_path, parts)``: the texts to read of each file.
 
     A single-file component yields one part per script block, a notebook its
     code; a component also yields a ``spare`` part that only counts when the
@@ -150,16 +164,26 @@ def syntax_facts(files: DataFrame) -> DataFrame:
     parsed exactly once although two branches use the result.
     """
     python = files.where(language_of(F.col("file_path")).isin("python", "notebook"))
-    text = code_parts(python).select(*FILE, F.get("parts", F.lit(0)).alias("p")).where("p.lang = 'python'")
+    text = raw_parts(python).select(*FILE, F.get("parts", F.lit(0)).alias("p")).where("p.lang = 'python'")
     return materialise(text.select(*FILE, python_facts(F.col("p.content")).alias("py")).select(*FILE, "py.*"), "syntax")
 
 
-def _lines_of(part: Column) -> Column:
-    return split_lines(part["content"])
+def code_parts(files: DataFrame) -> DataFrame:
+    """``(repo, file_path, parts)`` with the lines and imports of each part.
+
+    Both are worked out here, once per text and before the shuffle.
+    """
+    return raw_parts(files).select(*FILE, _split_parts().alias("parts"))
+
 
+def look_back(lines: Column, line_no: Column, above: int | Column) -> Column:
+    """A line and the ``above`` lines before it, as one text."""
+    return _joined(lines, line_no - above, line_no)
 
-def file_imports(lang: Column, content: Column, lines: Column, py_imports: Column) -> Column:
-    """Imported names of a file, in order. Java has none."""
+
+def file_imports(lang: Column, content: Column, lines: Column) -> Column:
+    """Imported names of a text, in order. Java has none; those of Python come
+    from its syntax tree."""
     def by_line(pattern: str) -> Column:
         return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != "")
 
@@ -168,7 +192,7 @@ def file_imports(lang: Column, content: Column, lines: Column, py_imports: Colum
         return F.when(text.rlike(r"^import\s*\("), quoted).otherwise(F.array(F.regexp_extract(text, r'"([^"]+)"', 1)))
 
     go = F.filter(F.flatten(F.transform(F.regexp_extract_all(content, F.lit(p.GO_IMPORT), F.lit(0)), go_block)), lambda x: x != "")
-    out = F.when(lang == "python", py_imports).when(lang == "go", go)
+    out = F.when(lang == "go", go)
     for name, pattern in p.LINE_IMPORTS.items():
         out = out.when(lang == name, by_line(pattern))
     for name, pattern in p.TEXT_IMPORTS.items():
@@ -217,29 +241,19 @@ def _joined(lines: Column, first: Column, last: Column) -> Column:
     return F.array_join(F.slice(lines, start, F.greatest(F.least(last, F.size(lines)) - start + 1, F.lit(0))), "")
 
 
-def _cached(build):
-    """Build a large expression once per Spark context, not once per call."""
-    made: dict[int, Column] = {}
-
-    @wraps(build)
-    def get() -> Column:
-        key = id(SparkContext._active_spark_context)
-        if key not in made:
-            made[key] = build()
-        return made[key]
+@_cached
+def _split_parts() -> Column:
+    def split(part: Column) -> Column:
+        return let(split_lines(part["content"]), lambda lines: F.struct(
+            part["lang"].alias("lang"), lines.alias("lines"), file_imports(part["lang"], part["content"], lines).alias("imports"),
+            part["line_offset"].alias("line_offset"), part["spare"].alias("spare")))
 
-    return get
+    return F.transform("parts", split)
 
 
 @_cached
 def _marked_lines() -> Column:
-    return F.transform(split_lines(F.col("content")), lambda x: F.struct(
-        x.alias("line"), declarations(F.col("lang"), x).alias("starts")))
-
-
-@_cached
-def _part_imports() -> Column:
-    return file_imports(F.col("lang"), F.col("content"), F.col("lines"), F.lit(None).cast("array<string>"))
+    return F.transform("lines", lambda x: F.struct(x.alias("line"), declarations(F.col("lang"), x).alias("starts")))
 
 
 @_cached
@@ -255,7 +269,7 @@ def _rule_nodes(parts: DataFrame, facts: DataFrame) -> DataFrame:
     """
     broken = facts.where(~F.col("parsed")).select(*FILE, F.lit(True).alias("broken"))
     each = parts.join(broken, FILE, "left").select(*FILE, "broken", F.posexplode("parts").alias("unit", "p")).select(
-        *UNIT, F.when(F.col("broken"), "broken_python").otherwise(F.col("p.lang")).alias("lang"), "p.content")
+        *UNIT, F.when(F.col("broken"), "broken_python").otherwise(F.col("p.lang")).alias("lang"), "p.lines")
     # a Python text that parses has no rules and yields no lines here
     ruled = F.when(F.col("lang") != "python", _marked_lines())
     lined = each.select(*UNIT, "lang", F.posexplode(ruled).alias("i", "l")).select(
@@ -263,8 +277,7 @@ def _rule_nodes(parts: DataFrame, facts: DataFrame) -> DataFrame:
     found = block_ends(lined)
     start = F.col("start_line")
     both = found.join(parts, FILE).withColumn("p", F.element_at("parts", F.col("unit") + 1)).select(
-        *UNIT, "lang", "style", "start_line", "start.*", "block_end", "p.content", "p.line_offset", "p.spare"
-    ).withColumn("lines", split_lines(F.col("content")))
+        *UNIT, "lang", "style", "start_line", "start.*", "block_end", "p.lines", "p.imports", "p.line_offset", "p.spare")
     near = _joined(F.col("lines"), start, start + 2).contains("{")
     # a C declaration needs a body: a { before any ; within five lines
     marks = F.filter(F.slice("lines", start, F.lit(5)), lambda x: x.contains("{") | x.contains(";"))
@@ -273,9 +286,9 @@ def _rule_nodes(parts: DataFrame, facts: DataFrame) -> DataFrame:
         "end_line", end_line(start, F.col("block_end"), F.col("style"), F.size("lines"), F.col("ending"), near))
     texted = ends.select(
         *UNIT, "lang", "start_line", "role", "kind", "name", "route", "verb", "rank", "end_line", "line_offset", "spare",
-        _part_imports().alias("imports"), _joined(F.col("lines"), start, F.col("end_line")).alias("block"),
+        "imports", _joined(F.col("lines"), start, F.col("end_line")).alias("block"),
         F.element_at("lines", start).alias("line"),
-        _joined(F.col("lines"), start - F.when(F.col("lang") == "go", 5).otherwise(3), start).alias("above"))
+        look_back(F.col("lines"), start, F.when(F.col("lang") == "go", 5).otherwise(3)).alias("above"))
     whole = Window.partitionBy(*UNIT)
     first_type = F.min(F.when(F.col("role") == "type", start)).over(whole)
     return texted.withColumn("first_type", first_type).withColumn(
@@ -311,8 +324,11 @@ def _rule_symbols(texted: DataFrame) -> DataFrame:
     has_imports = ~lang.isin("java", "broken_python") & ((lang != "c") | (F.col("nth") == 1))
     name = F.when(lang == "c", F.substring_index("name", "::", -1)).otherwise(F.col("name"))
     coded = role.isin("func", "route", "struct")
-    return full.withColumn("nth", nth).select(
-        *FILE, "spare", name.alias("symbol_name"), kind.alias("symbol_type"),
+    # a spare part counts only when no other part of the file gave a symbol
+    main = F.max(~F.col("spare")).over(Window.partitionBy(*FILE))
+    kept = full.withColumn("nth", nth).withColumn("main", main).where(~F.col("spare") | ~F.col("main"))
+    return kept.select(
+        *FILE, name.alias("symbol_name"), kind.alias("symbol_type"),
         (F.col("start_line") + F.col("line_offset")).alias("start_line"), (F.col("end_line") + F.col("line_offset")).alias("end_line"),
         F.regexp_replace(line, r"(?U)^\s+|\s+$", "").alias("signature"), F.lit("").alias("docstring"),
         F.when(coded, block).otherwise("").alias("code_content"), "end.endpoint_route", "end.http_method", "use.consumes_endpoint",
@@ -327,9 +343,9 @@ def _python_symbols(parts: DataFrame, facts: DataFrame) -> DataFrame:
             F.try_element_at("lines", s["start"]).alias("line"))
 
     lined = parts.join(facts.where("parsed"), FILE).select(
-        *FILE, "imports", "symbols", _lines_of(F.get("parts", F.lit(0))).alias("lines"))
+        *FILE, "imports", "symbols", F.get("parts", F.lit(0))["lines"].alias("lines"))
     each = lined.select(*FILE, "imports", F.explode(F.transform("symbols", text)).alias("t")).select(
-        *FILE, F.lit(False).alias("spare"), "imports", "t.s.*", "t.block", "t.line")
+        *FILE, "imports", "t.s.*", "t.block", "t.line")
 
     def contract(x: Column) -> Column:
         end = F.when(x["kind"] != "class", c.python_endpoint(x["decorators"]))
@@ -338,7 +354,7 @@ def _python_symbols(parts: DataFrame, facts: DataFrame) -> DataFrame:
 
     shaped = each.withColumn("found", let(F.struct("kind", "decorators", "block"), contract)).select("*", "found.*").drop("found")
     return shaped.select(
-        *FILE, "spare", F.col("name").alias("symbol_name"),
+        *FILE, F.col("name").alias("symbol_name"),
         F.when(F.col("end_").isNotNull(), "endpoint").otherwise(F.col("kind")).alias("symbol_type"),
         F.col("start").alias("start_line"), F.col("end").alias("end_line"),
         F.regexp_replace("line", r"(?U)^\s+|\s+$", "").alias("signature"), "docstring", F.col("block").alias("code_content"),
@@ -355,11 +371,9 @@ def extract_symbols(files: DataFrame) -> DataFrame:
     facts = syntax_facts(clean)
     parts = code_parts(clean).repartition(*FILE)
     found = _rule_symbols(_rule_nodes(parts, facts)).unionByName(_python_symbols(parts, facts), allowMissingColumns=True)
-    main = F.max(~F.col("spare")).over(Window.partitionBy(*FILE))
-    kept = found.withColumn("main", main).where(~F.col("spare") | ~F.col("main"))
     nid = node_id(F.col("repo"), F.col("file_path"), F.col("symbol_name"), F.col("start_line"))
     parent = F.when(F.col("parent_start").isNotNull(), node_id(F.col("repo"), F.col("file_path"), F.col("parent_class"), F.col("parent_start")))
-    return conform(kept.withColumn("id", nid).withColumn("parent_id", parent), T.StructType([*NODES.fields, T.StructField("parent_id", T.StringType())]))
+    return conform(found.withColumn("id", nid).withColumn("parent_id", parent), T.StructType([*NODES.fields, T.StructField("parent_id", T.StringType())]))
 
 
 def defines_edges(symbols: DataFrame) -> DataFrame:

@@ -133,13 +133,16 @@ def node_id(spark, sf):
     return _symbols(spark, sf, "ts").select("repo", "file_path", "symbol_name", "id")
 
 
-@BOOK.query("""WITH l AS (SELECT conv_id, turn, role, string_agg(role, ' ') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS above FROM conversations)
-SELECT conv_id, turn, (regexp_extract(above, '(user|assistant)', 1)) AS earliest FROM l""")
+@BOOK.query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+k AS (SELECT doc_id, CASE WHEN p[-1] = '' THEN p[:len(p) - 1] ELSE p END AS p FROM l),
+e AS (SELECT doc_id, generate_subscripts(p, 1) AS line_no, p FROM k)
+SELECT doc_id, line_no, regexp_extract(array_to_string(p[greatest(line_no - 3, 1):line_no], chr(10)), '([A-Z][a-z]+)', 1) AS earliest FROM e""")
 def lookback_annotation(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-3, 0)
-    above = F.array_join(F.collect_list("role").over(w), " ")
-    return views.table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_extract(above, "(user|assistant)", 1).alias("earliest"))
+    """First capitalised word in each line and the three lines above it."""
+    lines = views.table(spark, sf, "documents").select("doc_id", f.split_lines(F.col("text")).alias("lines"))
+    above = F.transform("lines", lambda line, i: x.look_back(F.col("lines"), i + 1, 3))
+    return lines.select("doc_id", F.posexplode(above).alias("i", "above")).select(
+        "doc_id", (F.col("i") + 1).alias("line_no"), F.regexp_extract("above", "([A-Z][a-z]+)", 1).alias("earliest"))
 
 
 P = f"p AS (SELECT concat(repo, ':', file_path, ':') AS base, regexp_extract(file_path, '_([0-9]+)', 1) AS s FROM {views.duck(service_files(('python',)))})"
