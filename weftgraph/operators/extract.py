@@ -169,10 +169,8 @@ def syntax_facts(files: DataFrame) -> DataFrame:
 
 
 def code_parts(files: DataFrame) -> DataFrame:
-    """``(repo, file_path, parts)`` with the lines and imports of each part.
-
-    Both are worked out here, once per text and before the shuffle.
-    """
+    """``(repo, file_path, parts)`` with the lines and imports of each part,
+    worked out once per text."""
     return raw_parts(files).select(*FILE, _split_parts().alias("parts"))
 
 
@@ -262,14 +260,17 @@ def _contract() -> Column:
     return let(F.struct(*inputs), _rule_contract)
 
 
-def _rule_nodes(parts: DataFrame, facts: DataFrame) -> DataFrame:
+def _rule_nodes(placed: DataFrame, facts: DataFrame) -> DataFrame:
     """Declarations of all languages that are read by rules, with their texts.
 
-    ``parts`` is partitioned by file; both uses read the same shuffle.
+    ``placed`` is partitioned by file; both uses read the same shuffle.
     """
+    parts = code_parts(placed)
     broken = facts.where(~F.col("parsed")).select(*FILE, F.lit(True).alias("broken"))
-    each = parts.join(broken, FILE, "left").select(*FILE, "broken", F.posexplode("parts").alias("unit", "p")).select(
-        *UNIT, F.when(F.col("broken"), "broken_python").otherwise(F.col("p.lang")).alias("lang"), "p.lines")
+    # parts are never empty; the outer form keeps a size filter from being
+    # pushed below the shuffle
+    each = raw_parts(placed).join(broken, FILE, "left").select(*FILE, "broken", F.posexplode_outer("parts").alias("unit", "p")).select(
+        *UNIT, F.when(F.col("broken"), "broken_python").otherwise(F.col("p.lang")).alias("lang"), split_lines(F.col("p.content")).alias("lines"))
     # a Python text that parses has no rules and yields no lines here
     ruled = F.when(F.col("lang") != "python", _marked_lines())
     lined = each.select(*UNIT, "lang", F.posexplode(ruled).alias("i", "l")).select(
@@ -335,15 +336,15 @@ def _rule_symbols(texted: DataFrame) -> DataFrame:
         "use.consumes_http_method", "use.target_base_url", F.when(has_imports, F.col("imports")).alias("file_imports"), "receiver")
 
 
-def _python_symbols(parts: DataFrame, facts: DataFrame) -> DataFrame:
+def _python_symbols(placed: DataFrame, facts: DataFrame) -> DataFrame:
     """Symbols of Python texts, from the syntax tree's facts."""
     def text(s: Column) -> Column:
         return F.struct(
             s.alias("s"), F.array_join(F.slice("lines", s["start"], s["end"] - s["start"] + 1), "").alias("block"),
             F.try_element_at("lines", s["start"]).alias("line"))
 
-    lined = parts.join(facts.where("parsed"), FILE).select(
-        *FILE, "imports", "symbols", F.get("parts", F.lit(0))["lines"].alias("lines"))
+    lined = raw_parts(placed).join(facts.where("parsed"), FILE).select(
+        *FILE, "imports", "symbols", split_lines(F.get("parts", F.lit(0))["content"]).alias("lines"))
     each = lined.select(*FILE, "imports", F.explode(F.transform("symbols", text)).alias("t")).select(
         *FILE, "imports", "t.s.*", "t.block", "t.line")
 
@@ -367,10 +368,15 @@ def extract_symbols(files: DataFrame) -> DataFrame:
 
     ``parent_id`` is the class of a Python method.
     """
-    clean = files.select("repo", F.regexp_replace(F.translate("file_path", "\\", "/"), "^/+|/+$", "").alias("file_path"), "content")
+    # never null, so that no branch adds a null filter of its own below the
+    # shuffle: branches that differ there do not share it
+    path = F.regexp_replace(F.translate("file_path", "\\", "/"), "^/+|/+$", "")
+    clean = files.select(F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce(path, F.lit("")).alias("file_path"), "content")
     facts = syntax_facts(clean)
-    parts = code_parts(clean).repartition(*FILE)
-    found = _rule_symbols(_rule_nodes(parts, facts)).unionByName(_python_symbols(parts, facts), allowMissingColumns=True)
+    # only plain columns below the shuffle: branches that hold the same shuffle
+    # share it, and lambda variables would make them look different
+    placed = clean.repartition(*FILE)
+    found = _rule_symbols(_rule_nodes(placed, facts)).unionByName(_python_symbols(placed, facts), allowMissingColumns=True)
     nid = node_id(F.col("repo"), F.col("file_path"), F.col("symbol_name"), F.col("start_line"))
     parent = F.when(F.col("parent_start").isNotNull(), node_id(F.col("repo"), F.col("file_path"), F.col("parent_class"), F.col("parent_start")))
     return conform(found.withColumn("id", nid).withColumn("parent_id", parent), T.StructType([*NODES.fields, T.StructField("parent_id", T.StringType())]))
