@@ -25,19 +25,24 @@ REMEMBERED = 200_000
 
 
 class Bands:
-    """Size bands for a similarity of ``percent`` / 100, with their difference bound and split."""
+    """Size bands for a similarity of ``percent`` / 100, with their difference bound and split.
+
+    spare: how many groups a band has beyond those that the bound asks for.
+    """
 
     def __init__(self, percent: int):
-        self.low, self.groups, self.parts, self.away = [1], [], [], []
+        self.low, self.groups, self.parts, self.away, self.spare = [1], [], [], [], []
         while self.low[-1] < 1 << 40:
             high = 100 * self.low[-1] // percent
             k = 2 * high * (100 - percent) // (100 + percent)
             away = 0 if k == 0 else 1 if k == 1 or k > 12 else 2
             self.away.append(away)
             self.parts.append({0: 1, 1: 4 if k == 1 else 2, 2: 5}[away])
-            self.groups.append(1 if k < 2 else k // 2 + 2 if k > 12 else k // 3 + 1)
+            self.spare.append(2 + k // 100 if k > 12 else 0)
+            self.groups.append(1 if k < 2 else k // 2 + 1 + self.spare[-1] if k > 12 else k // 3 + 1)
             self.low.append(high + 1)
-        self.low, self.groups, self.parts, self.away = map(np.array, (self.low, self.groups, self.parts, self.away))
+        self.low, self.groups, self.parts, self.away, self.spare = map(
+            np.array, (self.low, self.groups, self.parts, self.away, self.spare))
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -46,9 +51,9 @@ class Bands:
 def signatures(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(set, signature) of sets given as (set, shingle) pairs; for each set's own band and the next.
 
-    A band of large sets has one group more than it needs, so at most one group
-    of a set may be left out: signatures of no shingle are kept only where more
-    of its groups have one.
+    Bands of large sets have spare groups, so as many groups of a set may be
+    left out: signatures of no shingle, which unlike sets would share, are kept
+    only where more of its groups have one.
     """
     own, weight = bands.of(sizes), mix(values + np.uint64(0x51ED270B9F2F2C6D))
     for step in (0, 1):
@@ -74,9 +79,8 @@ def signatures(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bands: B
             sums = np.stack([sum(total[:, j] for j in s) for s in subsets], axis=1)
             empty = np.stack([sum(count[:, j] for j in s) for s in subsets], axis=1) == 0
             owner = np.repeat(np.arange(len(chosen)), groups)
-            spare = 1 if parts == 2 else 0
             weak = np.bincount(owner, weights=empty.any(axis=1), minlength=len(chosen))
-            keep = ~empty | (weak > spare)[owner][:, None]
+            keep = ~empty | (weak > bands.spare[band[chosen]])[owner][:, None]
             number = np.arange(len(owner)) - first[owner]
             name = (band[chosen][owner].astype(np.uint64) << np.uint64(40)) + (number * len(subsets)).astype(np.uint64)
             named = mix(name[:, None] + np.arange(len(subsets), dtype=np.uint64))
