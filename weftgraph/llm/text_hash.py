@@ -8,7 +8,6 @@ equal hashes in every task; different words collide with probability 2^-64.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,18 +54,19 @@ NOT_SPACE = byte_class((0, 8), (14, 31), (33, 255))
 LETTERS = byte_class((48, 57), (65, 90), (97, 122), (128, 255))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, count: int) -> np.ndarray:
-    out = np.full(count, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, count: int) -> np.ndarray:
-    size = 1 << 16
-    while size < count:
-        size *= 2
-    return _powers(base, size)[:count] if size <= 4 * CHUNK_BYTES else _powers.__wrapped__(base, count)
+    """base ** 0, 1, ... modulo 2^64; short runs are kept for the task."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < count:
+        kept = np.full(max(count, 1 << 16), base, dtype=np.uint64)
+        kept[0] = 1
+        kept = np.cumprod(kept, dtype=np.uint64)
+        if count <= 2 * CHUNK_BYTES:
+            _POWERS[base] = kept
+    return kept[:count]
 
 
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
