@@ -133,28 +133,42 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(set_key, shingles) of the rows whose set has the key asked for; once for each key in a task."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            for _, _, rows, values, sizes, key in _sets(batch, words):
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            for begin, end, _, values, sizes, key in _sets(batch, words):
+                asked = batch.column("set_key").slice(begin, end - begin).to_pylist()
+                ends = np.cumsum(sizes)
+                keep = []
+                for i, k in enumerate(signed(key).tolist()):
+                    if k == asked[i] and k not in done:
+                        done.add(k)
+                        keep.append(i)
+                if len(done) > REMEMBERED:
+                    done.clear()
+                lists = [pa.array(signed(values[ends[i] - sizes[i] : ends[i]])) for i in keep]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                flat = pa.concat_arrays(lists) if lists else pa.array([], type=pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(key)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(values)))],
+                    [pa.array([asked[i] for i in keep], type=pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
                     ["set_key", "shingles"])
 
-    return docs.select("text").mapInArrow(read, "set_key long, shingles array<long>")
+    return docs.select("text", "set_key").mapInArrow(read, "set_key long, shingles array<long>")
 
 
 def _alike(percent: int, common: Column, a: Column, b: Column) -> Column:
     return 100 * common >= percent * (a + b - common)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose sets are similar, counted exactly."""
+def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, common, linked) of distinct pairs (a, b): their common shingles, and whether they are similar."""
     left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("_sa"), F.col("n").alias("_na"))
     right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("_sb"), F.col("n").alias("_nb"))
     common = F.size(F.array_intersect("_sa", "_sb"))
-    return (pairs.join(left, "a").join(right, "b")
-            .where(_alike(percent, common, F.col("_na"), F.col("_nb"))).select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("common"), "_na", "_nb").select(
+        "a", "b", "common", _alike(percent, F.col("common"), F.col("_na"), F.col("_nb")).alias("linked"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -172,9 +186,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     a signature with a different set, those with too many shingles that no
     other such set has are dropped, as they can't be similar to any. Then every
     signature compares its sets with one hub, the set with the fewest such
-    shingles; sets already connected are not compared again, and only pairs of
-    different components that still share a signature are, and only if their
-    sizes and their common shingles at most allow it.
+    shingles; sets that are connected with it are not compared with each other, and
+    only the others of the same hub are compared with all of its sets, if what
+    both have in common with the hub, and what else they may share, allows it.
     """
     scratch = Scratch(docs.sparkSession, "part_enum")
     digests = scratch.save(set_digests(docs, words), "digests")
@@ -190,10 +204,8 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
               .select("set_key", F.coalesce("rep", F.lit(-(1 << 63))).alias("_id")))
     wanted = scratch.save(wanted, "wanted")
     some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text").join(
-        wanted.select("_id").distinct(), "_id", "left_semi")
-    sets = scratch.save(
-        _shingle_sets(some, words).groupBy("set_key").agg(F.first("shingles").alias("shingles"))
-        .join(wanted.select("set_key"), "set_key", "left_semi"), "sets")
+        wanted.hint("merge"), "_id")
+    sets = scratch.save(_shingle_sets(some, words), "sets")
     alone = (sets.select("set_key", F.explode("shingles").alias("shingle"))
              .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n = 1")
              .groupBy("set_key").agg(F.count(F.lit(1)).alias("private")))
@@ -203,22 +215,31 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     facts = kept.select("set_key", "n", "private")
     members = scratch.save(shared.distinct().join(facts, "set_key"), "members")
     hubs = members.groupBy("signature").agg(F.min(F.struct("private", "set_key")).alias("hub"))
-    star = (members.join(hubs, "signature").where("set_key <> hub.set_key")
-            .select(F.col("hub.set_key").alias("a"), F.col("set_key").alias("b")).distinct())
-    links = scratch.save(_linked(star, kept, percent), "star")
+    members = members.join(hubs.select("signature", F.col("hub.set_key").alias("hub")), "signature")
+    star = members.where("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars = scratch.save(_counted(star, kept, percent), "star")
+    links = stars.where("linked").select("a", "b")
     found = scratch.save(components(links, scratch), "found")
-    placed = members.join(found, members.set_key == found.node, "left").select(
-        "signature", "set_key", "n", "private", F.coalesce("component", "set_key").alias("component"))
-    open_ones = placed.groupBy("signature").agg(F.min("component").alias("_x"), F.max("component").alias("_y")).where("_x <> _y")
-    placed = scratch.save(placed.join(open_ones.select("signature"), "signature", "left_semi"), "open")
-    other = placed.select("signature", *[F.col(c).alias(f"o_{c}") for c in ("set_key", "n", "private", "component")])
-    most = F.least(F.col("n") - F.col("private"), F.col("o_n") - F.col("o_private"))
-    rest = (placed.join(other, "signature")
-            .where((F.col("set_key") < F.col("o_set_key")) & (F.col("component") != F.col("o_component"))
+    # inner: shingles that a set has in common with the hub; outer: others that some set may share.
+    inner, is_hub = F.coalesce("common", F.col("n").cast("int")), F.col("set_key") == F.col("hub")
+    # A row for each hub and set: sets that share a signature share its hub.
+    main = found.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    placed = scratch.save(
+        members.select("hub", "set_key", "n", "private").distinct().join(found, F.col("set_key") == found.node, "left")
+        .join(stars.select(F.col("a").alias("hub"), F.col("b").alias("set_key"), "common"), ["hub", "set_key"], "left")
+        .join(main, "hub", "left")
+        .select("hub", "set_key", "n", inner.alias("inner"),
+                F.when(is_hub, 0).otherwise(F.col("n") - inner - F.col("private")).alias("outer"),
+                F.coalesce("component", "set_key").alias("component"), F.coalesce("main", "hub").alias("main")), "placed")
+    apart = placed.where("component <> main")
+    other = placed.select("hub", *[F.col(c).alias(f"o_{c}") for c in ("set_key", "n", "inner", "outer", "component", "main")])
+    most = F.least("inner", "o_inner") + F.least("outer", "o_outer")
+    rest = (apart.join(other, "hub")
+            .where((F.col("component") != F.col("o_component")) & ((F.col("o_component") == F.col("o_main")) | (F.col("set_key") < F.col("o_set_key")))
                    & _alike(percent, most, F.col("n"), F.col("o_n")))
-            .select(F.col("set_key").alias("a"), F.col("o_set_key").alias("b")).distinct()
-            .join(links, ["a", "b"], "left_anti"))
-    late = scratch.save(_linked(rest, kept, percent), "late")
+            .select(F.least("set_key", "o_set_key").alias("a"), F.greatest("set_key", "o_set_key").alias("b")).distinct()
+            .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    late = scratch.save(_counted(rest, kept, percent).where("linked").select("a", "b"), "late")
     if late.take(1):
         found = scratch.save(components(
             late.unionByName(found.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))),
@@ -231,7 +252,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     groups = (named.where("linked").join(names, "component").select("set_key", "component_id")
               .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"))))
     groups = scratch.save(groups, "groups")
-    scratch.drop(shared, wanted, sets, kept, members, links, found, placed, late)
+    scratch.drop(shared, wanted, sets, kept, stars, found, placed, late)
     key = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return (digests.withColumn("set_key", key).join(groups, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
