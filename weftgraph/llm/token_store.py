@@ -132,7 +132,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, part = Encoder(path, cut_lower_words, f"<u{width}"), TaskContext.get().partitionId()
+        use, part = Encoder(path, cut_lower_words, f"<u{width}", separator=" "), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         ids: list[int | None] = []
         payloads: list[bytes] = []

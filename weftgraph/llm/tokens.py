@@ -10,50 +10,79 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import unicodedata
 
 import numpy as np
 
-#: Pieces kept by a task; past it the store starts anew, which costs time only.
-KEPT = 500_000
+#: Pieces kept by a worker process; past it the store starts anew, which costs time only.
+KEPT = 700_000
 
-_LETTER_MARK = re.compile(r"(?<=[^\W\d_])(?=[,.])")
-# Runs of white space, white space other than blank and line feed, NUL, and what may open a special token.
-_UNSURE_BYTES = re.compile(r"\s\s|[^\S \n]|\x00|<\|")
+# A sign, but for the apostrophe, right behind a letter. It comes first in the pattern, so the search skips to it.
+_LETTER_MARK = re.compile(r"[,.!?;:#$%&*](?<=[^\W\d_].)")
+# White space other than blank and line feed, and NUL.
+_ODD_SPACE = re.compile(r"[^\S \n]")
 # Letters whose lower case depends on what is around or is longer, separators that libraries see differently.
-_UNSURE_WORDS = re.compile("[\x00\x1c-\x1fΣİ]|<\\|")
+_ODD_LETTER = re.compile("[\x00\x1c-\x1fΣİ]")
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\x00", "<|")
 
 
 def cut_byte_level(text: str) -> list[str] | None:
-    """Pieces for a byte-level tokenizer: a blank goes with the word after it. None: not certain."""
-    if _UNSURE_BYTES.search(text):
+    """Pieces for a byte-level tokenizer: a blank goes with the word after it. None: not certain.
+
+    Not certain are runs of white space, white space of other kinds, and what may open a special token.
+    """
+    if any(x in text for x in _RUNS) or _ODD_SPACE.search(text):
         return None
-    text = _LETTER_MARK.sub("\x00", text)
+    text = _LETTER_MARK.sub("\x00\\g<0>", text)
     return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
 
 def cut_lower_words(text: str) -> list[str] | None:
     """Pieces for a lower-casing tokenizer that drops white space. None: not certain."""
-    if _UNSURE_WORDS.search(text) or not unicodedata.is_normalized("NFC", text):
+    if "<|" in text or _ODD_LETTER.search(text) or not (text.isascii() or unicodedata.is_normalized("NFC", text)):
         return None
-    return _LETTER_MARK.sub(" ", text.lower()).split()
+    return _LETTER_MARK.sub(" \\g<0>", text.lower()).split()
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file; ids come as bytes of little-endian numbers."""
+    """Encodes texts with one tokenizer file; ids come as bytes of little-endian numbers.
+
+    ``separator`` has no ids of its own and may stand between any two pieces.
+    """
 
-    def __init__(self, path: str, cut, dtype: str):
+    def __init__(self, path: str, cut, dtype: str, separator: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut, self.dtype, self.kept = cut, dtype, {}
+        self.cut, self.dtype, self.separator = cut, dtype, separator
+        # Functions of this package travel to the workers by value, so what is to outlive a task
+        # is held by a module of the process itself.
+        holder = sys.modules.setdefault("weftgraph_kept", types.ModuleType("weftgraph_kept"))
+        self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{path}|{dtype}", {})
 
     def _call(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces; many of them in one call if something without ids can part them."""
+        if self.separator is None:
+            return self._call(pieces)
+        out = []
+        for begin in range(0, len(pieces), 2000):
+            part = pieces[begin : begin + 2000]
+            found = self.tokenizer.encode(self.separator.join(part), add_special_tokens=False)
+            starts = np.cumsum([0] + [len(p) + len(self.separator) for p in part[:-1]])
+            first = np.searchsorted(np.array([a for a, _ in found.offsets], dtype=np.int64), np.append(starts, 1 << 60))
+            ids, width = np.array(found.ids, dtype=self.dtype).tobytes(), np.dtype(self.dtype).itemsize
+            places = (first * width).tolist()
+            out += [ids[a:b] for a, b in zip(places, places[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         pieces = [self.cut(t) for t in texts]
         fresh = set()
@@ -65,7 +94,7 @@ class Encoder:
             self.kept.clear()
             fresh = {x for p in pieces if p is not None for x in p}
         new = list(fresh)
-        self.kept.update(zip(new, self._call(new)))
+        self.kept.update(zip(new, self._pieces(new)))
         get = self.kept.__getitem__
         whole = iter(self._call([t for t, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
