@@ -35,11 +35,12 @@ class Bands:
         while self.low[-1] < 1 << 40:
             high = 100 * self.low[-1] // percent
             k = 2 * high * (100 - percent) // (100 + percent)
-            away = 0 if k == 0 else 1 if k == 1 or k > 12 else 2
+            # Single parts of pairs make the fewest signatures, but only if each then holds enough shingles to tell sets apart.
+            away, parts = (0, 1) if k == 0 else (1, 4) if k == 1 else (2, 5) if k <= 12 else (1, 2) if self.low[-1] >= 4.5 * k else (2, 4)
             self.away.append(away)
-            self.parts.append({0: 1, 1: 4 if k == 1 else 2, 2: 5}[away])
+            self.parts.append(parts)
             self.spare.append(2 + k // 100 if k > 12 else 0)
-            self.groups.append(1 if k < 2 else k // 2 + 1 + self.spare[-1] if k > 12 else k // 3 + 1)
+            self.groups.append(1 if k < 2 else k // (away + 1) + 1 + self.spare[-1])
             self.low.append(high + 1)
         self.low, self.groups, self.parts, self.away, self.spare = map(
             np.array, (self.low, self.groups, self.parts, self.away, self.spare))
@@ -58,7 +59,7 @@ def signatures(rows: np.ndarray, values: np.ndarray, sizes: np.ndarray, bands: B
     own, weight = bands.of(sizes), mix(values + np.uint64(0x51ED270B9F2F2C6D))
     for step in (0, 1):
         band = own + step
-        for away, parts in ((1, 4), (2, 5), (1, 2)):
+        for away, parts in ((1, 4), (2, 5), (1, 2), (2, 4)):
             chosen = np.flatnonzero((sizes > 0) & (bands.away[band] == away) & (bands.parts[band] == parts))
             if not len(chosen):
                 continue
