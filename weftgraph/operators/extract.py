@@ -51,10 +51,8 @@ def _python_facts(text: str | None) -> tuple:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             body = ast.parse(text).body
-    except (SyntaxError, ValueError):
-        return (False, None, None)
-    except (RecursionError, MemoryError):
-        return (True, [], [])
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return (False, None, None)  # the line rules read the text instead
     imports, symbols = [], []
 
     def add(item, kind, parent=None):

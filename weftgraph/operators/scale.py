@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftgraph.session import materialise
 
 ROWS_PER_TASK = 2_000_000
-MAX_HOT_KEYS = 10_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -29,15 +28,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more rows than one task should take, and their salt count.
 
-    Holds at most ``MAX_HOT_KEYS`` rows whatever the input size, because only
-    the heaviest keys are kept; a key outside the list is merely not salted.
+    Every key past the bound is listed, so there are at most rows /
+    ``rows_per_task`` of them. Spark chooses how to join the list by its size.
     """
     return (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
     )
 
@@ -49,7 +46,7 @@ def salt_stream_side(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread:
         null_key = null_key | F.col(key).isNull()
     fan = F.xxhash64(*spread)
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        df.join(hot, list(keys), "left")
         .withColumn(
             "_salt",
             F.when(null_key, F.pmod(fan, F.lit(1024)))
@@ -64,7 +61,7 @@ def salt_stream_side(df: DataFrame, hot: DataFrame, keys: Sequence[str], spread:
 def salt_build_side(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Repeat the rows of hot keys once per salt."""
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        df.join(hot, list(keys), "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
         .drop("_salts")
     )

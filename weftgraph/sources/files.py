@@ -49,10 +49,11 @@ def filter_source_files(files: DataFrame, include_all: bool = True) -> DataFrame
 
 def read_files(spark: SparkSession, root: str, include_all: bool = True, only_sources: bool = True) -> DataFrame:
     """Every file below ``root/<repo>/…``; bytes that are not UTF-8 become
-    replacement characters. The path filter runs before the bytes are read."""
+    replacement characters."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/")
-    inner = F.substring_index(F.col("path"), base + "/", -1)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    inner = F.col("path").substr(F.lit(len(base) + 2), F.length("path"))
     named = raw.withColumn("inner", inner).select(
         repo_name(F.substring_index("inner", "/", 1)).alias("repo"),
         F.expr("substring(inner, locate('/', inner) + 1)").alias("file_path"), "content")
