@@ -1,12 +1,15 @@
 """Small facts about routes, extraction, linking and streams."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftgraph.functions import routes as r
-from weftgraph.operators import link, memory
-from weftgraph.operators.extract import extract_symbols
+from weftgraph.operators import link, memory, search
+from weftgraph.operators.extract import extract_symbols, notebook_code
 from weftgraph.plans.index import index_files, with_ordinal
+from weftgraph.sources import tables
 from weftgraph.sources.files import explode_lines, read_files
+from weftgraph.streaming import jobs
 
 
 def one(spark, column):
@@ -90,6 +93,52 @@ def test_index_links_two_repositories(spark):
     assert [(e.edge_type, e.caller_repo, e.target_repo) for e in edge] == [("consumes_api", "web", "svc_users")]
 
 
+def test_stream_links_and_forgets(spark, tmp_path):
+    inbox, store = str(tmp_path / "in"), str(tmp_path / "store")
+    schema = "repo string, file_path string, content string, version int"
+    first = [("svc_users", "a.py", '@app.get("/v1/users/{user_id}")\ndef get_user(user_id):\n    return 1\n', 1),
+             ("web", "b.ts", "export function load(id) {\n  return fetch('/v1/users/user_9921');\n}\n", 1),
+             ("web", "b.ts", "export function early(id) {\n  return 1;\n}\n", 0), ("old", "c.py", "def c():\n    pass\n", 1), ("old one", "d.py", "def d():\n    pass\n", 1)]
+    second = [("old", "c.py", "# nothing", 2), ("old one", "d.py", None, 2)]
+    seen = []
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        jobs.ingest(spark.readStream.schema(schema).parquet(inbox), store, version="version").awaitTermination()
+        seen.append(sorted(n.symbol_name for n in tables.all_nodes(spark, f"{store}/nodes").collect()))
+        edges = tables.all_edges(spark, f"{store}/edges").collect()
+        assert [(e.edge_type, e.caller_repo, e.target_repo) for e in edges] == [("consumes_api", "web", "svc_users")]
+    assert seen == [["c", "d", "get_user", "load"], ["get_user", "load"]]
+
+
+def test_notebook_cells_keep_their_text(spark):
+    text = '{"cells": [{"cell_type": "code", "source": ["a = 1\\n", "b"]}, {"cell_type": "code", "source": "[\\"a\\", \\"b\\"]"}, {"cell_type": "markdown", "source": "x"}]}'
+    assert one(spark, notebook_code(F.lit(text))) == 'a = 1\nb\n["a", "b"]\n'
+
+
+def test_vector_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"r{i % 3}", rng.integers(-3, 4, 4).astype(float).tolist() if i % 11 else None) for i in range(90)]
+    vectors = spark.createDataFrame(rows, "id long, repo string, embedding array<double>")
+    queries = [(i, "r1" if i % 2 else None, rows[i][2]) for i in range(40)]
+    monkeypatch.setattr(search, "QUERIES_PER_BLOCK", 7)
+    got = {}
+    for r in search.cosine_topk_batch(vectors, spark.createDataFrame(queries, "query_id long, repo string, embedding array<double>"), 3).collect():
+        got.setdefault(r.query_id, []).append((round(r.score, 9), r.rank))
+
+    def cos(a, b):
+        return 0.0 if not a or not b or not any(a) or not any(b) else float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+
+    for i, repo, v in queries:
+        want = sorted((round(cos(v, w), 9) for _, r, w in rows if repo in (None, r)), reverse=True)[:3]
+        assert sorted(got[i], key=lambda x: x[1]) == [(s, k + 1) for k, s in enumerate(want)]
+
+
+def test_text_session_ids(spark):
+    df = spark.createDataFrame([("s-1", t, "user", "w" * 40) for t in range(6)], "session string, turn long, role string, text string")
+    kept = memory.compact(df, 3, 10_000)
+    assert {r.session for r in kept.collect()} == {"s-1"} and kept.where("kind = 'window'").count() == 3
+
+
 def test_root_needs_a_named_host(spark):
     nodes = spark.createDataFrame([
         ("p", "repo_pay_core", "home", "endpoint", "/", "GET", None, None, None), ("c1", "web", "u1", "function", None, None, "/", "GET", None),

@@ -120,13 +120,13 @@ def script_blocks(html: Column) -> Column:
 
 def notebook_code(text: Column) -> Column:
     """Code cells of a notebook, each followed by a newline; null if broken."""
-    cells = F.from_json(F.get_json_object(text, "$.cells"), "array<struct<cell_type:string,source:string>>")
+    cells = F.from_json(F.get_json_object(text, "$.cells"), "array<struct<cell_type:string,source:variant>>")
     code = F.filter(cells, lambda x: x["cell_type"] == "code")
 
     def source(cell: Column) -> Column:
-        # a list of strings is kept as its JSON text by the string field
-        listed = F.from_json(cell["source"], "array<string>")
-        joined = F.when(cell["source"].startswith("["), F.coalesce(F.array_join(listed, ""), cell["source"])).otherwise(cell["source"])
+        # a string is kept as it is, also one that looks like a list
+        lines = F.try_variant_get(cell["source"], "$", "array<string>")
+        joined = F.coalesce(F.array_join(lines, ""), F.try_variant_get(cell["source"], "$", "string"))
         return F.concat(joined, F.lit("\n"))
 
     return F.array_join(F.transform(code, source), "")

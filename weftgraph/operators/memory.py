@@ -16,15 +16,18 @@ TOKEN_LIMIT = 10_000
 DROPPED_CHARS = 200
 COMPACTED_CHARS = 150
 
-MEMORY = T.StructType([
-    T.StructField("session", T.LongType()),
-    T.StructField("kind", T.StringType()),
-    T.StructField("turn", T.LongType()),
-    T.StructField("role", T.StringType()),
-    T.StructField("text", T.StringType()),
-    T.StructField("tokens", T.LongType()),
-    T.StructField("step", T.IntegerType()),
-])
+
+def memory_schema(session: T.DataType) -> T.StructType:
+    """Rows of a memory; a session keeps the type of its id."""
+    return T.StructType([
+        T.StructField("session", session),
+        T.StructField("kind", T.StringType()),
+        T.StructField("turn", T.LongType()),
+        T.StructField("role", T.StringType()),
+        T.StructField("text", T.StringType()),
+        T.StructField("tokens", T.LongType()),
+        T.StructField("step", T.IntegerType()),
+    ])
 
 
 def last_messages(messages: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -81,8 +84,10 @@ def compact(messages: DataFrame, window: int = WINDOW, limit: int = TOKEN_LIMIT,
     The counter depends on every earlier compaction, so a session is folded in
     order. Its messages are cut into bounded chunks and round ``r`` folds
     chunk ``r`` of all sessions that have one, starting from the state of the
-    round before: no task ever holds more than one chunk and one window.
+    round before: no task ever holds more than one chunk and one window. The
+    chunks are stored by number, so that a round reads only its own.
     """
+    schema = memory_schema(messages.schema["session"].dataType)
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("turn", kind="stable")
@@ -94,17 +99,17 @@ def compact(messages: DataFrame, window: int = WINDOW, limit: int = TOKEN_LIMIT,
             out += [(key[0], "summary", t, None, s, None, i) for i, (t, s) in enumerate(memory.add(turn, role, text))]
         out += [(key[0], "window", t, r, s, None, 0) for t, r, s in memory.kept]
         out.append((key[0], "counter", int(rows["turn"].max()), None, None, memory.tokens, 0))
-        return pd.DataFrame(out, columns=[f.name for f in MEMORY.fields]).astype({"turn": "Int64", "tokens": "Int64"})
+        return pd.DataFrame(out, columns=schema.names).astype({"turn": "Int64", "tokens": "Int64"})
 
-    slim = messages.select(F.col("session").cast("long"), F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    slim = messages.select("session", F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"))
     staged = ordered_blocks(slim, ["session"], ["turn"], blocks)
     # number a session's blocks 0, 1, 2, ...; the table has a row per session and block
     numbering = staged.select("session", "_block").distinct().withColumn(
         "chunk", F.row_number().over(Window.partitionBy("session").orderBy("_block")) - 1)
-    chunks = materialise(staged.join(numbering, ["session", "_block"]).drop("_block"), "chunks")
+    chunks = materialise(staged.join(numbering, ["session", "_block"]).drop("_block"), "chunks", by="chunk")
     rounds = chunks.agg(F.max("chunk")).first()[0]
     if rounds is None:
-        return messages.sparkSession.createDataFrame([], MEMORY)
+        return messages.sparkSession.createDataFrame([], schema)
     done, state = [], None
     for number in range(rounds + 1):
         part = chunks.where(F.col("chunk") == number).select(
@@ -114,7 +119,7 @@ def compact(messages: DataFrame, window: int = WINDOW, limit: int = TOKEN_LIMIT,
             live = part.select("session").distinct()
             done.append(state.join(live, "session", "left_anti"))
             part = part.unionByName(state.join(live, "session", "left_semi"))
-        result = materialise(part.groupBy("session").applyInPandas(fold, MEMORY), "memory")
+        result = materialise(part.groupBy("session").applyInPandas(fold, schema), "memory")
         done.append(result.where(F.col("kind") == "summary"))
         state = result.where(F.col("kind") != "summary")
     out = state
@@ -139,9 +144,11 @@ def context_messages(memory: DataFrame) -> DataFrame:
 
 
 def session_listing(messages: DataFrame, memory: DataFrame) -> DataFrame:
-    """Turns, kept messages, tokens, first and last turn of each session."""
+    """Turns, kept messages, tokens, and when each session began and was last
+    active: times where the messages carry ``ts``, else turns."""
+    at = "ts" if "ts" in messages.columns else "turn"
     seen = messages.groupBy("session").agg(
-        F.count(F.lit(1)).alias("turn_count"), F.min("turn").alias("created_at"), F.max("turn").alias("last_active"))
+        F.count(F.lit(1)).alias("turn_count"), F.min(at).alias("created_at"), F.max(at).alias("last_active"))
     kept = memory.groupBy("session").agg(
         F.count_if(F.col("kind") == "window").alias("message_count"), F.max("tokens").alias("approx_tokens"))
     return seen.join(kept, "session")

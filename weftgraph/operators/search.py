@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weftgraph.functions.embedding import cosine, dot, hash_vector
 from weftgraph.operators.scale import lookup_join, top_rows
-from weftgraph.operators.substring import contains_join
+from weftgraph.operators.substring import contains_join, literal_runs
 from weftgraph.session import materialise
 
 TEXT_FIELDS = ("symbol_name", "signature", "docstring", "code_content")
 WORD_BREAK = r"[^\p{L}\p{N}]+"
-MAX_QUERY_VECTORS = 4096
+QUERIES_PER_BLOCK = 2048
+VECTORS_PER_BLOCK = 16_384
 
 
 def searchable_text() -> Column:
@@ -78,27 +77,47 @@ def lexical_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
     return met.groupBy("query_id", "id").agg(F.size(F.collect_set("term")).alias("matched_terms"))
 
 
+def _in_repo(found: DataFrame, nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows (query_id, id, …) whose node lies in the query's ``repo``, where it has one."""
+    if "repo" not in queries.columns:
+        return found
+    wanted = queries.select("query_id", F.col("repo").alias("_repo"))
+    return found.join(wanted, "query_id").join(nodes.select("id", F.col("repo").alias("_r")), "id").where(
+        F.col("_repo").isNull() | (F.col("_repo") == F.col("_r"))).drop("_repo", "_r")
+
+
 def lexical_search(nodes: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Best nodes per query: most matched terms first, then id.
 
     ``queries`` may carry a ``repo`` column that restricts the result.
     """
-    found = lexical_matches(token_index(nodes) if index is None else index, queries)
-    if "repo" in queries.columns:
-        wanted = queries.select("query_id", F.col("repo").alias("_repo"))
-        found = found.join(wanted, "query_id").join(nodes.select("id", F.col("repo").alias("_r")), "id").where(
-            F.col("_repo").isNull() | (F.col("_repo") == F.col("_r"))).drop("_repo", "_r")
+    found = _in_repo(lexical_matches(token_index(nodes) if index is None else index, queries), nodes, queries)
     return top_rows(found, ["query_id"], [F.desc("matched_terms"), F.col("id")], limit)
 
 
 def like_search(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """Substring search on name, signature and docstring, ASCII case folded."""
-    fold = F.translate(F.concat_ws("\x00", *TEXT_FIELDS[:3]), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    needle = F.translate("query", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    asked = queries.select("query_id", needle.alias("needle"))
-    pairs = contains_join(nodes.select(F.col("id").alias("text_id"), fold.alias("text")), asked)
-    found = asked.join(pairs, "needle").select("query_id", F.col("text_id").alias("id"))
-    return top_rows(found, ["query_id"], [F.col("id")], limit)
+    """Substring search on name, signature and docstring, ASCII case folded.
+
+    ``_`` in a query stands for any character and ``%`` for any run of them, so
+    an empty query finds every node. ``queries`` may carry a ``repo``.
+    """
+    def fold(text: Column) -> Column:
+        return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    asked = queries.select("query_id", fold(F.col("query")).alias("needle")).where("needle IS NOT NULL")
+    texts = nodes.select("id", F.posexplode(F.array(*TEXT_FIELDS[:3])).alias("field", "text")).where("text IS NOT NULL").select(
+        F.struct("id", "field").alias("text_id"), fold(F.col("text")).alias("text"))
+    pairs = contains_join(texts, asked, wildcards=True)
+    found = asked.join(pairs, "needle").select("query_id", F.col("text_id.id").alias("id")).distinct()
+    # without a literal, a query asks for nothing but a length: the best rows of each length and repository answer it
+    bare = asked.where(F.size(literal_runs(F.col("needle"))) == 0).select(
+        "query_id", F.length(F.replace("needle", F.lit("%"))).alias("least"))
+    lengths = bare.select(F.collect_set("least")).scalar()
+    longest = F.greatest(F.lit(-1), *[F.length(c) for c in TEXT_FIELDS[:3]])
+    open_to = nodes.select("id", "repo", longest.alias("longest"), F.explode(lengths).alias("least")).where("least <= longest").drop("longest")
+    best = top_rows(open_to, ["least", "repo"], [F.col("id")], limit).drop("rank")
+    found = found.unionByName(bare.join(best, "least").select("query_id", "id"))
+    return top_rows(_in_repo(found, nodes, queries), ["query_id"], [F.col("id")], limit)
 
 
 def lexical_or_like(nodes: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -143,49 +162,56 @@ def cosine_topk(vectors: DataFrame, query_vector: Column, limit: int = 5, repo:
 
 
 def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5) -> DataFrame:
-    """Best rows for each of a bounded set of query vectors.
+    """Best rows for each query vector.
 
-    Every task scores its Arrow batches against all queries with one matrix
-    product and emits at most ``limit`` rows per query and partition. A query
+    Queries and vectors are dealt into blocks of bounded size, and every pair
+    of blocks is scored in one task by a matrix product that emits at most
+    ``limit`` rows per query; the best of them are merged per query. A query
     with a ``repo`` only sees that repository.
     """
+    spark = vectors.sparkSession
+    query_blocks = -(-queries.count() // QUERIES_PER_BLOCK) or 1
+    vector_blocks = -(-vectors.count() // VECTORS_PER_BLOCK) or 1
+    # small inputs are still spread over the cores
+    vector_blocks = max(vector_blocks, spark.sparkContext.defaultParallelism)
     cols = ["query_id", "embedding"] + (["repo"] if "repo" in queries.columns else [])
-    asked = queries.select(*cols).limit(MAX_QUERY_VECTORS + 1).toPandas()
-    if len(asked) > MAX_QUERY_VECTORS:
-        raise ValueError(f"split the queries into sets of at most {MAX_QUERY_VECTORS}")
-    ids, scopes = asked["query_id"].tolist(), asked["repo"].tolist() if "repo" in cols else [None] * len(asked)
-    rows = [np.asarray(v if v is not None else [], dtype=float) for v in asked["embedding"]]
 
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-    by_size = {d: [i for i, v in enumerate(rows) if len(v) == d] for d in {len(v) for v in rows} if d > 0}
-    blocks = {d: unit(np.stack([rows[i] for i in at])) for d, at in by_size.items()}
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame] = [None] * len(ids)
-        for batch in batches:
-            sizes = batch["embedding"].map(lambda v: 0 if v is None else len(v)).to_numpy()
-            scores = np.zeros((len(ids), len(batch)))
-            for d, at in by_size.items():
-                mine = np.flatnonzero(sizes == d)
-                if len(mine):
-                    m = unit(np.stack([np.asarray(v, dtype=float) for v in batch["embedding"].iloc[mine]]))
-                    scores[np.ix_(at, mine)] = blocks[d] @ m.T
-            for i in range(len(ids)):
-                keep = slice(None) if scopes[i] is None else np.flatnonzero(batch["repo"].to_numpy() == scopes[i])
-                part = pd.DataFrame({"id": batch["id"].to_numpy()[keep], "repo": batch["repo"].to_numpy()[keep], "score": scores[i][keep]})
-                if best[i] is not None:
-                    part = pd.concat([best[i], part])
-                best[i] = part.sort_values(["score", "id"], ascending=[False, True]).head(limit)
-        for i, part in enumerate(best):
-            if part is not None and len(part):
-                yield part.assign(query_id=ids[i])[["query_id", "id", "repo", "score"]]
+    def lengths(column: pd.Series) -> np.ndarray:
+        return column.map(lambda v: 0 if v is None else len(v)).to_numpy(dtype=int)
+
+    def score(asked: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        scores = np.zeros((len(asked), len(batch)))
+        want, have = lengths(asked["embedding"]), lengths(batch["embedding"])
+        for d in set(want[want > 0]) & set(have):
+            at, mine = np.flatnonzero(want == d), np.flatnonzero(have == d)
+            left, right = (unit(np.stack([np.asarray(v, dtype=float) for v in x["embedding"].iloc[i]])) for x, i in ((asked, at), (batch, mine)))
+            scores[np.ix_(at, mine)] = left @ right.T
+        scopes = asked["repo"].tolist() if "repo" in cols else [None] * len(asked)
+        # rows in the order of ids, so that a stable sort by score breaks ties by id
+        order = np.argsort(batch["id"].to_numpy(), kind="stable")
+        repos, found = batch["repo"].to_numpy()[order], []
+        for i, (query, scope) in enumerate(zip(asked["query_id"], scopes)):
+            mine = order if pd.isna(scope) else order[repos == scope]
+            mine = mine[np.argsort(-scores[i][mine], kind="stable")[:limit]]
+            found.append(batch.iloc[mine][["id", "repo"]].assign(query_id=query, score=scores[i][mine]))
+        return pd.concat(found)[["query_id", "id", "repo", "score"]] if found else pd.DataFrame(columns=["query_id", "id", "repo", "score"])
 
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), vectors.schema["id"],
                            vectors.schema["repo"], T.StructField("score", T.DoubleType())])
-    local = vectors.select("id", "repo", "embedding").mapInPandas(score, schema)
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    asked = queries.select(*cols, dealt("query_id", query_blocks).alias("_q"), every(vector_blocks).alias("_v"))
+    stored = vectors.select("id", "repo", "embedding", every(query_blocks).alias("_q"), dealt("id", vector_blocks).alias("_v"))
+    local = asked.groupBy("_q", "_v").cogroup(stored.groupBy("_q", "_v")).applyInPandas(
+        lambda a, b: score(a.reset_index(drop=True), b.reset_index(drop=True)), schema)
     return top_rows(local, ["query_id"], [F.desc("score"), F.col("id")], limit)
 
 
@@ -234,13 +260,13 @@ def hybrid_search(nodes: DataFrame, vectors: DataFrame, query: str, limit: int =
 
 def semantic_search(nodes: DataFrame, vectors: DataFrame, query: str, limit: int = 5, repo: str | None = None,
                     dimensions: int = 1024) -> DataFrame:
-    """Hybrid search; lexical search when it finds nothing."""
+    """Hybrid search; where it finds nothing, lexical search and then substrings."""
     hybrid = materialise(hybrid_search(nodes, vectors, query, limit, repo, dimensions=dimensions), "hybrid")
     if not hybrid.isEmpty():
         return hybrid.select("id", F.lit("hybrid").alias("how"))
     spark = nodes.sparkSession
     asked = spark.createDataFrame([(0, query, repo)], "query_id int, query string, repo string")
-    return lexical_search(nodes, asked, limit).select("id", F.lit("lexical").alias("how"))
+    return lexical_or_like(nodes, asked, limit).select("id", F.lit("lexical").alias("how"))
 
 
 # --- context text -----------------------------------------------------------

@@ -17,18 +17,31 @@ def grams(text: Column, size: Column) -> Column:
     return F.when(n > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def contains_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def literal_runs(needle: Column) -> Column:
+    """Parts of a LIKE needle between its wildcards."""
+    return F.filter(F.split(needle, "[%_]"), lambda x: x != "")
+
+
+def like_anywhere(text: Column, needle: Column) -> Column:
+    """Whether a LIKE needle, which has no escape sign, stands anywhere in the text."""
+    return F.like(text, F.concat(F.lit("%"), F.replace(needle, F.lit("\\"), F.lit("\\\\")), F.lit("%")), F.lit("\\"))
+
+
+def contains_join(texts: DataFrame, needles: DataFrame, wildcards: bool = False) -> DataFrame:
     """``texts(text_id, text)`` × ``needles(needle)`` → pairs where the text
     contains the needle, without comparing every pair.
 
     A text that contains a needle has all of its grams, so each needle is
     looked up under its rarest gram only and the candidates are then verified.
-    Needles shorter than four characters use grams of their own length.
+    Needles shorter than four characters use grams of their own length. With
+    ``wildcards``, ``_`` and ``%`` in a needle are those of LIKE, and the grams
+    come from what stands between them; a needle of wildcards alone finds nothing.
     """
-    wanted = materialise(needles.where(F.length("needle") > 0).select("needle").distinct(), "needles")
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    parts = wanted.select("needle", size.alias("size")).select(
-        "needle", "size", F.explode(grams(F.col("needle"), F.col("size"))).alias("gram"))
+    runs = literal_runs(F.col("needle")) if wildcards else F.filter(F.array("needle"), lambda x: x != "")
+    wanted = materialise(needles.select("needle", runs.alias("runs")).where(F.size("runs") > 0).distinct(), "needles")
+    parts = wanted.select("needle", F.explode("runs").alias("run")).select(
+        "needle", "run", F.least(F.length("run"), F.lit(GRAM)).alias("size")).select(
+        "needle", "size", F.explode(grams(F.col("run"), F.col("size"))).alias("gram")).distinct()
     sizes = parts.select(F.collect_set("size")).scalar()
     per_text = texts.select("text_id", "text", F.explode(sizes).alias("size")).select(
         "text_id", F.explode(grams(F.col("text"), F.col("size"))).alias("gram"))
@@ -39,5 +52,5 @@ def contains_join(texts: DataFrame, needles: DataFrame) -> DataFrame:
         F.min_by("gram", F.struct("texts", "gram")).alias("gram"), F.bool_or(F.col("texts").isNull()).alias("absent"),
     ).where(~F.col("absent")).select("needle", "gram")
     candidates = lookup_join(hits, rarest, ["gram"], "inner", ["text_id"]).select("text_id", "needle")
-    return candidates.join(texts.select("text_id", "text"), "text_id").where(
-        F.col("text").contains(F.col("needle"))).select("text_id", "needle")
+    holds = like_anywhere(F.col("text"), F.col("needle")) if wildcards else F.col("text").contains(F.col("needle"))
+    return candidates.join(texts.select("text_id", "text"), "text_id").where(holds).select("text_id", "needle")

@@ -48,12 +48,12 @@ def lexical_search(spark, sf):
     return s.lexical_search(texts(spark, sf), views.view(spark, sf, TEXT_QUERIES))
 
 
-LIKE_QUERIES = "SELECT r_regionkey AS query_id, concat('r#00000000', CAST(r_regionkey AS STRING)) AS query FROM {region} UNION ALL SELECT n_nationkey + 100, concat('STRUCT_', n_name) FROM {nation} UNION ALL SELECT 999, 'T_10'"
+LIKE_QUERIES = "SELECT r_regionkey AS query_id, concat('r#00000000', CAST(r_regionkey AS STRING)) AS query FROM {region} UNION ALL SELECT n_nationkey + 100, concat('STRUCT_', n_name) FROM {nation} UNION ALL SELECT 999, 'T_10' UNION ALL SELECT 1000, '' UNION ALL SELECT 1001, '%_%' UNION ALL SELECT 1002, 'r#0%7' UNION ALL SELECT 1003, 'no_such%thing'"
 
 
 @BOOK.query(f"""WITH {GRAPH}, q AS {views.duck(LIKE_QUERIES)}
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM q JOIN nodes
-ON contains(lower(symbol_name), lower(query)) OR contains(lower(signature), lower(query)) OR contains(lower(docstring), lower(query)) QUALIFY rank <= 10""")
+ON symbol_name ILIKE '%' || query || '%' OR signature ILIKE '%' || query || '%' OR docstring ILIKE '%' || query || '%' QUALIFY rank <= 10""")
 def like_search(spark, sf):
     return s.like_search(nodes(spark, sf), views.view(spark, sf, LIKE_QUERIES))
 
@@ -140,6 +140,12 @@ def semantic_search(spark, sf):
     return s.semantic_search(texts(spark, sf), _english_vectors(spark, sf), QUERY, 5, "src3", dimensions=DIMS)
 
 
+@BOOK.query(f"WITH n AS {views.duck(views.TEXT_NODES)} SELECT id, 'lexical' AS how FROM n WHERE signature ILIKE '%s_c3%' OR symbol_name ILIKE '%s_c3%' ORDER BY id LIMIT 5")
+def semantic_search_fallback(spark, sf):
+    """No vectors and no word: the query is found as a LIKE needle only."""
+    return s.semantic_search(texts(spark, sf), _english_vectors(spark, sf).where("false"), "s_c3", 5, dimensions=DIMS)
+
+
 @BOOK.query(f"""WITH src AS (SELECT id, concat(symbol_name, ' ', signature, ' ', docstring, chr(10), code_content) AS body FROM {views.duck(views.TEXT_NODES)}), {EMBED}
 SELECT id, count(*) AS buckets, round(max(weight), 6) AS top FROM emb GROUP BY id""")
 def embed_batch(spark, sf):

@@ -145,12 +145,17 @@ def call_stream(spark, sf):
 
 @BOOK.query(f"SELECT repo, file_path, symbol_name, symbol_type, start_line, end_line FROM {views.duck(expected_symbols(('python', 'go')))}")
 def stream_ingest(spark, sf):
-    """Two arrivals of the service files, the second one repeating a language."""
+    """Two arrivals of the service files, the second one repeating a language;
+    it also holds a file twice, one emptied and one deleted file."""
     inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "live")
-    code_files(spark, sf, "python").withColumn("content", F.lit("def stale():\n    pass\n")).coalesce(1).write.mode("append").parquet(inbox)
-    code_files(spark, sf, "python", "go").coalesce(1).write.mode("append").parquet(inbox)
-    arriving = spark.readStream.schema("repo string, file_path string, content string").option("maxFilesPerTrigger", 1).parquet(inbox)
-    jobs.ingest(arriving, store, link=False).awaitTermination()
+    stale = code_files(spark, sf, "python").select("repo", "file_path", F.lit("def stale():\n    pass\n").alias("content"), F.lit(1).alias("version"))
+    gone = stale.select(F.concat(F.lit("gone "), "repo").alias("repo"), "file_path", "content", "version")
+    now = code_files(spark, sf, "python", "go").select("repo", "file_path", "content", F.lit(3).alias("version"))
+    ended = gone.select("repo", "file_path", F.when(F.col("repo").endswith("1"), "# nothing").alias("content"), F.lit(2).alias("version"))
+    stale.unionByName(gone).coalesce(1).write.mode("append").parquet(inbox)
+    now.unionByName(stale).unionByName(ended).coalesce(1).write.mode("append").parquet(inbox)
+    arriving = spark.readStream.schema("repo string, file_path string, content string, version int").option("maxFilesPerTrigger", 1).parquet(inbox)
+    jobs.ingest(arriving, store, link=False, version="version").awaitTermination()
     return t.all_nodes(spark, f"{store}/nodes").select("repo", "file_path", "symbol_name", "symbol_type", "start_line", "end_line")
 
 

@@ -14,12 +14,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftgraph.operators.extract import defines_edges, extract_symbols, intra_file_calls
 from weftgraph.operators.link import link_repositories
-from weftgraph.operators.memory import MEMORY, TOKEN_LIMIT, WINDOW, Memory
+from weftgraph.operators.memory import TOKEN_LIMIT, WINDOW, Memory, memory_schema
 from weftgraph.operators.meter import Limits
 from weftgraph.plans.index import with_ordinal
 from weftgraph.schema import EDGES, conform
 from weftgraph.session import materialise, scratch_path
-from weftgraph.sources.tables import replace_snapshot
+from weftgraph.sources.tables import remove_files, replace_snapshot
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -52,10 +52,10 @@ def session_telemetry(calls: DataFrame, gap: str = "6 hours", late: str = "1 hou
 
 # --- guardrails -------------------------------------------------------------
 
-DECISION = T.StructType([
-    T.StructField("session", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("trigger", T.StringType()),
+DECISION = [
+    T.StructField("seq", T.LongType()), T.StructField("trigger", T.StringType()),
     T.StructField("calls_before", T.LongType()), T.StructField("tokens_before", T.LongType()),
-])
+]
 GUARD_STATE = T.StructType([
     T.StructField("calls", T.LongType()), T.StructField("tokens", T.LongType()),
     T.StructField("signatures", T.ArrayType(T.StringType())),
@@ -67,6 +67,7 @@ def guardrails(calls: DataFrame, limits: Limits = Limits(), ttl_ms: int | None =
     """Decision per call, as it arrives. The state of a session holds only its
     recorded calls, at most ``max_tool_calls``. With ``ttl_ms`` a session is
     forgotten once the watermark has passed its last call by that much."""
+    schema = T.StructType([T.StructField("session", calls.schema["session"].dataType), *DECISION])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -100,14 +101,14 @@ def guardrails(calls: DataFrame, limits: Limits = Limits(), ttl_ms: int | None =
         if ttl_ms is not None:
             newest = int(rows["ts"].max().timestamp() * 1000)
             state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_ms)
-        yield pd.DataFrame(out, columns=[f.name for f in DECISION.fields])
+        yield pd.DataFrame(out, columns=schema.names)
 
     slim = calls.select("session", "seq", "ts", "tool", "args", "result_tokens", "repos", "files")
     timeout = GroupStateTimeout.NoTimeout
     if ttl_ms is not None:
         # event time, so that a bounded run ends: processing-time timers never do
         slim, timeout = slim.withWatermark("ts", late), GroupStateTimeout.EventTimeTimeout
-    return slim.groupBy("session").applyInPandasWithState(step, DECISION, GUARD_STATE, "append", timeout)
+    return slim.groupBy("session").applyInPandasWithState(step, schema, GUARD_STATE, "append", timeout)
 
 
 # --- conversation memory ----------------------------------------------------
@@ -121,6 +122,7 @@ MEMORY_STATE = T.StructType([
 def conversation_memory(messages: DataFrame, window: int = WINDOW, limit: int = TOKEN_LIMIT) -> DataFrame:
     """Summary rows as they are made, and a counter row per session and batch.
     The state is the session's window and counter."""
+    schema = memory_schema(messages.schema["session"].dataType)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, tokens = [], 0
@@ -133,34 +135,45 @@ def conversation_memory(messages: DataFrame, window: int = WINDOW, limit: int =
             out += [(key[0], "summary", t, None, s, None, i) for i, (t, s) in enumerate(memory.add(turn, role, text or ""))]
         out.append((key[0], "counter", turn, None, None, memory.tokens, 0))
         state.update(([k[0] for k in memory.kept], [k[1] for k in memory.kept], [k[2] for k in memory.kept], memory.tokens))
-        yield pd.DataFrame(out, columns=[f.name for f in MEMORY.fields]).astype({"turn": "Int64", "tokens": "Int64"})
+        yield pd.DataFrame(out, columns=schema.names).astype({"turn": "Int64", "tokens": "Int64"})
 
-    slim = messages.select(F.col("session").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return slim.groupBy("session").applyInPandasWithState(step, MEMORY, MEMORY_STATE, "append", GroupStateTimeout.NoTimeout)
+    slim = messages.select("session", F.col("turn").cast("long"), "role", "text")
+    return slim.groupBy("session").applyInPandasWithState(step, schema, MEMORY_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # --- ingest -----------------------------------------------------------------
 
-def ingest(files: DataFrame, store: str, link: bool = True):
+def ingest(files: DataFrame, store: str, link: bool = True, version: str | None = None):
     """Start a query that keeps ``store/nodes`` and ``store/edges`` current.
 
-    ``files(repo, file_path, content)`` carries new and changed files. Per
-    batch, the symbols of changed files are replaced inside the partitions of
-    their repositories; cross-repository edges are linked again from the whole
-    node table, because a new endpoint can re-route old consumers.
+    ``files(repo, file_path, content)`` carries new and changed files; a null
+    content deletes the file. Of several rows of one path in a batch the one
+    with the highest ``version`` column counts (without such a column: the
+    greatest text). Per batch, the symbols of changed files are replaced inside
+    the partitions of their repositories, and a repository left without symbols
+    is removed; cross-repository edges are linked again from the whole node
+    table, because a new endpoint can re-route old consumers. A batch that is
+    repeated after a failure writes the same rows again.
     """
     spark = files.sparkSession
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        changed = materialise(batch, "changed")
+        text = F.struct("content")
+        last = batch.groupBy("repo", "file_path").agg(F.max_by(text, F.struct(version, text) if version else text).alias("t"))
+        changed = materialise(last.select("repo", "file_path", "t.content"), "changed")
         if changed.isEmpty():
             return
-        fresh = materialise(extract_symbols(changed), "fresh")
+        fresh = materialise(extract_symbols(changed.where("content IS NOT NULL")), "fresh")
         keys = changed.select("repo", "file_path").distinct()
         nodes = _stored(spark, f"{store}/nodes", fresh.schema)
         touched = nodes.join(keys.select("repo").distinct(), "repo", "left_semi")
         kept = touched.join(keys, ["repo", "file_path"], "left_anti")
-        replace_snapshot(materialise(kept.unionByName(fresh), "nodes"), f"{store}/nodes", "repo")
+        after = materialise(kept.unionByName(fresh), "nodes")
+        emptied = keys.select("repo").distinct().join(after.select("repo").distinct(), "repo", "left_anti")
+        gone = nodes.select("repo", F.input_file_name().alias("file")).join(emptied, "repo", "left_semi").select("file").distinct()
+        gone = materialise(gone, "gone")
+        replace_snapshot(after, f"{store}/nodes", "repo")
+        remove_files(gone)
         if link:
             now = _stored(spark, f"{store}/nodes", fresh.schema)
             internal = defines_edges(now).unionByName(intra_file_calls(now))
