@@ -8,6 +8,7 @@ cut is not certain go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -56,12 +57,21 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cut, self.dtype, self.separator = cut, dtype, separator
         # Functions of this package travel to the workers by value, so what is to outlive a task
         # is held by a module of the process itself.
         holder = sys.modules.setdefault("weftgraph_kept", types.ModuleType("weftgraph_kept"))
+        if path not in holder.__dict__:
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = True
+            # Which ids end a word, if the file marks them.
+            suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            if suffix:
+                ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
+            holder.__dict__[path] = tokenizer, ends
+        self.tokenizer, self.ends = holder.__dict__[path]
         self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{path}|{dtype}", {})
 
     def _call(self, texts: list[str]) -> list[bytes]:
@@ -72,6 +82,20 @@ class Encoder:
         """Ids of single pieces; many of them in one call if something without ids can part them."""
         if self.separator is None:
             return self._call(pieces)
+        words = [p for p in pieces if p.isalpha()]
+        ids = self._call([self.separator.join(words)])[0] if words else b""
+        ends = np.flatnonzero(self.ends[np.frombuffer(ids, dtype=self.dtype)])
+        if len(words) == 0 or len(ends) != len(words):
+            return self._parted(pieces)
+        # letters alone are one word each, so the ids that end words part them
+        places = ((ends + 1) * np.dtype(self.dtype).itemsize).tolist()
+        found = dict(zip(words, (ids[a:b] for a, b in zip([0, *places], places))))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._parted(rest)))
+        return [found[p] for p in pieces]
+
+    def _parted(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that may be several words, told apart by their places in the joined text."""
         out = []
         for begin in range(0, len(pieces), 2000):
             part = pieces[begin : begin + 2000]
