@@ -151,3 +151,18 @@ def test_route_masks_equal_trie(spark):
     c = spark.createDataFrame(cons, "caller_repo string, method string, route string")
     got = {(r.caller_repo, r.method, r.route): r.target.callee_id for r in link.parameterised_match(c, e).collect()}
     assert got == {k: match(*k) for k in cons if match(*k)}
+
+
+def test_ends_of_a_hub_are_the_same_salted(spark, monkeypatch):
+    rows = [(f"n{i}", "hub" if i % 3 == 0 else f"n{i % 7}") for i in range(120)] + [("hub", f"n{i}") for i in range(40)] + [("n1", "lost"), (None, "n2")]
+    edges = spark.createDataFrame(rows, "caller_id string, callee_id string")
+    nodes = spark.createDataFrame([(f"n{i}", f"r{i % 5}") for i in range(110)] + [("hub", "r0")], "id string, repo string")
+    ends = [nodes.selectExpr(f"id AS {e}_id", f"repo AS {e}_repo") for e in ("caller", "callee")]
+    for how in ("inner", "left"):
+        got = []
+        for bound in (scale.MAX_BROADCAST_BYTES, -1):
+            monkeypatch.setattr(scale, "MAX_BROADCAST_BYTES", bound)
+            got.append(sorted(map(str, scale.edges_with_ends(edges, *ends, how, rows_per_task=10).select(
+                "caller_id", "callee_id", "caller_repo", "callee_repo").collect())))
+        monkeypatch.undo()
+        assert got[0] == got[1] and len(got[0]) > 100

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.operators.scale import first_rows, top_rows
+from weftgraph.operators.scale import edges_with_ends, first_rows, top_rows
 
 NODE_ORDER = ("repo", "file_path", "start_line", "id")
 
@@ -128,11 +128,10 @@ def edge_list(edges: DataFrame) -> DataFrame:
 
 def _with_end_repos(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     repo = nodes.select("id", "repo")
-    return (
-        edges
-        .join(repo.select(F.col("id").alias("caller_id"), F.col("repo").alias("caller_repo")), "caller_id", "left")
-        .join(repo.select(F.col("id").alias("callee_id"), F.col("repo").alias("callee_repo")), "callee_id", "left")
-    )
+    return edges_with_ends(
+        edges,
+        repo.select(F.col("id").alias("caller_id"), F.col("repo").alias("caller_repo")),
+        repo.select(F.col("id").alias("callee_id"), F.col("repo").alias("callee_repo")), "left")
 
 
 def degree_ranking(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -252,7 +252,8 @@ def calls_edges(nodes: DataFrame, imported: DataFrame) -> DataFrame:
     targets = nodes.where(F.col("symbol_type").isin("function", "method", "class")).select(
         F.col("id").alias("callee_id"), F.col("repo").alias("target_repo"), F.col("symbol_name").alias("symbol"))
     named = F.exists("import_texts", lambda i: i.contains(F.col("symbol")))
-    hit = tokens.join(per_repo, "caller_id").where(F.col("by_client") | named).join(targets, ["target_repo", "symbol"])
+    hit = tokens.join(per_repo, "caller_id").where(F.col("by_client") | named)
+    hit = lookup_join(hit, targets, ["target_repo", "symbol"], "inner", ["caller_id"])
     return conform(hit.select(
         "caller_id", "callee_id", F.lit("calls").alias("edge_type"), F.lit(0.95).alias("confidence"),
         "symbol", "caller_repo", "target_repo").dropDuplicates(["caller_id", "callee_id"]), EDGES)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from weftgraph.session import materialise
 
 ROWS_PER_TASK = 2_000_000
+#: Stored bytes past which no lookup table is broadcast, however few its rows.
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
@@ -98,15 +100,26 @@ def lookup_join(
 
     The lookup is written out and counted. Within the bound it is broadcast,
     so the stream is not shuffled at all and its hot keys do not matter; past
-    the bound the join is salted. Both give the same rows.
+    the bounds of rows and stored bytes the join is salted. Both give the same rows.
     """
     table = materialise(build, "lookup")
-    hinted = broadcast_if_small(table, max_broadcast_rows)
+    small = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= MAX_BROADCAST_BYTES
+    hinted = broadcast_if_small(table, max_broadcast_rows) if small else table
     if hinted is not table:
         return stream.join(hinted, list(keys), how)
     return salted_join(stream, table, keys, how, spread, rows_per_task)
 
 
+def edges_with_ends(edges: DataFrame, callers: DataFrame, callees: DataFrame, how: str = "inner", rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Edges with the columns of ``callers(caller_id, …)`` and ``callees(callee_id, …)``.
+
+    A hub may be an end of a third of all edges, so each end is a lookup that
+    is broadcast or salted by the other end.
+    """
+    first = lookup_join(edges, callers, ["caller_id"], how, ["callee_id"], rows_per_task)
+    return lookup_join(first, callees, ["callee_id"], how, ["caller_id"], rows_per_task)
+
+
 def ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None) -> DataFrame:
     """Cut every key's ordered rows into consecutive blocks of bounded size.
 
