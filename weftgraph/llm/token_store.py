@@ -144,9 +144,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds)], names)
 
         for batch in batches:
-            for begin, stop, _, _ in chunks(batch.column("text"), 4 << 20):
+            for begin, stop, _, _ in chunks(batch.column("text"), 16 << 20):
                 texts = batch.column("text").slice(begin, stop - begin).to_pylist()
-                for doc_id, found in zip(batch.column("doc_id").slice(begin, stop - begin).to_pylist(), use.encode([t or "" for t in texts])):
+                for doc_id, found in zip(batch.column("doc_id").slice(begin, stop - begin).to_pylist(), use.encode_words([t or "" for t in texts])):
                     n = len(found) // width + 1
                     if ids and count + n > SHARD_IDS:
                         yield close()

@@ -8,14 +8,16 @@ cut is not certain go to the library whole.
 
 from __future__ import annotations
 
-import json
 import os
 import re
+import string
 import sys
 import types
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces kept by a worker process; past it the store starts anew, which costs time only.
 KEPT = 700_000
@@ -26,6 +28,14 @@ _LETTER_MARK = re.compile(r"[,.!?;:#$%&*](?<=[^\W\d_].)")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 # Letters whose lower case depends on what is around or is longer, separators that libraries see differently.
 _ODD_LETTER = re.compile("[\x00\x1c-\x1fΣİ]")
+# The same, for a search by sign.
+_ODD_SIGNS = ("<|", *"\x00\x1c\x1d\x1e\x1f", "Σ", "İ")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_LETTER = np.zeros(256, dtype=bool)
+_IS_LETTER[97:123] = True
+_IS_MARK = np.zeros(256, dtype=bool)
+_IS_MARK[np.frombuffer(b",.!?;:#$%&*", dtype=np.uint8)] = True
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\x00", "<|")
 
 
@@ -47,6 +57,22 @@ def cut_lower_words(text: str) -> list[str] | None:
     return _LETTER_MARK.sub(" \\g<0>", text.lower()).split()
 
 
+def lower_words(texts: list[str]) -> pa.ListArray:
+    """Words of each text between ASCII white space, A-Z lower-cased, cut where a sign is right behind an ASCII letter.
+
+    Works on the bytes of all texts end to end. A list may hold empty words, and
+    words that ``cut_lower_words`` cuts further.
+    """
+    joined = pa.array(texts, type=pa.string())
+    offsets = np.frombuffer(joined.buffers()[1], dtype=np.int32, count=len(texts) + 1).astype(np.int64)
+    data = _LOWER[np.frombuffer(joined.buffers()[2] or b"", dtype=np.uint8, count=offsets[-1])]
+    cuts = np.flatnonzero(_IS_MARK[data[1:]] & _IS_LETTER[data[:-1]]) + 1
+    data = np.insert(data, cuts, 32)
+    offsets = (offsets + np.searchsorted(cuts, offsets)).astype(np.int64)
+    cut = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
+    return pc.ascii_split_whitespace(cut)
+
+
 class Encoder:
     """Encodes texts with one tokenizer file; ids come as bytes of little-endian numbers.
 
@@ -64,14 +90,12 @@ class Encoder:
         if path not in holder.__dict__:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = True
-            # Which ids end a word, if the file marks them.
-            suffix = json.loads(tokenizer.to_str())["model"].get("end_of_word_suffix")
-            vocabulary = tokenizer.get_vocab()
-            ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-            if suffix:
-                ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
-            holder.__dict__[path] = tokenizer, ends
-        self.tokenizer, self.ends = holder.__dict__[path]
+            # Whether the steps before the model leave a word of lower-case letters as it is.
+            letters, before, split = string.ascii_lowercase, tokenizer.normalizer, tokenizer.pre_tokenizer
+            plain = (before is None or before.normalize_str(letters) == letters) and (
+                split is not None and [x for x, _ in split.pre_tokenize_str(letters)] == [letters])
+            holder.__dict__[path] = tokenizer, plain
+        self.tokenizer, self.plain = holder.__dict__[path]
         self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{path}|{dtype}", {})
 
     def _call(self, texts: list[str]) -> list[bytes]:
@@ -82,14 +106,13 @@ class Encoder:
         """Ids of single pieces; many of them in one call if something without ids can part them."""
         if self.separator is None:
             return self._call(pieces)
-        words = [p for p in pieces if p.isalpha()]
-        ids = self._call([self.separator.join(words)])[0] if words else b""
-        ends = np.flatnonzero(self.ends[np.frombuffer(ids, dtype=self.dtype)])
-        if len(words) == 0 or len(ends) != len(words):
+        if not self.plain:
             return self._parted(pieces)
-        # letters alone are one word each, so the ids that end words part them
-        places = ((ends + 1) * np.dtype(self.dtype).itemsize).tolist()
-        found = dict(zip(words, (ids[a:b] for a, b in zip([0, *places], places))))
+        # lower-case ASCII letters are one word each, and reach the model as they are
+        call, found = self.tokenizer.model.tokenize, {}
+        for p in pieces:
+            if p.isascii() and p.isalpha():
+                found[p] = np.array([x.id for x in call(p)], dtype=self.dtype).tobytes()
         rest = [p for p in pieces if p not in found]
         found.update(zip(rest, self._parted(rest)))
         return [found[p] for p in pieces]
@@ -122,3 +145,40 @@ class Encoder:
         get = self.kept.__getitem__
         whole = iter(self._call([t for t, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
+
+    def encode_words(self, texts: list[str]) -> list[bytes]:
+        """``encode`` for ``cut_lower_words``, with a Python step for each distinct word of the texts, not for each word."""
+        sure = [not any(x in t for x in _ODD_SIGNS) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
+        lists = lower_words([t for t, s in zip(texts, sure) if s])
+        coded = lists.values.dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        fresh = [w for w in words if w not in self.kept]
+        if len(self.kept) + len(fresh) > KEPT:
+            self.kept.clear()
+            fresh = words
+        self._learn(fresh)
+        found = list(map(self.kept.__getitem__, words))
+        flat, width = np.frombuffer(b"".join(found), dtype=self.dtype), np.dtype(self.dtype).itemsize
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
+        starts, counts = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(starts[codes] - ends[:-1], counts) + np.arange(ends[-1])].tobytes()
+        bounds = (ends[lists.offsets.to_numpy()] * width).tolist()
+        parts = (ids[a:b] for a, b in zip(bounds, bounds[1:]))
+        whole = iter(self._call([t for t, s in zip(texts, sure) if not s]))
+        return [next(parts) if s else next(whole) for s in sure]
+
+    def _learn(self, words: list[str]) -> None:
+        """Keep the ids of words; a word that is cut further has those of its pieces."""
+        one, many = [], {}
+        for w in words:
+            if w.isascii() and w.isalpha():
+                one.append(w)
+            else:
+                many[w] = self.cut(w)
+        known = self.kept
+        new = list({*one, *(p for found in many.values() for p in found if p not in known)})
+        known.update(zip(new, self._pieces(new)))
+        for w, found in many.items():
+            if w not in known:
+                known[w] = b"".join(map(known.__getitem__, found))
