@@ -62,18 +62,24 @@ def build_index(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(mine) == 1:
             lone.append((b, mine[0]))
             continue
-        move = 0
-        while True:
-            at = displaced(keys[mine], move, n)
-            if free[at].all() and len(set(at.tolist())) == len(at):
-                break
-            move += 1
+        move, at = _first_fit(keys[mine], free)
         moves[b], slots[mine], free[at] = move, at, False
     for (b, key), slot in zip(lone, np.flatnonzero(free)):
         moves[b], slots[key] = -1 - slot, slot
     return moves, slots
 
 
+def _first_fit(keys: np.ndarray, free: np.ndarray) -> tuple[int, np.ndarray]:
+    """The smallest displacement that puts all keys into free slots, and these; displacements are tried in growing blocks."""
+    begin, block = 0, 4
+    while True:
+        at = displaced(keys, np.arange(begin, begin + block)[:, None], len(free))
+        for row in np.flatnonzero(free[at].all(axis=1)).tolist():
+            if len(set(at[row].tolist())) == len(keys):
+                return begin + row, at[row]
+        begin, block = begin + block, min(4 * block, 1024)
+
+
 def displaced(keys: np.ndarray, move, n: int) -> np.ndarray:
     return (mix(keys + np.asarray(move).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(n)).astype(np.int64)
 
