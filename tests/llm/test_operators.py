@@ -8,8 +8,9 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import tokenizers
 
-from weftgraph.llm import (byte_bpe, decontaminate, notices, part_enum, quality, queries, quotes, scratch, simhash, suffixes, text_hash, token_store, urls)
+from weftgraph.llm import (byte_bpe, decontaminate, notices, part_enum, quality, queries, quotes, scratch, simhash, suffixes, text_hash, token_store, tokens, urls)
 
 
 def rows_of(df):
@@ -198,6 +199,20 @@ def test_byte_bpe(spark, documents):
     assert byte_bpe.round_trip(empty(docs), path).count() == 0
 
 
+def test_words_encoded_as_the_library_does(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["", " ", "a.b", "\n x", "don't STOP'LL 'S", "x<|endoftext|>y", "É.é", "e\u0301,", "ΑΣ.", "İ", "a\u00a0b\u3000c", "A\x00B", "a\x1cb",
+             "x..y,,z", ",a", "ſ.K", "１２3.4", "ß.ẞ;Ω:", "new words " * 500, "Z.", ".z"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    for kept in (700_000, 3):  # a full store starts anew
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        use = tokens.Encoder(path, tokens.cut_lower_words, "<u2", separator=" ")
+        assert use.encode_words(texts) == want == use.encode(texts)
+        assert use.encode_words([]) == [] and [use.encode_words([t])[0] for t in texts] == want
+
+
 def test_token_store(spark, documents, monkeypatch):
     from tokenizers import Tokenizer
 
