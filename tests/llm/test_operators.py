@@ -87,6 +87,62 @@ def test_repeated_passages(spark, documents):
     assert suffixes.repeated_passages(empty(documents), 50).count() == 0
 
 
+def plain_passages(texts, m):
+    """{(number, first word, end word)} to cut from texts of different words, by the rule in words."""
+    places, out = defaultdict(list), set()
+    for n, w in enumerate(texts):
+        for s in range(len(w) - m + 1):
+            places[tuple(w[s : s + m])].append((n, s))
+    for n, w in enumerate(texts):
+        cut = set()
+        for s in range(len(w) - m + 1):
+            found = sorted(places[tuple(w[s : s + m])])
+            before = found.index((n, s)) - 1
+            if before < 0:
+                continue
+            stay, gap = set(), s - found[before][1]
+            if found[0][0] == n and gap < m:
+                for k in range(found[0][1] + gap):
+                    if len(kind := places[tuple(w[k : k + m])]) > 1 and min(kind) == (n, k):
+                        stay |= set(range(k, k + m))
+            cut |= set(range(s, s + m)) - stay
+        out |= {(n, a, min(b for b in range(a, len(w) + 1) if b not in cut)) for a in cut if a - 1 not in cut}
+    return out
+
+
+def test_passage_with_recurring_neighbours(spark):
+    import random
+
+    draw = random.Random(4)
+    fresh = lambda n: [f"n{draw.randrange(10**9)}" for _ in range(n)]
+    p, x, y = fresh(60), fresh(1), fresh(1)
+    # Texts 1 to 5 hold p between the same two words; text 6 holds it twice, and text 7 the words behind its second place.
+    texts = [fresh(20) + p + fresh(20)] + [fresh(20) + x + p + y + fresh(20) for _ in range(5)]
+    twice = fresh(5) + p + fresh(70) + p + fresh(3)
+    texts += [twice, twice[-61:] + fresh(10)]
+    q = fresh(55)
+    texts += [q + fresh(9) + q + fresh(3), fresh(4) + q + texts[0][-5:]]
+    for period in (1, 2, 7, 8, 49, 50, 51, 60):
+        cycle = fresh(period)
+        run = (cycle * 200)[: 3 * period + draw.randrange(60, 150)]
+        tail = fresh(5)
+        texts += [fresh(3) + run + tail, fresh(2) + run[-70:] + tail + fresh(2), run[:53] + fresh(80) + run]
+    pool = [fresh(draw.randrange(20, 80)) for _ in range(8)]
+    texts += [sum((draw.choice(pool) if draw.random() < 0.7 else fresh(3) for _ in range(6)), []) for _ in range(25)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = suffixes.repeated_passages(docs, 50)
+    got = {(r.doc_id, r.first_word, r.end_word): r for r in found.collect()}
+    assert set(got) == plain_passages(texts, 50)
+    for i in range(1, 6):
+        assert any(d == i and a <= 21 and b >= 81 for d, a, b in got)
+    assert any((d, b - a) == (6, 60) and a == 5 for d, a, b in got) and any(d == 6 and a == 135 and b >= 195 for d, a, b in got)
+    assert any((d, a, b) == (8, 64, 119) for d, a, b in got)
+    for (i, a, b), r in got.items():  # every word cut stands at the source, which is earlier
+        assert (r.source_doc_id, r.source_word) < (i, a) and texts[r.source_doc_id][r.source_word : r.source_word + 50].count(texts[i][a])
+    left = {w for r in suffixes.cut_passages(docs, found).collect() for w in r.text.split()}
+    assert left == {w for t in texts for w in t}
+
+
 def test_leaks(spark, documents):
     items = spark.createDataFrame([
         (1, "What do the quick foxes see at night? They see the pale moon over the hills."), (2, "too short"), (3, None),

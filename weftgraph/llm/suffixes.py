@@ -144,16 +144,36 @@ def _windows(texts: DataFrame, min_words: int) -> DataFrame:
     return texts.select("text", "rep", "text_key", "words").mapInArrow(run, "window long, rep long, text_key long, start int")
 
 
+def _cut_from(start: np.ndarray, own: np.ndarray, at: np.ndarray, min_words: int) -> np.ndarray:
+    """The word from which each window of a text is cut, if it isn't the first of its kind.
+
+    start: rising places of the windows; own: the first window of the kind is in
+    this text; at: its place. A window is cut from its own beginning on, unless
+    the one before it of its kind overlaps it: then the text repeats itself with
+    that distance, and is cut behind the windows that begin in the first period.
+    """
+    begin, mine = start.astype(np.int64), np.flatnonzero(own)
+    mine = mine[np.lexsort((start[mine], at[mine]))]
+    gap = np.diff(begin[mine])
+    near = np.flatnonzero((at[mine][1:] == at[mine][:-1]) & (gap < min_words))
+    firsts, late = begin[own & (start == at)], mine[near + 1]
+    last = np.searchsorted(firsts, at[late] + gap[near]) - 1
+    begin[late] = np.maximum(begin[late], firsts[last] + min_words)
+    return begin
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, text_key, n_words, first_word, end_word, source_doc_id, source_word): passages to cut.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased, and
     are counted from 0. Rows of equal words are one text here. Every window of
-    ``min_words`` words that stands in more than one place of the texts is kept
-    at the first one, by doc_id and then by word, and is
-    to be cut at all others. A word is cut if it is in a window to be cut and in
-    none to be kept, so each repeated window stays whole once. source names the
-    first place of the first window that the passage is cut for. Documents
+    ``min_words`` words that stands in more than one place of the texts is cut
+    at all of them but the first, by doc_id and then by word. Where a text
+    repeats itself with overlap, the windows that begin in the first period of
+    the repeat stay whole; nothing else shields a word, so a window that is
+    first in a text loses the words that an earlier place has. Each word cut
+    stands at an earlier place, and in the end at one that is kept. source names
+    the first place of the first window that the passage is cut for. Documents
     without such words have no row, and so have null, empty and short texts.
 
     Rows of equal words are copies of the one with the smallest doc_id and are
@@ -174,8 +194,9 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     place = F.struct("rep", "text_key", "start")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first")
     marked = windows.join(first, "window")
+    same = (F.col("rep") == F.col("first.rep")) & (F.col("text_key") == F.col("first.text_key"))
     by_text = scratch.save(
-        marked.select("text_key", F.struct("start", (place == F.col("first")).alias("keep"), F.col("first.rep").alias("rep"), F.col("first.start").alias("at")).alias("w"))
+        marked.select("text_key", F.struct("start", same.alias("own"), F.col("first.rep").alias("rep"), F.col("first.start").alias("at")).alias("w"))
         .groupBy("text_key").agg(F.collect_list("w").alias("w")), "marked")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,21 +204,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             out: list[tuple] = []
             listed = batch.column("w")
             ends = np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
-            start, keep, rep, at = (listed.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            start, own, rep, at = (listed.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(4))
             for i, key in enumerate(batch.column("text_key").to_pylist()):
-                part = slice(ends[i], ends[i + 1])
-                s, k, r, a = start[part], keep[part], rep[part], at[part]
-                edge = np.zeros((2, int(s.max()) + min_words + 1), dtype=np.int64)
-                for which, mine in ((0, s[~k]), (1, s[k])):
-                    np.add.at(edge[which], mine, 1)
-                    np.add.at(edge[which], mine + min_words, -1)
-                cover = np.cumsum(edge, axis=1) > 0
-                cut = np.diff(np.concatenate([[0], (cover[0] & ~cover[1]).astype(np.int8), [0]]))
-                order = np.argsort(s[~k], kind="stable")
-                cs, cr, ca = s[~k][order], r[~k][order], a[~k][order]
-                for low, high in zip(np.flatnonzero(cut == 1).tolist(), np.flatnonzero(cut == -1).tolist()):
-                    j = int(np.searchsorted(cs, low - min_words + 1))
-                    out.append((key, low, high, int(cr[j]), int(ca[j])))
+                s, once = np.unique(start[ends[i] : ends[i + 1]], return_index=True)
+                o, r, a = (x[ends[i] : ends[i + 1]][once] for x in (own, rep, at))
+                begin, cut = _cut_from(s, o, a, min_words), ~o | (s != a)
+                if not cut.any():
+                    continue
+                s, r, a, begin = s[cut], r[cut], a[cut], begin[cut]
+                edge = np.zeros(int(s.max()) + min_words + 1, dtype=np.int64)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, s + min_words, -1)
+                turns = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8), [0]]))
+                order = np.argsort(begin, kind="stable")
+                for low, high in zip(np.flatnonzero(turns == 1).tolist(), np.flatnonzero(turns == -1).tolist()):
+                    j = order[np.searchsorted(begin, low, sorter=order)]
+                    out.append((key, low, high, int(r[j]), int(a[j])))
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], ["text_key", "first_word", "end_word", "source", "source_word"])
 
