@@ -290,6 +290,22 @@ def test_token_store(spark, documents, monkeypatch):
     assert token_store.read_all(none).count() == 0
 
 
+def test_fetch_from_wide_shards(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(None, "no id"), (-(1 << 63), "low"), (-5, "a b"), (-1, "c"), (0, "d e f"), (3, "g"), (3, "h i"), (1 << 40, "j"), ((1 << 63) - 1, "high")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = spark.createDataFrame([(i,) for i in (None, -(1 << 63), -5, -1, 1, 3, 1 << 40, (1 << 63) - 1)], "doc_id long")
+    for at_once in (1 << 19, 4, 1):  # one shard, several documents in a shard, and a shard each
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(token_store, "SHARD_IDS", at_once)
+            shards = scratch.Scratch(spark, "test").save(token_store.write_shards(docs.coalesce(1), path, end_id=2), "shards")
+        found = token_store.fetch(shards, keys).collect()
+        assert sorted(r.doc_id for r in found) == [-(1 << 63), -5, -1, 3, 3, 1 << 40, (1 << 63) - 1]
+        encode = tokenizers.Tokenizer.from_file(path).encode
+        assert sorted(r.ids for r in found) == sorted(
+            encode(t, add_special_tokens=False).ids + [2] for i, t in rows if i not in (None, 0))
+
+
 def test_notices(spark, documents):
     out = {r.doc_id: r for r in notices.scan_notices(documents.where("doc_id <> 7"), queries.PHRASES).collect()}
     hit = out[11]

@@ -135,6 +135,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
     ``path`` is a tokenizer file on every executor; ``end_id`` ends each
     document, also an empty or null text. ``width`` is the bytes of an id. One
     shuffle deals the texts by range; each range numbers its shards and ids.
+    first_id and last_id are the smallest and largest doc_id that isn't null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
         seq = start = count = 0
 
         def close() -> pa.RecordBatch:
-            values = [part, seq, start, count, len(ids), ids[0], ids[-1], pack(ids, payloads, width)]
+            values = [part, seq, start, count, len(ids), next((x for x in ids if x is not None), None), ids[-1], pack(ids, payloads, width)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], type=k) for v, k in zip(values, kinds)], names)
 
@@ -200,18 +201,21 @@ def read_all(shards: DataFrame) -> DataFrame:
 def fetch(shards: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, ids array) of the documents whose doc_id is in ``keys``; absent keys give no row.
 
-    Only the shards' number ranges are compared at first: a key goes to the
-    shards whose first and last doc_id enclose it, found by an equi-join on
-    blocks of the ranges. Repeated doc_ids give each of their documents.
+    A key goes to the shards whose first and last doc_id enclose it. Each shard
+    has one row, named by the smallest block of a power of two that holds both;
+    a key looks for its blocks of the sizes in use, 65 at most. Shards do not
+    overlap but at their ends, so of one block there is one row, or the rows
+    that share a doc_id. Repeated doc_ids give each of their documents.
     """
-    spans = shards.where("last_id is not null").select(
-        "part", "seq", F.coalesce("first_id", F.lit(-(1 << 62))).alias("low"), F.col("last_id").alias("high"))
-    block = 1 << 16
-    cells = spans.select("part", "seq", "low", "high", F.explode(F.sequence(
-        F.floor(F.col("low") / block), F.floor(F.col("high") / block))).alias("cell"))
+    block = "case when level = 64 then 0 else shiftright({}, level) end"
+    differ = F.col("low").bitwiseXOR(F.col("high"))
+    spans = (shards.where("last_id is not null").select("part", "seq", F.col("first_id").alias("low"), F.col("last_id").alias("high"))
+             .withColumn("level", F.when(differ == 0, 0).otherwise(F.length(F.bin(differ))))
+             .withColumn("block", F.expr(block.format("low"))))
     wanted = keys.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct()
-    asked = (wanted.withColumn("cell", F.floor(F.col("key") / block)).join(cells, "cell")
-             .where(F.col("key").between(F.col("low"), F.col("high"))).groupBy("part", "seq").agg(F.collect_set("key").alias("keys")))
+    asked = (wanted.crossJoin(F.broadcast(spans.select("level").distinct())).withColumn("block", F.expr(block.format("key")))
+             .join(spans, ["level", "block"]).where(F.col("key").between(F.col("low"), F.col("high")))
+             .groupBy("part", "seq").agg(F.collect_set("key").alias("keys")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
