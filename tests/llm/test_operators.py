@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from weftgraph.llm import (byte_bpe, decontaminate, notices, part_enum, quality, queries, quotes, scratch, simhash, suffixes, text_hash, token_store, tokens, urls)
 
@@ -87,6 +88,20 @@ def test_repeated_passages(spark, documents):
     assert suffixes.repeated_passages(empty(documents), 50).count() == 0
 
 
+def test_a_signature_of_many_sets_spans_tasks(spark):
+    rows = [(5, i) for i in range(3000)] + [(i, 1) for i in range(100, 1100)] + [(7, 2)] * 50 + [(8, 1), (8, 2)]
+    df = spark.createDataFrame(rows, "signature long, set_key long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = part_enum.shared_signatures(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {(5, i) for i in range(3000)} | {(8, 1), (8, 2)}
+    got = [(r.signature, r.set_key) for r in out]
+    assert want <= set(got) and len(got) == len(set(got)) and len(got) < len(want) + 20
+    assert len({r.task for r in out if r.signature == 5}) > 1
+
+
 def plain_passages(texts, m):
     """{(number, first word, end word)} to cut from texts of different words, by the rule in words."""
     places, out = defaultdict(list), set()

@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from weftgraph.llm.components import components
 from weftgraph.llm.scratch import Scratch
@@ -133,6 +133,31 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(sign, "signature long, set_key long")
 
 
+def shared_signatures(signed_sets: DataFrame) -> DataFrame:
+    """The (signature, set_key) rows whose signature has another set.
+
+    One sort over all tasks by both columns, so a signature of very many sets
+    spans tasks; a row has company if a neighbour has its signature. Rows at the
+    ends of a batch are kept unseen, maybe twice; a set alone there is compared with nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signature, key = (batch.column(i).to_numpy() for i in range(2))
+            fresh = np.ones(len(signature), dtype=bool)
+            fresh[1:] = (signature[1:] != signature[:-1]) | (key[1:] != key[:-1])
+            signature, key = signature[fresh], key[fresh]
+            keep = np.zeros(len(signature), dtype=bool)
+            keep[:1] = keep[-1:] = True
+            same = signature[1:] == signature[:-1]
+            keep[1:] |= same
+            keep[:-1] |= same
+            yield pa.RecordBatch.from_arrays([pa.array(signature[keep]), pa.array(key[keep])], ["signature", "set_key"])
+
+    order = ("signature", "set_key")
+    return signed_sets.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "signature long, set_key long")
+
+
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """(set_key, shingles) of the rows whose set has the key asked for; once for each key in a task."""
 
@@ -193,12 +218,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     """
     scratch = Scratch(docs.sparkSession, "part_enum")
     digests = scratch.save(set_digests(docs, words), "digests")
-    by_signature = Window.partitionBy("signature")
-    shared = scratch.save(
-        signature_rows(docs, words, percent)
-        .withColumn("_low", F.min("set_key").over(by_signature))
-        .withColumn("_high", F.max("set_key").over(by_signature))
-        .where("_low <> _high").select("signature", "set_key"), "shared")
+    shared = scratch.save(shared_signatures(signature_rows(docs, words, percent)), "shared")
     nodes = digests.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     wanted = (shared.select("set_key").distinct().join(nodes, "set_key")
