@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F  # noqa:
 
 from weftgraph.llm.byte_bpe import encode_documents  # noqa: E402
 from weftgraph.llm.decontaminate import drop_leaks  # noqa: E402
-from weftgraph.llm.part_enum import jaccard_components  # noqa: E402
+from weftgraph.llm.part_enum import jaccard_groups, with_set_keys  # noqa: E402
 from weftgraph.llm.quality import keep_quality  # noqa: E402
 from weftgraph.llm.scratch import Scratch  # noqa: E402
 from weftgraph.llm.suffixes import cut_passages, repeated_passages  # noqa: E402
@@ -27,13 +27,19 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document, that with the smallest doc_id, of each group linked by 5-word shingles at 0.8.
 
     Documents without words are in no group and stay. Rows of one doc_id and one
-    text are one document. A null doc_id stays where its group has no other.
+    text are one document. A null doc_id stays where its group has no other; of
+    a group's documents with the smallest doc_id that of the smallest set stays.
     """
-    groups = jaccard_components(docs, words=5, percent=80)
+    groups = jaccard_groups(docs, words=5, percent=80)
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_own")
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(own).distinct()
-    once = Window.partitionBy("_own", "_text").orderBy("_text")
-    return (docs.select("*", own).join(keep, "_own", "left_semi").withColumn("_text", F.xxhash64("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), own, "set_key")).alias("first")
+    keep = groups.where("group_key is not null").groupBy("group_key").agg(first).select("first._own", F.col("first.set_key").alias("_set"))
+    rows = with_set_keys(docs, 5, "_set").select("*", own)
+    # Rows of one set are in one group, so one of them stays; texts without words are told apart by themselves.
+    once = Window.partitionBy("_own", "_set", F.when(F.col("_set").isNull(), F.col("_text"))).orderBy("_text")
+    wordless = groups.where("group_key is null").select(own, F.lit(0).cast("long").alias("_some")).distinct()
+    keep = keep.withColumnRenamed("_set", "_some").unionByName(wordless)
+    return (rows.withColumn("_some", F.coalesce("_set", F.lit(0))).join(keep, ["_own", "_some"], "left_semi").withColumn("_text", F.xxhash64("text"))
             .withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns))
 
 

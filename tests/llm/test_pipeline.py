@@ -35,3 +35,20 @@ def test_stages(spark, tmp_path):
     table = token_bytes(public_tokenizers.path("byte_bpe_50k.json"))
     for i, row in seen["byte_bpe"].items():
         assert b"".join(table[x] for x in np.frombuffer(row.ids, dtype="<u4")).decode() == (seen["decontamination"][i].text or "")
+
+
+def test_one_row_of_each_group_stays(spark):
+    draw = random.Random(2)
+    prose = lambda: [f"p{draw.randrange(10**6)}" for _ in range(100)]
+    a, b, c, d, e = (prose() for _ in range(5))
+    near = lambda w: w[:-1] + ["edit"]
+    rows = [
+        (1, a), (None, near(a)), (None, b), (7, c), (3, d), (7, near(d)), (8, e), (8, near(e)), (9, ["one"]), (9, ["ONE"]),
+        (None, f := prose()), (None, near(f)), (None, []), (5, []), (5, None), (5, None), (6, ["x"]), (6, ["y"])]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w), "en") for i, w in rows], "doc_id long, text string, lang string")
+    left = [(r.doc_id, r.text) for r in pipeline.ngram_jaccard(spark, docs, "").collect()]
+    text = " ".join
+    want = [(1, text(a)), (None, text(b)), (7, text(c)), (3, text(d)), (None, ""), (5, ""), (5, None), (6, "x"), (6, "y")]
+    assert set(want) <= set(left) and len(left) == len(want) + 3
+    for i, some in ((8, {text(e), text(near(e))}), (9, {"one", "ONE"}), (None, {text(f), text(near(f))})):
+        assert len([x for x in left if x[0] == i and x[1] in some]) == 1

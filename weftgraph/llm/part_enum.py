@@ -197,8 +197,26 @@ def _counted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "a", "b", "common", _alike(percent, F.col("common"), F.col("_na"), F.col("_nb")).alias("linked"))
 
 
+def with_set_keys(docs: DataFrame, words: int, name: str) -> DataFrame:
+    """``docs`` with the key of each row's set in a column ``name``; null where the set is empty."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, _, _, sizes, key in _sets(batch, words):
+                part = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(key), mask=sizes == 0)], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, f"{fields}, `{name}` long")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id for every row of ``docs``.
+    """Columns doc_id, n_shingles, component_id of ``jaccard_groups``."""
+    return jaccard_groups(docs, words, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """Columns doc_id, n_shingles, component_id, set_key, group_key for every row of ``docs``.
 
     Rows are linked when 100 * intersection >= percent * union of their sets of
     ``words``-word shingles; component_id is the smallest doc_id in reach.
@@ -206,7 +224,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     null, empty or blank text has an empty set and is linked with nothing, so
     its component is its own doc_id. Repeated rows and rows with one set are
     linked; repeated doc_ids are told apart by their sets; a null doc_id counts
-    only if a component has no other. Other columns are ignored.
+    only if a component has no other. Other columns are ignored. set_key is that
+    of ``with_set_keys``; group_key tells components of one id apart. Both are
+    null for an empty set.
 
     No group emits all its pairs. One set per key signs. Of the sets that share
     a signature with a different set, those with too many shingles that no
@@ -270,10 +290,11 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
              .select("set_key", "rep", "copies", F.coalesce("component", "set_key").alias("component"),
                      F.col("component").isNotNull().alias("linked")))
     names = named.where("linked").groupBy("component").agg(F.min("rep").alias("component_id"))
-    groups = (named.where("linked").join(names, "component").select("set_key", "component_id")
-              .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"))))
+    groups = (named.where("linked").join(names, "component").select("set_key", "component_id", "component")
+              .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"), "component")))
     groups = scratch.save(groups, "groups")
     scratch.drop(shared, wanted, sets, kept, stars, found, placed, late)
     key = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return (digests.withColumn("set_key", key).join(groups, "set_key", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key",
+                    F.coalesce("component", "set_key").alias("group_key")))
