@@ -183,6 +183,20 @@ def test_leaks(spark, documents):
         assert {(first, item) for _, first, _, item, _ in decontaminate.retrieve(index, words, 0.3)} == want
 
 
+def test_short_items_are_found_word_for_word(spark):
+    items = spark.createDataFrame([
+        (1, "Capital of Peru? Lima."), (2, "Red or blue? Red."), (3, "?"), (4, None), (5, "capital of PERU lima"), (6, "Lima"),
+        (7, "Which of the many rivers runs past the old mill? The slow one.")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Quiz: capital of Peru - lima, capital of peru? Lima!"), (2, "the capital of all Peru? Lima."), (3, "red or blue? green, red"),
+        (4, "so red or blue red"), (5, "capital of Peru"), (6, "Lima"), (7, None), (8, ""),
+        (9, "which of the many rivers runs past the old mill? the slow one"), (10, "red or blue")], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.score, r.first_word) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert found.pop((9, 7))[1] == 0
+    assert found == {(1, 1): (1, 1), (1, 5): (1, 1), (1, 6): (1, 4), (2, 6): (1, 5), (4, 2): (1, 1), (6, 6): (1, 0)}
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [3, 5, 7, 8, 10]
+
+
 def test_quality_gradient_and_odd_texts(spark, documents):
     draw = np.random.default_rng(3)
     x, first, y = draw.normal(size=(9, quality.BUCKETS + quality.SHAPES)) / 10, np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])

@@ -73,6 +73,34 @@ class ItemIndex:
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
 
+class ShortItems:
+    """Items of few words, found where all their words stand one after another."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]]):
+        self.items, numbers = items, {}
+        for number, (_, question, answer) in enumerate(items):
+            numbers.setdefault(len(question) + len(answer), []).append(number)
+        self.by_length = {}
+        for size, mine in sorted(numbers.items()):
+            words = Words.of_hashes([np.concatenate(items[i][1:]) for i in mine])
+            hashes = words.windows(size)[0][words.first[:-1]]
+            order = np.argsort(hashes, kind="stable")
+            self.by_length[size] = hashes[order], np.array(mine)[order]
+
+    def find(self, words: Words) -> Iterator[tuple[int, int, int]]:
+        """(row, item, first word) of the first place of each item in each text."""
+        for size, (hashes, numbers) in self.by_length.items():
+            value, whole = words.windows(size)
+            low, high = np.searchsorted(hashes, value, side="left"), np.searchsorted(hashes, value, side="right")
+            at = np.flatnonzero(whole & (low < high))
+            _, once = np.unique(words.row[at] * (len(hashes) + 1) + low[at], return_index=True)
+            for place in at[np.sort(once)].tolist():
+                for number in numbers[low[place] : high[place]].tolist():
+                    if np.array_equal(words.hash[place : place + size], np.concatenate(self.items[number][1:])):
+                        row = int(words.row[place])
+                        yield row, number, place - int(words.first[row])
+
+
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, place) for every place of the ranges first..last."""
     size = last - first
@@ -168,13 +196,8 @@ def _hashes(text: str) -> np.ndarray:
     return Words(raw, np.array([0, len(raw)]), LETTERS).hash if len(raw) else np.zeros(0, dtype=np.uint64)
 
 
-def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
-    """Indexes over all items of ``min_words`` words or more, each for one pass over the texts.
-
-    Document frequencies and the mean length are over all those items. Items
-    are dealt to passes by length and then by hash, so an index has about
-    ``PASS_POSTINGS`` postings at most, whatever the number of items.
-    """
+def _split_items(items: DataFrame) -> DataFrame:
+    """(item_id, question, answer, n): word hashes of both parts, and how many they are."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +207,31 @@ def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
                 ["item_id", "question", "answer"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(read, "item_id long, question array<long>, answer array<long>")
-    rows = (rows.withColumn("n", F.size("question") + F.size("answer")).where(F.col("n") >= min_words)
+    return rows.withColumn("n", F.size("question") + F.size("answer"))
+
+
+def _collected(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return sorted(((r.item_id, *(np.array(x, dtype=np.int64).view(np.uint64) for x in (r.question, r.answer))) for r in rows.collect()),
+                  key=lambda x: (x[0] is None, x[0] or 0))
+
+
+def build_short(items: DataFrame, min_words: int = 8) -> list[ShortItems]:
+    """The items of fewer than ``min_words`` words, dealt by hash to passes of about ``PASS_POSTINGS`` words at most."""
+    rows = _split_items(items).where((F.col("n") > 0) & (F.col("n") < min_words))
+    passes = -(-(rows.agg(F.sum("n")).first()[0] or 0) // PASS_POSTINGS)
+    dealt = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(max(passes, 1)))
+    return [ShortItems(found) for number in range(passes) if (found := _collected(rows.where(dealt == number)))]
+
+
+def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
+    """Indexes over all items of ``min_words`` words or more, each for one pass over the texts.
+
+    Document frequencies and the mean length are over all those items. Items
+    are dealt to passes by length and then by hash, so an index has about
+    ``PASS_POSTINGS`` postings at most, whatever the number of items.
+    """
+
+    rows = (_split_items(items).where(F.col("n") >= min_words)
             .withColumn("band", F.ceil(F.greatest(F.log2(F.col("n") / 64) / 2, F.lit(0.0))).cast("int")))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).collect()
     n_items, total = sum(s["items"] for s in sizes), sum(s["words"] for s in sizes)
@@ -196,14 +243,17 @@ def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
             mine = rows.where((F.col("band") == size["band"]) & (F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(passes)) == number))
             own = mine.select(F.explode(F.concat("question", "answer")).alias("term")).distinct()
             df = {r.term % (1 << 64): r.df for r in terms.join(own, "term").collect()}
-            found = sorted(((r.item_id, *(np.array(x, dtype=np.int64).view(np.uint64) for x in (r.question, r.answer))) for r in mine.collect()),
-                           key=lambda x: (x[0] is None, x[0] or 0))
+            found = _collected(mine)
             if found:
                 out.append(ItemIndex(found, df, n_items, total / n_items))
     return out
 
 
-def _verified(index: ItemIndex, begin: int, threshold: float, overlap: float, words: Words) -> Iterator[tuple]:
+def _verified(index: ItemIndex | ShortItems, begin: int, threshold: float, overlap: float, words: Words) -> Iterator[tuple]:
+    if isinstance(index, ShortItems):
+        for row, number, first in index.find(words):
+            yield begin + row, number, 1.0, first, 1.0, 1.0
+        return
     for row, first, end, number, score in retrieve(index, words, threshold):
         _, question, answer = index.items[number]
         passage = words.hash[words.first[row] + first : words.first[row] + end]
@@ -221,16 +271,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
     the question's words and of the answer's, a share of ``overlap`` must stand
     in the passage in their order. One row for each document and item, with the
     best passage, the first of equal ones. Items of fewer than ``min_words``
-    words are too short to tell and find nothing; null and empty texts have no
-    row; repeated rows count once; other columns are ignored.
+    words are too short to tell by score: they are found where their question
+    and answer stand word for word one after another, at the first such place,
+    with score and overlaps 1. Items without words find nothing; null and empty
+    texts have no row; repeated rows count once; other columns are ignored.
     """
     columns = "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
     names = [c.split()[0] for c in columns.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")[1:]])
-    for index in build_indexes(items, min_words):
+    for index in [*build_indexes(items, min_words), *build_short(items, min_words)]:
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex | ShortItems = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for begin, _, data, bounds in chunks(batch.column("text")):
@@ -249,9 +301,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
 def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, min_words: int = 8) -> DataFrame:
     """The rows of ``docs`` that hold no item, judged as ``find_leaks`` does; nothing is shuffled."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for index in build_indexes(items, min_words):
+    for index in [*build_indexes(items, min_words), *build_short(items, min_words)]:
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex | ShortItems = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for begin, _, data, bounds in chunks(batch.column("text")):

@@ -121,6 +121,16 @@ class Words:
         inverse = _power(_BASE_INV, n + 1)[self.start]
         self.hash = mix((total[self.end] - total[self.start]) * inverse + width)
 
+    @classmethod
+    def of_hashes(cls, texts: list[np.ndarray]) -> Words:
+        """Texts given by their words' hashes; without bytes and places."""
+        out = cls.__new__(cls)
+        out.counts = np.array([len(t) for t in texts], dtype=np.int64)
+        out.first = np.concatenate([[0], np.cumsum(out.counts)])
+        out.row = np.repeat(np.arange(len(texts)), out.counts)
+        out.hash = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
+        return out
+
     def __len__(self) -> int:
         return len(self.start)
 
