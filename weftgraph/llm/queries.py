@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftgraph.llm import oracles
 from weftgraph.llm.byte_bpe import round_trip
 from weftgraph.llm.decontaminate import find_leaks
+from weftgraph.llm.divergence import source_divergence
 from weftgraph.llm.notices import scan_notices
 from weftgraph.llm.part_enum import jaccard_components
 from weftgraph.llm.quality import judge_quality
@@ -78,10 +80,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quotation_linking, op2_decontamination, op3_quality_attention, op4_suffix_array, op5_url_filter,
-        op6_simhash, op7_byte_bpe, op8_token_store, op9_license_scan, op10_jaccard_join)
+        op6_simhash, op7_byte_bpe, op8_token_store, op9_license_scan, op10_jaccard_join, op12_source_divergence)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": oracles.SOURCE_DIVERGENCE}
