@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import pytest
 
-from weftgraph.llm import divergence, spans
+from weftgraph.llm import divergence, phrases, spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, term string, n long, value string"
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -85,3 +85,54 @@ def test_long_texts_are_counted_in_windows(spark, monkeypatch):
     assert [p[4] for p in parts if p[0] == 1][-1] is False
     whole = list(spans.windows(pa.array(["x" * 200 + " " + "y" * 100]), ~divergence.TERM, limit=60))
     assert [len(p[2]) for p in whole] == [201, 100]
+
+
+PIECE, WORD = re.compile(r"[.,;:!?\x0A-\x0D]"), re.compile(r"[^\x20\x09]+")
+
+
+def plain_collocations(rows, support, top):
+    out = []
+    counts, total = defaultdict(Counter), Counter()
+    for r in rows:
+        lang = "und" if r.lang is None else r.lang
+        for piece in PIECE.split((r.text or "").translate(UPPER)):
+            words = WORD.findall(piece)
+            total[lang] += len(words)
+            for m in range(1, 5):
+                counts[lang].update(tuple(words[i : i + m]) for i in range(len(words) - m + 1))
+    for lang, f in counts.items():
+        ready = {p: a for p, a in f.items() if len(p) > 1 and a >= support}
+        kept = []
+        for p, a in ready.items():
+            around = [b for q, b in ready.items() if len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q)))]
+            if any(100 * b >= 80 * a for b in around):
+                continue
+            score, k = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
+            kept.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(kept)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, total[lang], -score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shards": 3, "filter_bits": 1 << 16, "window_bytes": 300}, {"shards": 1}])
+def test_collocations(spark, sizes):
+    rows = [(5000 + i, t, lang, None, "p", 1, "v") for i, (t, lang) in enumerate([
+        ("New York  city. new\tyork CITY, a b a b a b", "en"), ("a a a a a a a\x0ba a a", None), ("a a", "und"), ("\x00 \x00 \x00 \x00", "en"),
+        ("new york\nnew york; city", "en"), ("日本 語 " * 40, "ja"), ("word " * 700 + "!" + "a b c d e " * 50, "en")])]
+    docs = corpus(spark).unionByName(spark.createDataFrame(rows, SCHEMA))
+    for support, top in ((4, 1000), (7, 5)):
+        got = phrases.collocations(docs, support=support, top=top, **sizes).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+        assert sorted(tuple(r) for r in got.collect()) == plain_collocations(docs.collect(), support, top)
+
+
+def test_collocations_of_nothing(spark):
+    assert phrases.collocations(corpus(spark).where("false")).collect() == []
+    assert phrases.collocations(corpus(spark), support=10**6).collect() == []
+
+
+def test_a_full_filter_never_misses(spark):
+    import numpy as np
+
+    keys = np.random.default_rng(0).integers(-(1 << 63), 1 << 63, 40_000, dtype=np.int64)
+    made = phrases.KeyFilter(spark.createDataFrame([(int(k),) for k in keys], "key long"), most_bits=1 << 16)
+    assert made.bits == 1 << 16 and made.has(keys.view(np.uint64)).all()
