@@ -13,12 +13,14 @@ from weftgraph.llm.decontaminate import find_leaks
 from weftgraph.llm.divergence import source_divergence
 from weftgraph.llm.notices import scan_notices
 from weftgraph.llm.part_enum import jaccard_components
+from weftgraph.llm.phrases import collocations
 from weftgraph.llm.quality import judge_quality
 from weftgraph.llm.quotes import link_quotes
 from weftgraph.llm.scratch import Scratch
 from weftgraph.llm.simhash import compare_with_edits, near_fingerprints
 from weftgraph.llm.suffixes import repeated_passages
 from weftgraph.llm.token_store import read_all, write_shards
+from weftgraph.llm.toxicity import judge_toxicity
 from weftgraph.llm.urls import judge_urls, starting_labels
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -80,14 +82,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), support=30, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quotation_linking, op2_decontamination, op3_quality_attention, op4_suffix_array, op5_url_filter,
-        op6_simhash, op7_byte_bpe, op8_token_store, op9_license_scan, op10_jaccard_join, op12_source_divergence)
+        op6_simhash, op7_byte_bpe, op8_token_store, op9_license_scan, op10_jaccard_join, op11_toxicity,
+        op12_source_divergence, op13_collocations)
 }
 
-ORACLES: dict[str, str] = {"op12_source_divergence": oracles.SOURCE_DIVERGENCE}
+ORACLES: dict[str, str] = {"op12_source_divergence": oracles.SOURCE_DIVERGENCE, "op13_collocations": oracles.COLLOCATIONS}
