@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/weftgraph/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files behind; without it they stay until the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def materialise(df: DataFrame, label: str = "stage", by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -74,5 +88,6 @@ def materialise(df: DataFrame, label: str = "stage", by: str | None = None) -> D
     """
     path = scratch_path(df.sparkSession, label)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    with shuffles_freed(df.sparkSession):
+        (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
