@@ -90,7 +90,7 @@ def test_repeated_passages(spark, documents):
 
 def test_a_signature_of_many_sets_spans_tasks(spark):
     rows = [(5, i) for i in range(3000)] + [(i, 1) for i in range(100, 1100)] + [(7, 2)] * 50 + [(8, 1), (8, 2)]
-    df = spark.createDataFrame(rows, "signature long, set_key long").repartition(8)
+    df = spark.createDataFrame([(s, k, 1 + k % 1024 if s == 5 else 0) for s, k in rows], "signature long, set_key long, spread short").repartition(8)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         out = part_enum.shared_signatures(df).withColumn("task", F.spark_partition_id()).collect()
@@ -102,6 +102,17 @@ def test_a_signature_of_many_sets_spans_tasks(spark):
     assert len({r.task for r in out if r.signature == 5}) > 1
 
 
+def test_signatures_of_many_sets_are_known_beforehand(spark):
+    common = " ".join(f"c{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{common} u{i}") for i in range(300)] + [(1000 + i, " ".join(f"w{i}x{j}" for j in range(150))) for i in range(50)],
+                                 "doc_id long, text string")
+    hot = part_enum.hot_signatures(docs, 5, 80, one_in=1, least=100)
+    rows = part_enum.signature_rows(docs, 5, 80, hot=hot)
+    assert len(hot) and rows.where("spread > 0").select("signature").distinct().count() == len(hot)
+    halves = [part_enum.signature_rows(docs, 5, 80, 2, i, hot) for i in range(2)]
+    assert halves[0].count() and halves[1].count() and halves[0].unionByName(halves[1]).exceptAll(rows).count() == 0 == rows.exceptAll(halves[0].unionByName(halves[1])).count()
+
+
 def plain_passages(texts, m):
     """{(number, first word, end word)} to cut from texts of different words, by the rule in words."""
     places, out = defaultdict(list), set()
@@ -281,19 +292,30 @@ def test_byte_bpe(spark, documents):
     assert "".join(byte_bpe.decode_parts((ids[i : i + 1].tobytes() for i in range(len(ids))), table)) == text
     spans = byte_bpe.character_offsets(ids.tobytes(), table)
     assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < b for a, b in spans)
+    for r in byte_bpe.round_trip(docs, path).where("doc_id in (14, 106)").collect():
+        text = next(t for i, t in rows_of(docs) if i == r.doc_id)
+        places, at = [], 0
+        for token in plain.encode_ordinary(text):
+            stop = at + len(plain.decode_single_token_bytes(token))
+            whole = text.encode()
+            low = max(i for i in range(at + 1) if whole[i] & 0xC0 != 0x80)
+            high = min(i for i in range(stop, len(whole) + 1) if i == len(whole) or whole[i] & 0xC0 != 0x80)
+            places.append((len(whole[:low].decode()), len(whole[:high].decode())))
+            at = stop
+        assert r.offsets_sha256 == hashlib.sha256(np.array(places, dtype="<i4").tobytes()).hexdigest()
+        assert r.n_split == sum(b[0] < a[1] for a, b in zip(places, places[1:]))
     assert byte_bpe.round_trip(empty(docs), path).count() == 0
 
 
 def test_words_encoded_as_the_library_does(monkeypatch):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = tokenizers.Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    texts = ["", " ", "a.b", "\n x", "don't STOP'LL 'S", "x<|endoftext|>y", "É.é", "e\u0301,", "ΑΣ.", "İ", "a\u00a0b\u3000c", "A\x00B", "a\x1cb",
+    texts = ["x <|endoftext|> y", "w" * 500 + " " + "w," * 300, "", " ", "a.b", "\n x", "don't STOP'LL 'S", "x<|endoftext|>y", "É.é", "e\u0301,", "ΑΣ.", "İ", "a\u00a0b\u3000c", "A\x00B", "a\x1cb",
              "x..y,,z", ",a", "ſ.K", "１２3.4", "ß.ẞ;Ω:", "new words " * 500, "Z.", ".z"]
     want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
-    for kept in (700_000, 3):  # a full store starts anew
-        monkeypatch.setattr(tokens, "KEPT", kept)
-        use = tokens.Encoder(path, tokens.cut_lower_words, "<u2", separator=" ")
+    for kept in (64 << 20, 3):  # a full store starts anew
+        monkeypatch.setattr(tokens, "KEPT_BYTES", kept)
+        use = tokens.Encoder(path, tokens.cut_lower_words, "<u2", separator=" ", special=True)
         assert use.encode_words(texts) == want == use.encode(texts)
         assert use.encode_words([]) == [] and [use.encode_words([t])[0] for t in texts] == want
 

@@ -10,6 +10,7 @@ some subset of the parts of some group, and so share that subset's signature.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,10 @@ from weftgraph.llm.text_hash import NOT_SPACE, Words, chunks, mix, signed
 
 #: Set keys remembered by a task so that copies sign once; forgetting one only repeats rows.
 REMEMBERED = 200_000
+#: Signatures are sorted in so many slices, one after the other, whose shuffle files are freed in between.
+SLICES = 2
+#: One in so many texts is sampled for signatures of very many sets; from so many sampled sets on, one is spread.
+SAMPLED, HOT_ROWS, HOT_SIGNATURES = 64, 64, 100_000
 
 
 class Bands:
@@ -111,8 +116,13 @@ def set_digests(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_shingles long, set_key long")
 
 
-def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(signature, set_key) rows; copies of one set in one task sign once."""
+def signature_rows(docs: DataFrame, words: int, percent: int, slices: int = 1, number: int = 0, hot: np.ndarray | None = None) -> DataFrame:
+    """(signature, set_key, spread) rows of one slice of the signatures; copies of one set in one task sign once.
+
+    ``hot`` lists signatures known to be those of several sets (sorted): their
+    rows are spread over 1024 numbers from 1 on, all others have 0.
+    """
+    hot = np.zeros(0, dtype=np.uint64) if hot is None else hot
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
@@ -127,35 +137,54 @@ def signature_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     seen.clear()
                 some = fresh[rows]
                 for who, signature in signatures(rows[some], values[some], np.where(fresh, sizes, 0), bands):
+                    if slices > 1:
+                        mine = (signature >> np.uint64(40)) % np.uint64(slices) == number
+                        who, signature = who[mine], signature[mine]
+                    spread = np.zeros(len(who), dtype=np.int16)
+                    if len(hot):
+                        at = np.minimum(np.searchsorted(hot, signature), len(hot) - 1)
+                        spread = np.where(hot[at] == signature, 1 + key[who] % np.uint64(1024), 0).astype(np.int16)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(signature)), pa.array(signed(key[who]))], ["signature", "set_key"])
+                        [pa.array(signed(signature)), pa.array(signed(key[who])), pa.array(spread)], ["signature", "set_key", "spread"])
+
+    return docs.select("text").mapInArrow(sign, "signature long, set_key long, spread short")
 
-    return docs.select("text").mapInArrow(sign, "signature long, set_key long")
+
+def hot_signatures(docs: DataFrame, words: int, percent: int, one_in: int = SAMPLED, least: int = HOT_ROWS) -> np.ndarray:
+    """Signatures that ``least`` sets or more of a sample of the texts share, at most ``HOT_SIGNATURES`` of them.
+
+    They are certain to be shared. The list only spares tasks many rows of one
+    signature; whatever it lacks is found like all others.
+    """
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0)
+    found = (signature_rows(some, words, percent).groupBy("signature").agg(F.count_distinct("set_key").alias("n"))
+             .where(F.col("n") >= least).orderBy(F.desc("n"), "signature").limit(HOT_SIGNATURES))
+    return np.sort(np.array([r.signature for r in found.select("signature").collect()], dtype=np.int64).view(np.uint64))
 
 
 def shared_signatures(signed_sets: DataFrame) -> DataFrame:
     """The (signature, set_key) rows whose signature has another set.
 
-    One sort over all tasks by both columns, so a signature of very many sets
-    spans tasks; a row has company if a neighbour has its signature. Rows at the
-    ends of a batch are kept unseen, maybe twice; a set alone there is compared with nothing.
+    Rows of a signature are sorted next to each other, and a row has company if
+    a neighbour has its signature. Rows that are spread are known to have
+    company, wherever they are. Rows at the ends of a batch are kept unseen,
+    maybe twice; a set alone there is compared with nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signature, key = (batch.column(i).to_numpy() for i in range(2))
+            signature, key, spread = (batch.column(i).to_numpy() for i in range(3))
             fresh = np.ones(len(signature), dtype=bool)
             fresh[1:] = (signature[1:] != signature[:-1]) | (key[1:] != key[:-1])
-            signature, key = signature[fresh], key[fresh]
-            keep = np.zeros(len(signature), dtype=bool)
+            signature, key, spread = signature[fresh], key[fresh], spread[fresh]
+            keep = spread > 0
             keep[:1] = keep[-1:] = True
             same = signature[1:] == signature[:-1]
             keep[1:] |= same
             keep[:-1] |= same
             yield pa.RecordBatch.from_arrays([pa.array(signature[keep]), pa.array(key[keep])], ["signature", "set_key"])
 
-    order = ("signature", "set_key")
-    return signed_sets.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "signature long, set_key long")
+    return signed_sets.repartition("signature", "spread").sortWithinPartitions("signature", "set_key").mapInArrow(run, "signature long, set_key long")
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -238,14 +267,17 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     """
     scratch = Scratch(docs.sparkSession, "part_enum")
     digests = scratch.save(set_digests(docs, words), "digests")
-    shared = scratch.save(shared_signatures(signature_rows(docs, words, percent)), "shared")
+    hot = hot_signatures(docs, words, percent)
+    slices = [scratch.save(shared_signatures(signature_rows(docs, words, percent, SLICES, i, hot)), "shared") for i in range(SLICES)]
+    shared = reduce(DataFrame.unionByName, slices)
     nodes = digests.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     wanted = (shared.select("set_key").distinct().join(nodes, "set_key")
               .select("set_key", F.coalesce("rep", F.lit(-(1 << 63))).alias("_id")))
     wanted = scratch.save(wanted, "wanted")
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text").join(
-        wanted.hint("merge"), "_id")
+    # By id and set: many rows may have one id, or none.
+    some = with_set_keys(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text"), words, "set_key").join(
+        wanted.hint("merge"), ["_id", "set_key"])
     sets = scratch.save(_shingle_sets(some, words), "sets")
     alone = (sets.select("set_key", F.explode("shingles").alias("shingle"))
              .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n = 1")
@@ -254,9 +286,9 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
         "set_key", "shingles", F.size("shingles").alias("n"), F.coalesce("private", F.lit(0)).alias("private"))
     kept = scratch.save(sized.where(_alike(percent, F.col("n") - F.col("private"), F.col("n"), F.col("n") - F.col("private"))), "kept")
     facts = kept.select("set_key", "n", "private")
-    members = scratch.save(shared.distinct().join(facts, "set_key"), "members")
-    hubs = members.groupBy("signature").agg(F.min(F.struct("private", "set_key")).alias("hub"))
-    members = members.join(hubs.select("signature", F.col("hub.set_key").alias("hub")), "signature")
+    met = scratch.save(shared.distinct().join(facts, "set_key"), "members")
+    hubs = met.groupBy("signature").agg(F.min(F.struct("private", "set_key")).alias("hub"))
+    members = met.join(hubs.select("signature", F.col("hub.set_key").alias("hub")), "signature")
     star = members.where("set_key <> hub").select(F.col("hub").alias("a"), F.col("set_key").alias("b")).distinct()
     stars = scratch.save(_counted(star, kept, percent), "star")
     links = stars.where("linked").select("a", "b")
@@ -293,7 +325,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     groups = (named.where("linked").join(names, "component").select("set_key", "component_id", "component")
               .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"), "component")))
     groups = scratch.save(groups, "groups")
-    scratch.drop(shared, wanted, sets, kept, stars, found, placed, late)
+    scratch.drop(*slices, wanted, sets, kept, met, stars, found, placed, late)
     key = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return (digests.withColumn("set_key", key).join(groups, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key",

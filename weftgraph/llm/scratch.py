@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.session import scratch_path
+from weftgraph.session import scratch_path, shuffles_freed
 
 
 class Scratch:
@@ -17,7 +17,8 @@ class Scratch:
     def save(self, df: DataFrame, label: str) -> DataFrame:
         self.count += 1
         path = f"{self.root}/{self.count}-{label}"
-        df.write.parquet(path)
+        with shuffles_freed(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
