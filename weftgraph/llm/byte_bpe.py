@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -85,17 +86,23 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.mapInArrow(run, f"{fields}, content binary")
 
 
-def character_offsets(ids: bytes, table: list[bytes]) -> list[tuple[int, int]]:
-    """First and end character of every token in the decoded text.
+def offsets(ids: np.ndarray, content: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end character of every token, in the text whose bytes are ``content``.
 
     A token that starts or ends inside a character covers the whole character,
-    so the spans of tokens that share one overlap.
+    so the spans of tokens that share one overlap. ``lengths`` has the bytes of every id.
     """
-    lengths = [len(table[i]) for i in np.frombuffer(ids, dtype=IDS).tolist()]
-    whole = np.frombuffer(b"".join(table[i] for i in np.frombuffer(ids, dtype=IDS).tolist()), dtype=np.uint8)
-    character = np.cumsum((whole & 0xC0) != 0x80) - 1
-    ends = np.cumsum(lengths, dtype=np.int64)
-    return [(int(character[e - n]), int(character[e - 1]) + 1) for e, n in zip(ends, lengths)]
+    size = lengths[ids]
+    ends = np.cumsum(size)
+    character = np.cumsum((np.frombuffer(content, dtype=np.uint8) & 0xC0) != 0x80)
+    return character[ends - size] - 1, character[ends - 1]
+
+
+def character_offsets(ids: bytes, table: list[bytes]) -> list[tuple[int, int]]:
+    """``offsets`` of one document's ids, as pairs."""
+    numbers = np.frombuffer(ids, dtype=IDS)
+    first, end = offsets(numbers, b"".join(map(table.__getitem__, numbers.tolist())), np.array([len(x) for x in table]))
+    return list(zip(first.tolist(), end.tolist()))
 
 
 def decode_parts(parts: Iterator[bytes], table: list[bytes]) -> Iterator[str]:
@@ -111,8 +118,34 @@ def decode_parts(parts: Iterator[bytes], table: list[bytes]) -> Iterator[str]:
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, and the SHA-256 of the ids and of what they decode to."""
-    decoded = decode_documents(encode_documents(docs, path), path)
-    return decoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("content", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, the SHA-256 of the ids and of the bytes they decode to, and what offsets show.
+
+    offsets_sha256 is that of all (first, end) character pairs as little-endian
+    32-bit integers; n_split counts tokens that begin inside a character, which
+    decoding has to put together. Null and empty texts have no tokens, and the
+    digests of nothing; every row has a result, also repeated ones; other
+    columns are ignored; an empty table gives no row. Ids, bytes and offsets of
+    about ``AT_ONCE`` bytes of text are held at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, table = Encoder(path, cut_byte_level, IDS), token_bytes(path)
+        lengths = np.array([len(x) for x in table])
+        for batch in batches:
+            for begin, end, _, _ in chunks(batch.column("text"), AT_ONCE):
+                found = []
+                for ids in use.encode([t or "" for t in batch.column("text").slice(begin, end - begin).to_pylist()]):
+                    numbers = np.frombuffer(ids, dtype=IDS)
+                    content = b"".join(map(table.__getitem__, numbers.tolist()))
+                    first, stop = offsets(numbers, content, lengths)
+                    split = int((first[1:] < stop[:-1]).sum())
+                    pairs = np.stack([first, stop], axis=1).astype("<i4")
+                    found.append((len(numbers), *(hashlib.sha256(x).hexdigest() for x in (ids, content, pairs.tobytes())), split))
+                columns = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(begin, end - begin),
+                     *(pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64())))],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "offsets_sha256", "n_split"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, offsets_sha256 string, n_split long")

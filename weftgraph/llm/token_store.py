@@ -130,7 +130,7 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> DataFrame:
-    """Shard rows of all documents in ascending doc_id order, null first and equal doc_ids by text.
+    """Shard rows of all documents in ascending doc_id order, null first and equal doc_ids by a hash of the text.
 
     ``path`` is a tokenizer file on every executor; ``end_id`` ends each
     document, also an empty or null text. ``width`` is the bytes of an id. One
@@ -139,7 +139,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, part = Encoder(path, cut_lower_words, f"<u{width}", separator=" "), TaskContext.get().partitionId()
+        use, part = Encoder(path, cut_lower_words, f"<u{width}", separator=" ", special=True), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=f"<u{width}").tobytes()
         ids: list[int | None] = []
         payloads: list[bytes] = []
@@ -165,8 +165,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, width: int = 2) -> Dat
             yield close()
 
     names = [x.split()[0] for x in SHARDS.split(", ")]
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", "text")
-    return dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARDS)
+    # The sample that sets the ranges reaches the driver, so texts are no part of their key.
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    return keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text").mapInArrow(run, SHARDS)
 
 
 def read_all(shards: DataFrame) -> DataFrame:

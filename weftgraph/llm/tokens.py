@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept by a worker process; past it the store starts anew, which costs time only.
-KEPT = 700_000
+#: Bytes that a worker process gives to the pieces it keeps; past it the store starts anew, which costs time only.
+KEPT_BYTES = 64 << 20
+#: About what one kept piece takes besides its own characters, and the characters of the longest one kept.
+_ENTRY, _LONG = 240, 100
 
 # A sign, but for the apostrophe, right behind a letter. It comes first in the pattern, so the search skips to it.
 _LETTER_MARK = re.compile(r"[,.!?;:#$%&*](?<=[^\W\d_].)")
@@ -77,9 +79,11 @@ class Encoder:
     """Encodes texts with one tokenizer file; ids come as bytes of little-endian numbers.
 
     ``separator`` has no ids of its own and may stand between any two pieces.
+    ``special`` says whether the texts of special tokens are these tokens, as
+    the library takes them unless told otherwise, or ordinary text.
     """
 
-    def __init__(self, path: str, cut, dtype: str, separator: str | None = None):
+    def __init__(self, path: str, cut, dtype: str, separator: str | None = None, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,16 +91,30 @@ class Encoder:
         # Functions of this package travel to the workers by value, so what is to outlive a task
         # is held by a module of the process itself.
         holder = sys.modules.setdefault("weftgraph_kept", types.ModuleType("weftgraph_kept"))
-        if path not in holder.__dict__:
+        name = f"{path}|{special}"
+        if name not in holder.__dict__:
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
+            tokenizer.encode_special_tokens = not special
             # Whether the steps before the model leave a word of lower-case letters as it is.
             letters, before, split = string.ascii_lowercase, tokenizer.normalizer, tokenizer.pre_tokenizer
             plain = (before is None or before.normalize_str(letters) == letters) and (
                 split is not None and [x for x, _ in split.pre_tokenize_str(letters)] == [letters])
-            holder.__dict__[path] = tokenizer, plain
-        self.tokenizer, self.plain = holder.__dict__[path]
-        self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{path}|{dtype}", {})
+            holder.__dict__[name] = tokenizer, plain
+        self.tokenizer, self.plain = holder.__dict__[name]
+        self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{name}|{dtype}", {})
+        self.used: list[int] = holder.__dict__.setdefault(f"{name}|{dtype}|used", [0])
+
+    def _keep(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.kept.update(zip(pieces, ids))
+        self.used[0] += sum(map(len, pieces)) + sum(map(len, ids)) + _ENTRY * len(pieces)
+
+    def _make_room(self) -> bool:
+        """Whether the store is full; then it is emptied."""
+        full = self.used[0] > KEPT_BYTES
+        if full:
+            self.kept.clear()
+            self.used[0] = 0
+        return full
 
     def _call(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -131,18 +149,21 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        self._make_room()
         pieces = [self.cut(t) for t in texts]
         fresh = set()
         for p in pieces:
             if p is not None:
                 fresh.update(p)
         fresh.difference_update(self.kept)
-        if len(self.kept) + len(fresh) > KEPT:
-            self.kept.clear()
-            fresh = {x for p in pieces if p is not None for x in p}
+        long = [p for p in fresh if len(p) > _LONG]
+        fresh.difference_update(long)
         new = list(fresh)
-        self.kept.update(zip(new, self._pieces(new)))
+        self._keep(new, self._pieces(new))
         get = self.kept.__getitem__
+        if long:
+            once = dict(zip(long, self._pieces(long)))
+            get = lambda p: once[p] if p in once else self.kept[p]
         whole = iter(self._call([t for t, p in zip(texts, pieces) if p is None]))
         return [next(whole) if p is None else b"".join(map(get, p)) for p in pieces]
 
@@ -152,12 +173,9 @@ class Encoder:
         lists = lower_words([t for t, s in zip(texts, sure) if s])
         coded = lists.values.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        fresh = [w for w in words if w not in self.kept]
-        if len(self.kept) + len(fresh) > KEPT:
-            self.kept.clear()
-            fresh = words
-        self._learn(fresh)
-        found = list(map(self.kept.__getitem__, words))
+        self._make_room()
+        once = self._learn([w for w in words if w not in self.kept])
+        found = [once[w] if w in once else self.kept[w] for w in words] if once else list(map(self.kept.__getitem__, words))
         flat, width = np.frombuffer(b"".join(found), dtype=self.dtype), np.dtype(self.dtype).itemsize
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
         starts, counts = np.cumsum(sizes) - sizes, sizes[codes]
@@ -168,8 +186,8 @@ class Encoder:
         whole = iter(self._call([t for t, s in zip(texts, sure) if not s]))
         return [next(parts) if s else next(whole) for s in sure]
 
-    def _learn(self, words: list[str]) -> None:
-        """Keep the ids of words; a word that is cut further has those of its pieces."""
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Keep the ids of words, but for long ones, which are returned; a word that is cut further has those of its pieces."""
         one, many = [], {}
         for w in words:
             if w.isascii() and w.isalpha():
@@ -178,7 +196,10 @@ class Encoder:
                 many[w] = self.cut(w)
         known = self.kept
         new = list({*one, *(p for found in many.values() for p in found if p not in known)})
-        known.update(zip(new, self._pieces(new)))
+        coded = dict(zip(new, self._pieces(new)))
         for w, found in many.items():
-            if w not in known:
-                known[w] = b"".join(map(known.__getitem__, found))
+            if w not in known and w not in coded:
+                coded[w] = b"".join(coded[p] if p in coded else known[p] for p in found)
+        short = [w for w in coded if len(w) <= _LONG]
+        self._keep(short, [coded[w] for w in short])
+        return {w: x for w, x in coded.items() if len(w) > _LONG}
