@@ -102,8 +102,8 @@ def near_fingerprints(queries: DataFrame, prints: DataFrame, radius: int = 3, bl
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts, of their edited texts and of the next texts.
 
-    Rows are taken in descending doc_id order (null last; equal doc_ids by text,
-    descending), and the last is followed by the first; a single row follows
+    Rows are taken in descending doc_id order (null last; equal doc_ids by a hash
+    of the text, descending), and the last is followed by the first; a single row follows
     itself. The edited text ends, for its last floor(n_chars / 2) code points,
     with as many of the first code points of the next text, or all it has.
     Returns doc_id, n_chars, edited_sha256, fingerprint and edited_fingerprint
@@ -115,8 +115,9 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(F.desc_nulls_last("doc_id"), F.desc("text")).sortWithinPartitions(
-        F.desc_nulls_last("doc_id"), F.desc("text"))
+    # The sample that sets the ranges reaches the driver, so texts are no part of their key.
+    order = (F.desc_nulls_last("doc_id"), F.desc("hash"))
+    dealt = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = ("place int, doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double, head string, tail string")
 
@@ -145,10 +146,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     # One head and one tail for each range that has rows.
     ends = out.where("head is not null or tail is not null").groupBy("place").agg(
         F.max("head").alias("head"), F.max("tail").alias("tail"), F.max("doc_id").alias("doc_id"))
-    order = ends.select("place").withColumn("next", F.coalesce(
+    chain = ends.select("place").withColumn("next", F.coalesce(
         F.lead("place").over(Window.orderBy("place")), F.min("place").over(Window.partitionBy(F.lit(0)))))
     heads = ends.select(F.col("place").alias("next"), F.col("head").alias("after"))
-    seams = ends.select("place", "doc_id", "tail").join(order, "place").join(heads, "next")
+    seams = ends.select("place", "doc_id", "tail").join(chain, "place").join(heads, "next")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
