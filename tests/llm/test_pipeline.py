@@ -52,3 +52,29 @@ def test_one_row_of_each_group_stays(spark):
     assert set(want) <= set(left) and len(left) == len(want) + 3
     for i, some in ((8, {text(e), text(near(e))}), (9, {"one", "ONE"}), (None, {text(f), text(near(f))})):
         assert len([x for x in left if x[0] == i and x[1] in some]) == 1
+
+
+NAMES = ["quality_score", "n_passages", "top_passage", "_set", "_own", "_kind", "_text", "_row", "_doc", "_key", "_spans", "Set_Key", "text_key", "ids", "_label"]
+
+
+def test_stages_with_clashing_names_and_rows_without_ids(spark, tmp_path):
+    draw = random.Random(3)
+    prose = lambda n: " ".join(f"{draw.choice('abcdefgh')}{draw.randrange(10**6)}x" for _ in range(n))
+    shared, near = prose(70), prose(300)
+    texts = [prose(120) for _ in range(12)] + [f"{shared} {prose(80)}" for _ in range(3)] + [near, near, near + " end", None, "", " ", "few words", "few words"]
+    rows = [(i if i % 3 else None, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, texts[1][:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = docs.selectExpr("*", *[f"n_chars + {i} as `{n}`" for i, n in enumerate(NAMES)])
+    for name, stage in pipeline.STAGES[:4]:
+        plain = sorted(map(str, stage(spark, docs, str(tmp_path)).collect()))
+        out = stage(spark, more, str(tmp_path))
+        assert out.columns == more.columns
+        assert sorted(map(str, out.select(*docs.columns).collect())) == plain and plain, name
+        assert stage(spark, more.where("false"), str(tmp_path)).collect() == []
+    assert pipeline.byte_bpe(spark, more, str(tmp_path)).count() == len(rows) and pipeline.byte_bpe(spark, more.where("false"), str(tmp_path)).count() == 0
+    kept = pipeline.ngram_jaccard(spark, docs, str(tmp_path)).collect()
+    assert sum(near in (r.text or "") for r in kept) == 1 and sum(r.text == "few words" for r in kept) == 1
+    cut = pipeline.suffix_array(spark, docs, str(tmp_path)).collect()
+    assert sum(shared in (r.text or "") for r in cut) == 1 and sum(near in (r.text or "") for r in cut) == 1

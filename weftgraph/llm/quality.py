@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from weftgraph.llm.scratch import free_name
 from weftgraph.llm.text_hash import NOT_SPACE, Words, byte_class, chunks, mix
 
 PASSAGE_WORDS = 64
@@ -191,8 +192,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", boun
     return model
 
 
-def score_documents(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """All columns of ``docs``, and quality_score, n_passages and top_passage for every row.
+def score_documents(docs: DataFrame, model: AttentionModel, names: tuple[str, str, str] = ("quality_score", "n_passages", "top_passage")) -> DataFrame:
+    """All columns of ``docs``, and quality_score, n_passages and top_passage, or what ``names`` calls them, for every row.
 
     The score is from 0 to 1, by the whole text; a null text counts as empty and
     has a score as well. top_passage numbers the passage with the largest
@@ -208,9 +209,9 @@ def score_documents(docs: DataFrame, model: AttentionModel) -> DataFrame:
                 top = [int(np.argmax(f["a"][first[i] : first[i + 1]])) for i in range(end - begin)]
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(begin, end - begin) for c in batch.columns), pa.array(f["score"]), pa.array(np.diff(first)), pa.array(top, type=pa.int64())],
-                    [*batch.schema.names, "quality_score", "n_passages", "top_passage"])
+                    [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, f"{fields}, quality_score double, n_passages long, top_passage long")
+    return docs.mapInArrow(run, f"{fields}, `{names[0]}` double, `{names[1]}` long, `{names[2]}` long")
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -223,6 +224,10 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that are not rejected, with their columns."""
-    scored = score_documents(docs, fit_quality(docs, labels))
-    return scored.where(F.col("quality_score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that are not rejected, with their columns, whatever these are called.
+
+    Null and empty texts are judged as empty ones, equal texts alike; an empty table stays empty.
+    """
+    names = tuple(free_name(docs, x) for x in ("quality_score", "n_passages", "top_passage"))
+    scored = score_documents(docs, fit_quality(docs, labels), names)
+    return scored.where(F.col(f"`{names[0]}`") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

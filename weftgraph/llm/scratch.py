@@ -34,3 +34,11 @@ class Scratch:
         for df in frames:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -17,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weftgraph.llm.scratch import Scratch
+from weftgraph.llm.scratch import Scratch, free_name
 from weftgraph.llm.text_hash import NOT_SPACE, Words, chunks, mix, signed
+from weftgraph.operators.scale import salt_build_side, salt_stream_side
 
 SPAN, GRAM = 20, 8
 _NO_ID = -(1 << 63)
+#: Places of one window that one task looks up; windows of more places are split.
+PLACES_PER_TASK = 100_000
 
 
 def _keys(words: Words) -> np.ndarray:
@@ -59,6 +62,19 @@ def text_digests(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, text_key long")
 
 
+def with_text_keys(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the key of each row's words in a column ``name``."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, data, bounds in chunks(batch.column("text")):
+                key = signed(_keys(Words(data, bounds, NOT_SPACE)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, pa.array(key)], [*batch.schema.names, name])
+
+    return docs.mapInArrow(run, f"{fields}, `{name}` long")
+
+
 def sparse_suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     """(suffix, text_key, word): selected positions, with a hash of the words a passage still has there.
 
@@ -188,12 +204,18 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
         F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))
     kept = scratch.save(equal_neighbours(sparse_suffixes(docs, min_words)), "neighbours")
     wanted = kept.groupBy("text_key").agg(F.collect_list("word").alias("words")).join(texts, "text_key")
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), "text").join(
-        wanted.select("text_key", "rep", "words"), "rep")
-    windows = _windows(some, min_words)
+    # By id and text: many rows may have one id, or none.
+    some = with_text_keys(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), "text"), "text_key").join(
+        wanted.select("text_key", "rep", "words"), ["rep", "text_key"])
+    windows = scratch.save(_windows(some, min_words), "windows")
     place = F.struct("rep", "text_key", "start")
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("window", "first")
-    marked = windows.join(first, "window")
+    first = scratch.save(
+        windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("places"))
+        .where("first <> last").select("window", "first", "places"), "first")
+    # A window of very many places is looked up by many tasks.
+    hot = first.where(F.col("places") > PLACES_PER_TASK).select("window", F.ceil(F.col("places") / PLACES_PER_TASK).cast("int").alias("_salts"))
+    marked = salt_stream_side(windows, hot, ["window"], ["text_key", "start"]).join(
+        salt_build_side(first.drop("places"), hot, ["window"]), ["window", "_salt"])
     same = (F.col("rep") == F.col("first.rep")) & (F.col("text_key") == F.col("first.text_key"))
     by_text = scratch.save(
         marked.select("text_key", F.struct("start", same.alias("own"), F.col("first.rep").alias("rep"), F.col("first.start").alias("at")).alias("w"))
@@ -233,7 +255,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
               .where("times > 0").select("text_key", "doc", "n_words", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"),
                                          F.col("rep").alias("source"), F.lit(0).cast("long").alias("source_word")))
     out = scratch.save(own.unionByName(copies), "passages")
-    scratch.drop(kept, by_text, digests)
+    scratch.drop(kept, windows, first, by_text, digests)
     return out.select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), "text_key", "n_words", "first_word", "end_word",
                       F.when(F.col("source") != _NO_ID, F.col("source")).alias("source_doc_id"), "source_word")
 
@@ -244,13 +266,17 @@ def cut_passages(docs: DataFrame, passages: DataFrame, keep_column: str = "n_cha
     A passage goes with the white space after it. A document that keeps no word
     is dropped if it had any; a column ``keep_column`` is set to the new length
     in characters where a text is cut. Of rows with one doc_id and equal words
-    all but one are dropped.
+    all but one are dropped. Null, empty and short texts stay as they are, and
+    so do all other columns, whatever they are called.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names, kinds = docs.columns, docs.schema
-    spans = (passages.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_doc"))
-             .agg(F.collect_list(F.struct("text_key", "first_word", "end_word", F.col("source_doc_id").eqNullSafe(F.col("doc_id")).alias("own"))).alias("_spans")))
-    joined = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).join(spans, "_doc", "left").drop("_doc")
+    here, key_name, listed_name = (free_name(docs, x) for x in ("_doc", "_key", "_spans"))
+    # By id and text: rows without an id have their own spans only.
+    spans = (passages.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias(here), F.col("text_key").alias(key_name))
+             .agg(F.collect_list(F.struct("text_key", "first_word", "end_word", F.col("source_doc_id").eqNullSafe(F.col("doc_id")).alias("own"))).alias(listed_name)))
+    joined = (with_text_keys(docs, key_name).withColumn(here, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+              .join(spans, [here, key_name], "left").drop(here, key_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index("text")
@@ -259,7 +285,7 @@ def cut_passages(docs: DataFrame, passages: DataFrame, keep_column: str = "n_cha
         for batch in batches:
             for begin, end, data, bounds in chunks(batch.column("text")):
                 part = batch.slice(begin, end - begin)
-                listed = part.column("_spans").to_pylist()
+                listed = part.column(listed_name).to_pylist()
                 texts, keep = part.column("text").to_pylist(), np.ones(end - begin, dtype=bool)
                 sizes = part.column(keep_column).to_pylist() if length is not None else None
                 if any(listed):
@@ -292,4 +318,4 @@ def cut_passages(docs: DataFrame, passages: DataFrame, keep_column: str = "n_cha
                     columns[length] = pa.array(sizes, type=columns[length].type)
                 yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
 
-    return joined.select(*[F.col(f"`{n}`") for n in kinds.names], "_spans").mapInArrow(run, fields)
+    return joined.select(*[F.col(f"`{n}`") for n in kinds.names], F.col(f"`{listed_name}`")).mapInArrow(run, fields)
