@@ -14,12 +14,15 @@ from weftgraph.llm.byte_bpe import encode_documents  # noqa: E402
 from weftgraph.llm.decontaminate import drop_leaks  # noqa: E402
 from weftgraph.llm.part_enum import jaccard_groups, with_set_keys  # noqa: E402
 from weftgraph.llm.quality import keep_quality  # noqa: E402
-from weftgraph.llm.scratch import Scratch  # noqa: E402
+from weftgraph.llm.scratch import Scratch, free_name  # noqa: E402
 from weftgraph.llm.suffixes import cut_passages, repeated_passages  # noqa: E402
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more, by a model of the labelled ones."""
+    """Documents whose quality score is 0.3 or more, by a model of the labelled ones.
+
+    Null and empty texts are judged as empty ones; repeated rows are judged alike.
+    """
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
@@ -31,30 +34,35 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     a group's documents with the smallest doc_id that of the smallest set stays.
     """
     groups = jaccard_groups(docs, words=5, percent=80)
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_own")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), own, "set_key")).alias("first")
-    keep = groups.where("group_key is not null").groupBy("group_key").agg(first).select("first._own", F.col("first.set_key").alias("_set"))
-    rows = with_set_keys(docs, 5, "_set").select("*", own)
+    own, kind, text, row = (free_name(docs, x) for x in ("_own", "_kind", "_text", "_row"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(own)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), doc, "set_key")).alias("first")
+    keep = groups.where("group_key is not null").groupBy("group_key").agg(first).select(f"first.{own}", F.col("first.set_key").alias(kind))
     # Rows of one set are in one group, so one of them stays; texts without words are told apart by themselves.
-    once = Window.partitionBy("_own", "_set", F.when(F.col("_set").isNull(), F.col("_text"))).orderBy("_text")
-    wordless = groups.where("group_key is null").select(own, F.lit(0).cast("long").alias("_some")).distinct()
-    keep = keep.withColumnRenamed("_set", "_some").unionByName(wordless)
-    return (rows.withColumn("_some", F.coalesce("_set", F.lit(0))).join(keep, ["_own", "_some"], "left_semi").withColumn("_text", F.xxhash64("text"))
-            .withColumn("_row", F.row_number().over(once)).where("_row = 1").select(*docs.columns))
+    wordless = groups.where("group_key is null").select(doc, F.lit(0).cast("long").alias(kind)).distinct()
+    rows = with_set_keys(docs, 5, kind).select("*", doc)
+    rows = (rows.withColumn(text, F.when(F.col(kind).isNull(), F.xxhash64("text"))).withColumn(kind, F.coalesce(kind, F.lit(0).cast("long")))
+            .join(keep.unionByName(wordless), [own, kind], "left_semi"))
+    once = Window.partitionBy(own, kind, text).orderBy(F.xxhash64("text"), "text")
+    return rows.withColumn(row, F.row_number().over(once)).where(F.col(row) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 50 words or more that stand earlier in the corpus."""
+    """Documents without passages of 50 words or more that stand earlier in the corpus.
+
+    A document that had words and keeps none goes; null, empty and short texts
+    stay, and repeated long rows go but for one.
+    """
     return cut_passages(docs, repeated_passages(docs, min_words=50))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and repeated rows go or stay together."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids and n_tokens of each document; ids are little-endian unsigned 32-bit numbers."""
+    """doc_id, ids and n_tokens of each document; ids are little-endian unsigned 32-bit numbers, none for null and empty texts."""
     ids = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
