@@ -7,8 +7,9 @@ from weftgraph.functions import routes as r
 from weftgraph.operators import link, memory, search
 from weftgraph.operators.extract import extract_symbols, notebook_code
 from weftgraph.plans.index import index_files, with_ordinal
-from weftgraph.sources import tables
+from weftgraph.schema import EDGES, NODES
 from weftgraph.sources.files import explode_lines, read_files
+from weftgraph.sources.snapshots import SnapshotStore
 from weftgraph.streaming import jobs
 
 
@@ -104,8 +105,9 @@ def test_stream_links_and_forgets(spark, tmp_path):
     for rows in (first, second):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
         jobs.ingest(spark.readStream.schema(schema).parquet(inbox), store, version="version").awaitTermination()
-        seen.append(sorted(n.symbol_name for n in tables.all_nodes(spark, f"{store}/nodes").collect()))
-        edges = tables.all_edges(spark, f"{store}/edges").collect()
+        now = SnapshotStore(spark, store)
+        seen.append(sorted(n.symbol_name for n in now.read("nodes", NODES).collect()))
+        edges = now.read("edges", EDGES).collect()
         assert [(e.edge_type, e.caller_repo, e.target_repo) for e in edges] == [("consumes_api", "web", "svc_users")]
     assert seen == [["c", "d", "get_user", "load"], ["get_user", "load"]]
 

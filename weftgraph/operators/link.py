@@ -162,9 +162,15 @@ def resolve_routes(consumers: DataFrame, endpoints: DataFrame, exclude_own_repo:
     ).select(*names, "m.target", "m.rule")
 
 
-def consumes_api_edges(nodes: DataFrame, exclude_own_repo: bool = False, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """One edge per consumer whose route is served by another repository."""
-    consumers, endpoints = consumer_table(nodes), endpoint_table(nodes)
+def consumes_api_edges(
+    nodes: DataFrame, exclude_own_repo: bool = False, rows_per_task: int = ROWS_PER_TASK, endpoints: DataFrame | None = None,
+) -> DataFrame:
+    """One edge per consumer whose route is served by another repository.
+
+    ``endpoints``, if given, stands for the endpoints of ``nodes``.
+    """
+    consumers = consumer_table(nodes)
+    endpoints = endpoint_table(nodes) if endpoints is None else endpoints
     resolved = resolve_routes(consumers, endpoints, exclude_own_repo)
     hit = lookup_join(consumers, resolved, ["caller_repo", "method", "route"], "inner", ["caller_id"], rows_per_task)
     kept = hit.select("caller_id", "caller_repo", "route", "method", "base", "target.*").where(
@@ -190,15 +196,20 @@ def repo_aliases(nodes: DataFrame) -> DataFrame:
         F.lower("target_repo"), F.when(usable, F.lower(short)))))).alias("alias"))
 
 
-def import_repos(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+def import_repos(imports: DataFrame, aliases: DataFrame, few: bool = False) -> DataFrame:
     """``imports(import_text)`` → the repositories each text mentions.
 
     A mention is delimited text, so the candidates of an import are its
     delimited chunks and, for names with dots, the runs of their dot parts.
+    With ``few`` aliases, texts are compared where they are, before any is shuffled.
     """
     aliases = materialise(aliases, "aliases")
     longest = aliases.agg(F.max(F.size(F.split("alias", r"\.")))).first()[0] or 1
-    distinct = imports.select("import_text").distinct()
+    distinct = imports.select("import_text")
+    if few:
+        aliases = broadcast_if_small(aliases)
+    else:
+        distinct = distinct.distinct()
     clean = F.translate(r.strip(F.col("import_text")), "\\", "/")
     parts = F.filter(F.split(F.lower(clean), r"[\s./'\"`]"), lambda p: p != "")
     root = F.when((F.size(parts) > 1) & F.get(parts, F.lit(0)).isin(*w.IMPORT_WORDS), F.get(parts, F.lit(1)))
@@ -208,8 +219,8 @@ def import_repos(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     sizes = F.sequence(F.lit(1), F.least(F.size("dots"), F.lit(longest)))
     runs = F.flatten(F.transform(sizes, lambda k: F.transform(
         F.sequence(F.lit(1), F.size("dots") - k + 1), lambda i: F.array_join(F.slice("dots", i, k), "."))))
-    named = chunks.select("import_text", "package", F.explode(F.array_distinct(runs)).alias("alias")).distinct()
-    return named.join(aliases, "alias").where(
+    named = chunks.select("import_text", "package", F.explode(F.array_distinct(runs)).alias("alias"))
+    return (named if few else named.distinct()).join(aliases, "alias").where(
         F.col("package").isNull() | (F.col("package") == F.col("alias"))).select("import_text", "target_repo").distinct()
 
 
@@ -218,10 +229,10 @@ def _node_imports(nodes: DataFrame) -> DataFrame:
         F.col("id").alias("caller_id"), F.col("repo").alias("caller_repo"), F.posexplode("file_imports").alias("position", "import_text"))
 
 
-def imported_repos(nodes: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(caller, import, other repository it names)."""
+def imported_repos(nodes: DataFrame, rows_per_task: int = ROWS_PER_TASK, repos: DataFrame | None = None) -> DataFrame:
+    """(caller, import, other repository it names); ``repos(repo)``, if given, are all repositories there are."""
     used = _node_imports(nodes)
-    mentions = import_repos(used, repo_aliases(nodes))
+    mentions = import_repos(used, repo_aliases(nodes if repos is None else repos))
     return lookup_join(used, mentions, ["import_text"], "inner", ["caller_id", "position"], rows_per_task).where(
         F.col("target_repo") != F.col("caller_repo"))
 
@@ -239,16 +250,23 @@ def imports_edges(nodes: DataFrame, imported: DataFrame, rows_per_task: int = RO
     return conform(first.select("caller_id", "callee_id", F.lit("imports").alias("edge_type"), F.lit(0.98).alias("confidence"), "m.*"), EDGES)
 
 
-def calls_edges(nodes: DataFrame, imported: DataFrame) -> DataFrame:
-    """Edges to functions, methods and classes used from an imported repository."""
-    per_repo = imported.groupBy("caller_id", "caller_repo", "target_repo").agg(F.collect_set("import_text").alias("import_texts"))
-    code = nodes.where(F.col("code_content") != "").join(
-        imported.select(F.col("caller_id").alias("id")).distinct(), "id", "left_semi")
-    tokens = code.select(
+def code_symbols(code: DataFrame) -> DataFrame:
+    """(caller_id, symbol, by_client): what the code of each node names, but for itself and generic words."""
+    return code.where(F.col("code_content") != "").select(
         F.col("id").alias("caller_id"), "symbol_name", w.client_calls(F.col("code_content")).alias("clients"),
         F.explode(w.identifiers(F.col("code_content"))).alias("symbol"),
     ).where((F.col("symbol") != F.col("symbol_name")) & ~w.is_generic(F.col("symbol"))).select(
         "caller_id", "symbol", F.array_contains("clients", F.col("symbol")).alias("by_client"))
+
+
+def calls_edges(nodes: DataFrame, imported: DataFrame, callers: DataFrame | None = None) -> DataFrame:
+    """Edges to functions, methods and classes used from an imported repository.
+
+    ``callers``, if given, are the nodes whose code is read; ``nodes`` are the targets.
+    """
+    per_repo = imported.groupBy("caller_id", "caller_repo", "target_repo").agg(F.collect_set("import_text").alias("import_texts"))
+    code = (nodes if callers is None else callers).join(imported.select(F.col("caller_id").alias("id")).distinct(), "id", "left_semi")
+    tokens = code_symbols(code)
     targets = nodes.where(F.col("symbol_type").isin("function", "method", "class")).select(
         F.col("id").alias("callee_id"), F.col("repo").alias("target_repo"), F.col("symbol_name").alias("symbol"))
     named = F.exists("import_texts", lambda i: i.contains(F.col("symbol")))

@@ -9,17 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftgraph.operators.extract import defines_edges, extract_symbols, intra_file_calls
-from weftgraph.operators.link import link_repositories
 from weftgraph.operators.memory import TOKEN_LIMIT, WINDOW, Memory, memory_schema
 from weftgraph.operators.meter import Limits
+from weftgraph.operators.relink import link_callers, reached_callers
 from weftgraph.plans.index import with_ordinal
-from weftgraph.schema import EDGES, conform
+from weftgraph.schema import EDGES, NODES, conform
 from weftgraph.session import materialise, scratch_path
-from weftgraph.sources.tables import remove_files, replace_snapshot
+from weftgraph.sources.snapshots import BUCKETS, SnapshotStore
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -143,50 +143,67 @@ def conversation_memory(messages: DataFrame, window: int = WINDOW, limit: int =
 
 # --- ingest -----------------------------------------------------------------
 
-def ingest(files: DataFrame, store: str, link: bool = True, version: str | None = None):
-    """Start a query that keeps ``store/nodes`` and ``store/edges`` current.
-
-    ``files(repo, file_path, content)`` carries new and changed files; a null
-    content deletes the file. Of several rows of one path in a batch the one
-    with the highest ``version`` column counts (without such a column: the
-    greatest text). Per batch, the symbols of changed files are replaced inside
-    the partitions of their repositories, and a repository left without symbols
-    is removed; cross-repository edges are linked again from the whole node
-    table, because a new endpoint can re-route old consumers. A batch that is
-    repeated after a failure writes the same rows again.
+STORED_EDGES = T.StructType([*EDGES.fields, T.StructField("home_repo", T.StringType()), T.StructField("home_path", T.StringType())])
+
+
+def apply_changes(store: SnapshotStore, batch: DataFrame, batch_id: int | None, link: bool = True, version: str | None = None) -> bool:
+    """Bring the stored graph up to date with ``batch(repo, file_path, content)``; False if there was nothing to do.
+
+    A null content deletes the file. Of several rows of one path the one with
+    the highest ``version`` column counts (without such a column: the greatest
+    text). Symbols of changed files are replaced; cross-repository edges are
+    linked again for the callers that the change can reach, and for no others.
+    Nodes and edges become current by one commit, which carries the batch's
+    number, so a batch that is repeated after it changes nothing.
     """
+    now = store.current()
+    if batch_id is not None and now.batch is not None and batch_id <= now.batch:
+        return False
+    text = F.struct("content")
+    last = batch.groupBy("repo", "file_path").agg(F.max_by(text, F.struct(version, text) if version else text).alias("t"))
+    changed = materialise(last.select("repo", "file_path", "t.content"), "changed")
+    if changed.isEmpty():
+        return False
+    after = store.following(now, now.batch if batch_id is None else batch_id)
+    keys = changed.select("repo", "file_path")
+    found = materialise(extract_symbols(changed.where("content IS NOT NULL")), "fresh")
+    fresh = conform(found, NODES)
+    touched = store.buckets_of(keys)
+    stored = store.read("nodes", NODES, now, only=touched)
+    old = materialise(stored.join(keys, ["repo", "file_path"], "left_semi").select(*NODES.names), "old")
+    store.stage(after, "nodes", stored.join(keys, ["repo", "file_path"], "left_anti").select(*NODES.names).unionByName(fresh), "repo", touched)
+
+    home = [F.col("repo").alias("home_repo"), F.col("file_path").alias("home_path")]
+    callers = fresh.select(F.col("id").alias("caller_id"), *home).distinct()
+    edges = conform(defines_edges(found).unionByName(intra_file_calls(found)), EDGES)
+    reached = callers.select("caller_id").limit(0)
+    if link:
+        nodes = with_ordinal(store.read("nodes", NODES, after))
+        ids = reached_callers(nodes, with_ordinal(old), with_ordinal(fresh))
+        linked = materialise(nodes.join(ids, "id", "left_semi"), "callers")
+        edges = edges.unionByName(link_callers(linked, nodes))
+        callers = materialise(callers.unionByName(linked.select(F.col("id").alias("caller_id"), *home)).distinct(), "homes")
+        reached = callers.select("caller_id")
+    edges = materialise(edges.join(callers, "caller_id").select(*STORED_EDGES.names), "edges")
+    touched = store.buckets_of(keys.select("repo").unionByName(callers.select(F.col("home_repo").alias("repo"))))
+    stored = store.read("edges", STORED_EDGES, now, only=touched)
+    changed_files = keys.select(F.col("repo").alias("home_repo"), F.col("file_path").alias("home_path"))
+    kept = stored.join(changed_files, ["home_repo", "home_path"], "left_anti")
+    across = F.col("target_repo").isNotNull()
+    kept = kept.where(~across).unionByName(kept.where(across).join(reached, "caller_id", "left_anti"))
+    store.stage(after, "edges", kept.select(*STORED_EDGES.names).unionByName(edges), "home_repo", touched)
+    store.commit(after)
+    return True
+
+
+def ingest(files: DataFrame, store: str, link: bool = True, version: str | None = None, buckets: int = BUCKETS):
+    """Start a query that keeps the graph in the snapshot store ``store`` current; see ``apply_changes`` for a batch."""
     spark = files.sparkSession
+    tables = SnapshotStore(spark, store, buckets)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        text = F.struct("content")
-        last = batch.groupBy("repo", "file_path").agg(F.max_by(text, F.struct(version, text) if version else text).alias("t"))
-        changed = materialise(last.select("repo", "file_path", "t.content"), "changed")
-        if changed.isEmpty():
-            return
-        fresh = materialise(extract_symbols(changed.where("content IS NOT NULL")), "fresh")
-        keys = changed.select("repo", "file_path").distinct()
-        nodes = _stored(spark, f"{store}/nodes", fresh.schema)
-        touched = nodes.join(keys.select("repo").distinct(), "repo", "left_semi")
-        kept = touched.join(keys, ["repo", "file_path"], "left_anti")
-        after = materialise(kept.unionByName(fresh), "nodes")
-        emptied = keys.select("repo").distinct().join(after.select("repo").distinct(), "repo", "left_anti")
-        gone = nodes.select("repo", F.input_file_name().alias("file")).join(emptied, "repo", "left_semi").select("file").distinct()
-        gone = materialise(gone, "gone")
-        replace_snapshot(after, f"{store}/nodes", "repo")
-        remove_files(gone)
-        if link:
-            now = _stored(spark, f"{store}/nodes", fresh.schema)
-            internal = defines_edges(now).unionByName(intra_file_calls(now))
-            edges = internal.unionByName(link_repositories(with_ordinal(now)))
-            replace_snapshot(materialise(conform(edges, EDGES), "edges"), f"{store}/edges")
+        if apply_changes(tables, batch, batch_id, link, version):
+            tables.vacuum()
 
     return (files.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{store}/progress")
             .trigger(availableNow=True).start())
-
-
-def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A stored table, or an empty one before the first batch."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).select(*schema.names)
