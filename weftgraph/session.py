@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows with whole texts reach Python in small batches, short rows in full ones.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
 }
 
 
