@@ -16,7 +16,7 @@ from weftgraph.llm.tokens import Encoder, cut_byte_level
 
 IDS = "<u4"
 #: Bytes of text that a task encodes at a time.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
 
 
 def byte_characters() -> list[str]:

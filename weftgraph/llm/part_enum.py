@@ -104,16 +104,17 @@ def _sets(batch: pa.RecordBatch, words: int):
 
 
 def set_digests(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key) of every row; equal sets have equal keys."""
+    """(doc_id, n_shingles, set_key, text_hash) of every row; equal sets have equal keys. text_hash is Spark's own, to find a text again."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, _, _, sizes, key in _sets(batch, words):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(begin, end - begin), pa.array(sizes.astype(np.int64)), pa.array(signed(key))],
-                    ["doc_id", "n_shingles", "set_key"])
+                    [batch.column("doc_id").slice(begin, end - begin), pa.array(sizes.astype(np.int64)), pa.array(signed(key)),
+                     batch.column("text_hash").slice(begin, end - begin)], ["doc_id", "n_shingles", "set_key", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_shingles long, set_key long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        digest, "doc_id long, n_shingles long, set_key long, text_hash long")
 
 
 def signature_rows(docs: DataFrame, words: int, percent: int, slices: int = 1, number: int = 0, hot: np.ndarray | None = None) -> DataFrame:
@@ -266,18 +267,19 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     both have in common with the hub, and what else they may share, allows it.
     """
     scratch = Scratch(docs.sparkSession, "part_enum")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = scratch.save(set_digests(docs, words), "digests")
     hot = hot_signatures(docs, words, percent)
     slices = [scratch.save(shared_signatures(signature_rows(docs, words, percent, SLICES, i, hot)), "shared") for i in range(SLICES)]
     shared = reduce(DataFrame.unionByName, slices)
     nodes = digests.where("n_shingles > 0").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    wanted = (shared.select("set_key").distinct().join(nodes, "set_key")
-              .select("set_key", F.coalesce("rep", F.lit(-(1 << 63))).alias("_id")))
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "text_hash")).alias("one"))
+    wanted = shared.select("set_key").distinct().join(nodes, "set_key").select("set_key", "one._id", "one.text_hash")
     wanted = scratch.save(wanted, "wanted")
-    # By id and set: many rows may have one id, or none.
-    some = with_set_keys(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text"), words, "set_key").join(
-        wanted.hint("merge"), ["_id", "set_key"])
+    # By id and text: many rows may have one id, or none.
+    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text", F.xxhash64("text").alias("text_hash")).join(
+        wanted.hint("merge"), ["_id", "text_hash"])
     sets = scratch.save(_shingle_sets(some, words), "sets")
     alone = (sets.select("set_key", F.explode("shingles").alias("shingle"))
              .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n = 1")

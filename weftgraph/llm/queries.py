@@ -22,6 +22,7 @@ from weftgraph.llm.suffixes import repeated_passages
 from weftgraph.llm.token_store import read_all, write_shards
 from weftgraph.llm.toxicity import judge_toxicity
 from weftgraph.llm.urls import judge_urls, starting_labels
+from weftgraph.session import tune
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -29,7 +30,7 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,30 +49,18 @@ def selected(words: Words, min_words: int) -> np.ndarray:
 
 
 def text_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, text_key) of every row; texts of equal words have equal keys."""
+    """(doc_id, n_words, text_key, text_hash) of every row; texts of equal words have equal keys. text_hash is Spark's own, to find a text again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, bounds in chunks(batch.column("text")):
                 words = Words(data, bounds, NOT_SPACE)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(begin, end - begin), pa.array(words.counts.astype(np.int64)), pa.array(signed(_keys(words)))],
-                    ["doc_id", "n_words", "text_key"])
+                    batch.column("doc_id").slice(begin, end - begin), pa.array(words.counts.astype(np.int64)), pa.array(signed(_keys(words))),
+                    batch.column("text_hash").slice(begin, end - begin)], ["doc_id", "n_words", "text_key", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, text_key long")
-
-
-def with_text_keys(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with the key of each row's words in a column ``name``."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for begin, end, data, bounds in chunks(batch.column("text")):
-                key = signed(_keys(Words(data, bounds, NOT_SPACE)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(begin, end - begin).columns, pa.array(key)], [*batch.schema.names, name])
-
-    return docs.mapInArrow(run, f"{fields}, `{name}` long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, n_words long, text_key long, text_hash long")
 
 
 def sparse_suffixes(docs: DataFrame, min_words: int) -> DataFrame:
@@ -201,12 +189,13 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffixes")
     digests = scratch.save(text_digests(docs).where(F.col("n_words") >= min_words), "digests")
     texts = digests.groupBy("text_key").agg(
-        F.min(F.coalesce("doc_id", F.lit(_NO_ID))).alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("n_words").alias("n_words"))
+        F.min(F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "text_hash")).alias("one"), F.count(F.lit(1)).alias("copies"),
+        F.min("n_words").alias("n_words")).select("text_key", "one.*", "copies", "n_words")
     kept = scratch.save(equal_neighbours(sparse_suffixes(docs, min_words)), "neighbours")
     wanted = kept.groupBy("text_key").agg(F.collect_list("word").alias("words")).join(texts, "text_key")
     # By id and text: many rows may have one id, or none.
-    some = with_text_keys(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), "text"), "text_key").join(
-        wanted.select("text_key", "rep", "words"), ["rep", "text_key"])
+    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("rep"), "text", F.xxhash64("text").alias("text_hash")).join(
+        wanted.select("text_key", "rep", "text_hash", "words"), ["rep", "text_hash"])
     windows = scratch.save(_windows(some, min_words), "windows")
     place = F.struct("rep", "text_key", "start")
     first = scratch.save(
@@ -271,12 +260,17 @@ def cut_passages(docs: DataFrame, passages: DataFrame, keep_column: str = "n_cha
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names, kinds = docs.columns, docs.schema
-    here, key_name, listed_name = (free_name(docs, x) for x in ("_doc", "_key", "_spans"))
+    here, hash_name, listed_name = (free_name(docs, x) for x in ("_doc", "_hash", "_spans"))
+    scratch = Scratch(docs.sparkSession, "cut")
     # By id and text: rows without an id have their own spans only.
-    spans = (passages.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias(here), F.col("text_key").alias(key_name))
-             .agg(F.collect_list(F.struct("text_key", "first_word", "end_word", F.col("source_doc_id").eqNullSafe(F.col("doc_id")).alias("own"))).alias(listed_name)))
-    joined = (with_text_keys(docs, key_name).withColumn(here, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-              .join(spans, [here, key_name], "left").drop(here, key_name))
+    listed = (passages.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text_key")
+              .agg(F.collect_list(F.struct("text_key", "first_word", "end_word", F.col("source_doc_id").eqNullSafe(F.col("doc_id")).alias("own"))).alias("spans")))
+    homes = text_digests(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc"), "text_key", "text_hash").distinct()
+    spans = scratch.save(
+        homes.join(listed, ["doc", "text_key"]).groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        .select(F.col("doc").alias(here), F.col("text_hash").alias(hash_name), F.col("spans").alias(listed_name)), "spans")
+    joined = (docs.withColumn(here, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn(hash_name, F.xxhash64("text"))
+              .join(spans, [here, hash_name], "left").drop(here, hash_name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = names.index("text")
