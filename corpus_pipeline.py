@@ -16,6 +16,7 @@ from weftgraph.llm.part_enum import jaccard_groups, with_set_keys  # noqa: E402
 from weftgraph.llm.quality import keep_quality  # noqa: E402
 from weftgraph.llm.scratch import Scratch, free_name  # noqa: E402
 from weftgraph.llm.suffixes import cut_passages, repeated_passages  # noqa: E402
+from weftgraph.session import tune  # noqa: E402
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(tune(spark), "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
