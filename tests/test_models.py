@@ -4,6 +4,7 @@ task limits so that every split path runs."""
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.operators import link, memory, meter, scale, substring, traverse
@@ -108,14 +109,31 @@ def test_contains_join_equals_brute_force(spark):
     assert got == {(i, x) for i, text in enumerate(texts) for x in set(needles) if x in text}
 
 
-def test_blast_radius_with_hub(spark):
+@pytest.mark.parametrize("how", ["broadcast", "shuffle", "stored", "stored-broadcast"])
+def test_blast_radius_with_hub(spark, how):
     rng = random.Random(6)
     pairs = list({(f"n{rng.randint(0, 60)}", "hub" if rng.random() < 0.4 else f"n{rng.randint(0, 60)}") for _ in range(200)})
     ids = sorted({x for p in pairs for x in p})
     nodes = spark.createDataFrame([(i, i, "r", f"{i}.py") for i in ids], "id string, symbol_name string, repo string, file_path string")
     edges = spark.createDataFrame(pairs, "caller_id string, callee_id string")
     roots = ["hub", ids[0], ids[5]]
-    walk = traverse.blast_radius(nodes, edges, spark.createDataFrame([(r,) for r in roots], "root string"), 3, rows_per_task=5)
+    asked, most = spark.createDataFrame([(r,) for r in roots], "root string"), 500_000 if "broadcast" in how else 0
+    if how.startswith("stored"):
+        edges = traverse.Adjacency.store(edges, f"arcs_{how.replace('-', '_')}", buckets=3, rows_per_task=5)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        step = edges.wide_step(asked.select(F.col("root").alias("src"), F.lit(1).alias("n")), "upstream")
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert edges.spark.table(f"{edges.name}_upstream_hubs").count()
+        lines = plan.splitlines()
+        at = next(i for i, line in enumerate(lines) if "SelectedBucketsCount" in line)
+        depth, above = re.search(r"\w", lines[at]).start(), []
+        for line in reversed(lines[:at]):
+            if (m := re.search(r"\w", line)) and m.start() < depth:
+                depth = m.start()
+                above.append(line)
+        assert "SortMergeJoin" in " ".join(above) and not any("Exchange" in x for x in above[: next(i for i, x in enumerate(above) if "SortMergeJoin" in x)])
+    walk = traverse.blast_radius(nodes, edges, asked, 3, rows_per_task=5, max_frontier=most)
     got = {(r.root, r.direction, r.node_id): r.depth for r in walk.collect()}
     want = {}
     for root in roots:
@@ -126,6 +144,8 @@ def test_blast_radius_with_hub(spark):
                 seen.update({m: depth for m in level})
             want.update({(root, direction, n): d for n, d in seen.items()})
     assert got == want
+    one_way = traverse.blast_radius(nodes, edges, asked, 3, rows_per_task=5, max_frontier=most, directions=("upstream",))
+    assert {(r.root, r.direction, r.node_id): r.depth for r in one_way.collect()} == {k: d for k, d in want.items() if k[1] == "upstream"}
 
 
 def test_route_masks_equal_trie(spark):

@@ -123,8 +123,8 @@ def change_patches(nodes: DataFrame, edges: DataFrame, directives: DataFrame, ma
         F.coalesce(F.nullif("code_content", F.lit("")), F.concat(F.lit("# Definition for "), "root_name")).alias("old_content"),
         producer_rewrite(F.coalesce("code_content", F.lit("")), F.col("root_name"), F.col("replacement")).alias("new_content"))
 
-    walk = blast_radius(nodes, edges, plan.select(F.col("root_id").alias("root")).distinct(), max_depth)
-    upstream = walk.where("direction = 'upstream' AND depth > 0").select("root_id", "depth", F.col("node_id").alias("id"))
+    walk = blast_radius(nodes, edges, plan.select(F.col("root_id").alias("root")).distinct(), max_depth, directions=("upstream",))
+    upstream = walk.where("depth > 0").select("root_id", "depth", F.col("node_id").alias("id"))
     place = nodes.select("id", "repo", "file_path", "start_line")
     # the walk can be long and many directives can share a root: place first, then join the short plan
     callers = lookup_join(upstream.join(place, "id"), plan, ["root_id"], "inner", ["id"]).where(F.col("repo") != F.col("producer_repo"))

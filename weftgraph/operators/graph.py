@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.operators.scale import edges_with_ends, first_rows, top_rows
+from weftgraph.operators.scale import edges_with_ends, first_rows, lookup_join, top_rows
 
 NODE_ORDER = ("repo", "file_path", "start_line", "id")
 
@@ -42,14 +42,15 @@ def resolve_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 def usage_links(nodes: DataFrame, edges: DataFrame, targets: DataFrame, distinct: bool = False) -> DataFrame:
     """Callers and callees of each target, long form with a direction."""
     hit = resolve_targets(nodes, targets)
-    up = hit.join(edges, hit.id == edges.callee_id).select(
+    up = lookup_join(edges, hit.select("target", F.col("id").alias("callee_id")), ["callee_id"], "inner", ["caller_id"]).select(
         "target", F.lit("upstream").alias("direction"), F.col("caller_id").alias("node_id"), "edge_type")
-    down = hit.join(edges, hit.id == edges.caller_id).select(
+    down = lookup_join(edges, hit.select("target", F.col("id").alias("caller_id")), ["caller_id"], "inner", ["callee_id"]).select(
         "target", F.lit("downstream").alias("direction"), F.col("callee_id").alias("node_id"), "edge_type")
     links = up.unionByName(down)
     if distinct:
         links = links.select("target", "direction", "node_id").distinct()
-    return links.join(nodes.select(F.col("id").alias("node_id"), "repo", "file_path", "symbol_name"), "node_id")
+    place = nodes.select(F.col("id").alias("node_id"), "repo", "file_path", "symbol_name")
+    return lookup_join(links, place, ["node_id"], "inner", ["target"])
 
 
 def usage_counts(links: DataFrame) -> DataFrame:

@@ -27,6 +27,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return df
 
 
+def broadcast_if_stored_small(table: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """``broadcast_if_small`` for a written table, whose stored bytes must be few as well."""
+    few_bytes = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= MAX_BROADCAST_BYTES
+    return broadcast_if_small(table, max_rows) if few_bytes else table
+
+
 def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more rows than one task should take, and their salt count.
 
@@ -103,8 +109,7 @@ def lookup_join(
     the bounds of rows and stored bytes the join is salted. Both give the same rows.
     """
     table = materialise(build, "lookup")
-    small = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= MAX_BROADCAST_BYTES
-    hinted = broadcast_if_small(table, max_broadcast_rows) if small else table
+    hinted = broadcast_if_stored_small(table, max_broadcast_rows)
     if hinted is not table:
         return stream.join(hinted, list(keys), how)
     return salted_join(stream, table, keys, how, spread, rows_per_task)

@@ -7,12 +7,13 @@ from weftgraph.plans.catalog.book import GRAPH, Book, edges, nodes
 from weftgraph.plans.catalog.metering import CALLS, FOLD, LIMITS, MEMORY, N, TOKENS
 from weftgraph.plans.catalog.reports import BLUEPRINT
 from weftgraph.plans.index import index_files
-from weftgraph.schema import NODES, conform
+from weftgraph.schema import EDGES, NODES, conform
 from weftgraph.session import scratch_path
 from weftgraph.sources import files as f
 from weftgraph.sources import tables as t
 from weftgraph.sources import views
-from weftgraph.sources.code_views import code_files, expected_symbols, service_files
+from weftgraph.sources.code_views import LINKED_EDGES, code_files, expected_symbols, linked_files, service_files
+from weftgraph.sources.snapshots import SnapshotStore
 from weftgraph.streaming import jobs
 
 BOOK = Book()
@@ -121,11 +122,17 @@ def write_blueprint(spark, sf):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
-# place_order and the class call load_part, place_order calls the class, and the class defines it
-@BOOK.query(f"""SELECT 'indexed_nodes' AS metric, count(*) AS value FROM {views.duck(expected_symbols(('python', 'ts')))}
-UNION ALL SELECT 'internal_edges', count(*) * 4 FROM supplier UNION ALL SELECT 'cross_repo_edges', 0""")
+@BOOK.query(f"SELECT caller_id, callee_id, edge_type, CAST(confidence AS DOUBLE) AS confidence FROM {views.duck(LINKED_EDGES)}")
+def index_and_link(spark, sf):
+    """From texts to the edges of every kind: services, their web clients and tools that import them."""
+    _, internal, cross = index_files(linked_files(spark, sf))
+    return internal.unionByName(cross, allowMissingColumns=True).select("caller_id", "callee_id", "edge_type", "confidence")
+
+
+@BOOK.query(f"""SELECT 'indexed_nodes' AS metric, count(*) + (SELECT count(*) FROM supplier) AS value FROM {views.duck(expected_symbols(('python', 'ts')))}
+UNION ALL SELECT 'internal_edges', count(*) * 4 FROM supplier UNION ALL SELECT 'cross_repo_edges', count(*) * 3 FROM supplier""")
 def ingest_summary(spark, sf):
-    return t.ingest_summary(*index_files(code_files(spark, sf, "python", "ts")))
+    return t.ingest_summary(*index_files(linked_files(spark, sf)))
 
 
 # --- streams ----------------------------------------------------------------
@@ -143,20 +150,28 @@ def call_stream(spark, sf):
         F.array(F.concat(F.lit("repo_"), (F.col("event_id") % 17).cast("string"), F.lit(":file_"), (F.col("event_id") % 97).cast("string"))).alias("files"))
 
 
-@BOOK.query(f"SELECT repo, file_path, symbol_name, symbol_type, start_line, end_line FROM {views.duck(expected_symbols(('python', 'go')))}")
+@BOOK.query(f"""SELECT 'node' AS kind, replace(repo, ' ', '_') || ':' || file_path || ':' || symbol_name || ':' || start_line AS id, symbol_type AS what FROM {views.duck(expected_symbols(('python',)))}
+UNION ALL SELECT 'node', replace(replace(repo, ' ', '_'), 'svc_', 'web_') || ':' || file_path || ':' || symbol_name || ':' || start_line, symbol_type FROM {views.duck(expected_symbols(('ts',)))}
+UNION ALL SELECT 'node', concat('tool_', replace(lower(n_name), ' ', '_'), ':jobs/total_', s_suppkey, '.py:report_', s_suppkey, ':3'), 'function' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'edge', caller_id || ' > ' || callee_id, edge_type FROM {views.duck(LINKED_EDGES)}""")
 def stream_ingest(spark, sf):
-    """Two arrivals of the service files, the second one repeating a language;
-    it also holds a file twice, one emptied and one deleted file."""
+    """Three arrivals, each linked to what is stored: first clients and old services with other routes and names,
+    then the services as they are, at last files that are emptied or deleted, and a file that arrives too late."""
     inbox, store = scratch_path(spark, "inbox"), scratch_path(spark, "live")
-    stale = code_files(spark, sf, "python").select("repo", "file_path", F.lit("def stale():\n    pass\n").alias("content"), F.lit(1).alias("version"))
-    gone = stale.select(F.concat(F.lit("gone "), "repo").alias("repo"), "file_path", "content", "version")
-    now = code_files(spark, sf, "python", "go").select("repo", "file_path", "content", F.lit(3).alias("version"))
-    ended = gone.select("repo", "file_path", F.when(F.col("repo").endswith("1"), "# nothing").alias("content"), F.lit(2).alias("version"))
-    stale.unionByName(gone).coalesce(1).write.mode("append").parquet(inbox)
-    now.unionByName(stale).unionByName(ended).coalesce(1).write.mode("append").parquet(inbox)
+    now = linked_files(spark, sf)
+    service = F.col("file_path").startswith("app/")
+    old = now.where(service).withColumn("content", F.replace(F.replace("content", F.lit("/orders"), F.lit("/old")), F.lit("def total_"), F.lit("def sum_")))
+    gone = now.where(service).withColumn("repo", F.concat(F.lit("gone_"), "repo"))
+    first = now.where(~service).unionByName(old).unionByName(gone)
+    ended = gone.withColumn("content", F.when(F.col("repo").contains("e"), "# nothing"))
+    for version, rows in enumerate((first, now.where(service), ended.withColumn("version", F.lit(3)).unionByName(old.withColumn("version", F.lit(0))).unionByName(now.where(service).withColumn("version", F.lit(2))))):
+        arrived = rows if "version" in rows.columns else rows.withColumn("version", F.lit(version + 1))
+        arrived.coalesce(1).write.mode("append").parquet(inbox)
     arriving = spark.readStream.schema("repo string, file_path string, content string, version int").option("maxFilesPerTrigger", 1).parquet(inbox)
-    jobs.ingest(arriving, store, link=False, version="version").awaitTermination()
-    return t.all_nodes(spark, f"{store}/nodes").select("repo", "file_path", "symbol_name", "symbol_type", "start_line", "end_line")
+    jobs.ingest(arriving, store, version="version", buckets=8).awaitTermination()
+    graph = SnapshotStore(spark, store)
+    edges = graph.read("edges", EDGES).select(F.lit("edge").alias("kind"), F.concat("caller_id", F.lit(" > "), "callee_id").alias("id"), F.col("edge_type").alias("what"))
+    return graph.read("nodes", NODES).select(F.lit("node").alias("kind"), "id", F.col("symbol_type").alias("what")).unionByName(edges)
 
 
 @BOOK.query(FOLD + "SELECT session, seq, trigger, calls_before, tokens_before FROM d")

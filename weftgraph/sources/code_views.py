@@ -266,9 +266,34 @@ JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custke
 """
 
 
+#: Services whose repositories can be imported, web clients in repositories of their own, and a tool that imports each service.
+LINKED_FILES = f"""
+SELECT CASE WHEN file_path LIKE 'web/%' THEN replace(repo, 'svc_', 'web_') ELSE repo END AS repo, file_path, content
+FROM (SELECT replace(repo, ' ', '_') AS repo, file_path, content FROM ({service_files(("python", "ts"))}))
+UNION ALL
+SELECT concat('tool_', replace(lower(n_name), ' ', '_')), concat('jobs/total_', CAST(s_suppkey AS STRING), '.py'),
+       replace(concat('from svc_', replace(lower(n_name), ' ', '_'), ' import total_', CAST(s_suppkey AS STRING), '~~def report_', CAST(s_suppkey AS STRING), '(x):~    return total_', CAST(s_suppkey AS STRING), '(x)~'), '~', chr(10))
+FROM {{supplier}} JOIN {{nation}} ON s_nationkey = n_nationkey
+"""
+_LINKED = "SELECT replace(lower(n_name), ' ', '_') AS n, CAST(s_suppkey AS STRING) AS s FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey"
+#: The edges those files hold, by kind.
+LINKED_EDGES = f"""
+SELECT concat('web_', n, ':web/supplier_', s, '.ts:loadOrder', s, ':5') AS caller_id, concat('svc_', n, ':app/supplier_', s, '.py:place_order_', s, ':10') AS callee_id, 'consumes_api' AS edge_type, 1.0 AS confidence FROM ({_LINKED})
+UNION ALL SELECT concat('tool_', n, ':jobs/total_', s, '.py:report_', s, ':3'), concat('svc_', n, ':app/supplier_', s, '.py:total_', s, ':14'), k.kind, k.confidence
+FROM ({_LINKED}) CROSS JOIN (SELECT 'imports' AS kind, 0.98 AS confidence UNION ALL SELECT 'calls', 0.95) k
+UNION ALL SELECT concat('svc_', n, ':app/supplier_', s, '.py:', replace(k.a, '@S@', s)), concat('svc_', n, ':app/supplier_', s, '.py:', replace(k.b, '@S@', s)), k.kind, 1.0
+FROM ({_LINKED}) CROSS JOIN (SELECT 'SupplierStore@S@:4' AS a, 'load_part:5' AS b, 'defines' AS kind UNION ALL SELECT 'SupplierStore@S@:4', 'load_part:5', 'calls'
+  UNION ALL SELECT 'place_order_@S@:10', 'load_part:5', 'calls' UNION ALL SELECT 'place_order_@S@:10', 'SupplierStore@S@:4', 'calls') k
+"""
+
+
 def code_files(spark: SparkSession, sf_dir: str, *langs: str) -> DataFrame:
     return views.view(spark, sf_dir, service_files(langs or tuple(SERVICE_FILES)))
 
 
+def linked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.view(spark, sf_dir, LINKED_FILES)
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.view(spark, sf_dir, ORDER_FILES)
