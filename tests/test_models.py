@@ -186,3 +186,41 @@ def test_ends_of_a_hub_are_the_same_salted(spark, monkeypatch):
                 "caller_id", "callee_id", "caller_repo", "callee_repo").collect())))
         monkeypatch.undo()
         assert got[0] == got[1] and len(got[0]) > 100
+
+
+def test_vector_index_is_exact_where_certain(spark):
+    import numpy as np
+
+    from weftgraph.operators import search
+    from weftgraph.operators.vector_index import VectorIndex
+
+    draw = np.random.default_rng(4)
+    centers = draw.normal(size=(6, 8))
+    rows = [(i, f"r{i % 3}", (centers[i % 6] + draw.normal(scale=0.3, size=8)).tolist()) for i in range(180)]
+    rows += [(500, "r1", None), (501, "r2", [0.0] * 8), (502, "r1", [1.0, 2.0]), (503, "r1", rows[7][2]), (504, "lone", rows[9][2])]
+    vectors = spark.createDataFrame(rows, "id long, repo string, embedding array<double>")
+    asked = [(i, rows[i * 7][2], ("r1", None, "lone", "nowhere")[i % 4]) for i in range(16)] + [(90, None, None), (91, [0.0] * 8, None)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, repo string")
+    index = VectorIndex.store(vectors, cells=6)
+
+    def plain(q):
+        def cosine(v):
+            a, b = np.array(q[1] or [0.0] * 8), np.array(v or [0.0] * 8)
+            n = np.sqrt((a * a).sum() * (b * b).sum()) if len(a) == len(b) else 0
+            return float(a @ b / n) if n else 0.0
+
+        found = sorted(((-round(cosine(v), 9), i) for i, repo, v in rows if q[2] in (None, repo)))[:5]
+        return [(i, -s) for s, i in found]
+
+    for certain in (True, False):
+        got = {}
+        for r in index.search(queries, 5, probes=2, certain=certain).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, round(r.score, 9) + 0.0))
+        assert all(len(got.get(q[0], ())) == len(plain(q)) for q in asked)
+        if certain:
+            assert {k: v for k, v in got.items()} == {q[0]: plain(q) for q in asked if plain(q)}
+    assert index.search(queries.where("false")).count() == 0
+    assert VectorIndex.store(vectors.where("false")).search(queries).count() == 0
+    # a block without vectors
+    few = search.cosine_topk_batch(vectors.limit(1), queries.select("query_id", "embedding"), 3)
+    assert few.count() == len(asked)

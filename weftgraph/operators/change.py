@@ -21,7 +21,7 @@ DIRECTIVE_WORDS = (
 DEFAULT_TARGET = "verify_legacy_auth"
 ROUTE = r"(/[a-zA-Z0-9_\-\./]+)"
 NAME = r"(?U)\b([a-zA-Z_][a-zA-Z0-9_]{3,})\b"
-SUNSET = "Wed, 21 Oct 2026 07:28:00 GMT"
+SUNSET = "Thu, 31 Dec 2026 23:59:59 GMT"
 
 
 def parse_directive(query: Column) -> Column:
@@ -54,15 +54,15 @@ def producer_rewrite(code: Column, name: Column, replacement: Column, author: st
     gets a comment line on top."""
     successor = F.coalesce(F.nullif(replacement, F.lit("")), F.concat(name, F.lit("_v2")))
     marked = F.when(code.contains("deprecated=True"), code).otherwise(_replace_first_call(code))
-    headers = (f"\n    # Added by {author}: Sunset header & migration redirect\n"
+    headers = (f"\n    # {author}: tells callers that this endpoint ends, and when\n"
                f'    response.headers["Sunset"] = "{SUNSET}"\n'
-               '    response.headers["Deprecation"] = "@true"\n')
+               '    response.headers["Deprecation"] = "true"\n')
     with_headers = F.replace(marked, F.lit("return {"), F.lit(headers + "    return {"))
     function = F.regexp_replace(F.replace(successor, F.lit("/"), F.lit("_")), "^_+|_+$", "")
     added = F.concat(
-        F.lit('\n\n@app.post("/'), F.regexp_replace(successor, "^/+", ""), F.lit('")\ndef '), function, F.lit('(req: dict):\n    """Active modern replacement endpoint for '),
-        name, F.lit('."""\n    return {"status": "active", "migrated": True}\n'))
-    comment = F.concat(F.lit("# [DEPRECATED] Migrated to "), successor, F.lit(f" via {author}\n"), code)
+        F.lit('\n\n@app.post("/'), F.regexp_replace(successor, "^/+", ""), F.lit('")\ndef '), function, F.lit('(req: dict):\n    """Takes the place of '),
+        name, F.lit('."""\n    return {"replaces": "'), name, F.lit('"}\n'))
+    comment = F.concat(F.lit("# Replaced by "), successor, F.lit(f" ({author})\n"), code)
     return F.when(code.contains("@app."), F.concat(with_headers, added)).otherwise(comment)
 
 
@@ -83,7 +83,7 @@ def consumer_rewrite(code: Column, producer_name: Column, producer_route: Column
     return (
         F.when((route != "") & code.contains(route), F.replace(code, route, target))
         .when(code.contains(producer_name), F.replace(code, producer_name, target))
-        .otherwise(F.concat(F.lit("// Migrated to consume "), target, F.lit(f" via {author}\n"), code)))
+        .otherwise(F.concat(F.lit("// Now meant to call "), target, F.lit(f" ({author})\n"), code)))
 
 
 @F.pandas_udf(T.StringType())

@@ -174,7 +174,9 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5) ->
     vector_blocks = -(-vectors.count() // VECTORS_PER_BLOCK) or 1
     # small inputs are still spread over the cores
     vector_blocks = max(vector_blocks, spark.sparkContext.defaultParallelism)
-    cols = ["query_id", "embedding"] + (["repo"] if "repo" in queries.columns else [])
+    scoped = "repo" in queries.columns
+    # names of their own: queries may be rows of the vectors, and share columns with them
+    cols = [F.col("query_id").alias("asked_id"), F.col("embedding").alias("wanted")] + ([F.col("repo").alias("scope")] if scoped else [])
 
     def unit(m: np.ndarray) -> np.ndarray:
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
@@ -184,17 +186,19 @@ def cosine_topk_batch(vectors: DataFrame, queries: DataFrame, limit: int = 5) ->
         return column.map(lambda v: 0 if v is None else len(v)).to_numpy(dtype=int)
 
     def score(asked: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or batch.empty:  # a block without rows on one side has no columns there
+            return pd.DataFrame()
         scores = np.zeros((len(asked), len(batch)))
-        want, have = lengths(asked["embedding"]), lengths(batch["embedding"])
+        want, have = lengths(asked["wanted"]), lengths(batch["embedding"])
         for d in set(want[want > 0]) & set(have):
             at, mine = np.flatnonzero(want == d), np.flatnonzero(have == d)
-            left, right = (unit(np.stack([np.asarray(v, dtype=float) for v in x["embedding"].iloc[i]])) for x, i in ((asked, at), (batch, mine)))
+            left, right = (unit(np.stack([np.asarray(v, dtype=float) for v in x.iloc[i]])) for x, i in ((asked["wanted"], at), (batch["embedding"], mine)))
             scores[np.ix_(at, mine)] = left @ right.T
-        scopes = asked["repo"].tolist() if "repo" in cols else [None] * len(asked)
+        scopes = asked["scope"].tolist() if scoped else [None] * len(asked)
         # rows in the order of ids, so that a stable sort by score breaks ties by id
         order = np.argsort(batch["id"].to_numpy(), kind="stable")
         repos, found = batch["repo"].to_numpy()[order], []
-        for i, (query, scope) in enumerate(zip(asked["query_id"], scopes)):
+        for i, (query, scope) in enumerate(zip(asked["asked_id"], scopes)):
             mine = order if pd.isna(scope) else order[repos == scope]
             mine = mine[np.argsort(-scores[i][mine], kind="stable")[:limit]]
             found.append(batch.iloc[mine][["id", "repo"]].assign(query_id=query, score=scores[i][mine]))

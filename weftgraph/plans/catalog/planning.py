@@ -41,10 +41,10 @@ def resolve_root(spark, sf):
     return c.resolve_roots(nodes(spark, sf), parsed)
 
 
-HEADERS = """chr(10) || '    # Added by the migration tool: Sunset header & migration redirect' || chr(10) || '    response.headers["Sunset"] = "Wed, 21 Oct 2026 07:28:00 GMT"' || chr(10) || '    response.headers["Deprecation"] = "@true"' || chr(10)"""
+HEADERS = """chr(10) || '    # the migration tool: tells callers that this endpoint ends, and when' || chr(10) || '    response.headers["Sunset"] = "Thu, 31 Dec 2026 23:59:59 GMT"' || chr(10) || '    response.headers["Deprecation"] = "true"' || chr(10)"""
 NEW_PRODUCER = f"""replace(regexp_replace(code_content, '(@app\\.[a-z]+\\([^)]+)', '\\1, deprecated=True'), 'return {{', {HEADERS} || '    return {{')
 || chr(10) || chr(10) || '@app.post("/' || ltrim(coalesce(replacement, symbol_name || '_v2'), '/') || '")' || chr(10) || 'def ' || trim(replace(coalesce(replacement, symbol_name || '_v2'), '/', '_'), '_') || '(req: dict):' || chr(10)
-|| '    \"\"\"Active modern replacement endpoint for ' || symbol_name || '.\"\"\"' || chr(10) || '    return {{"status": "active", "migrated": True}}' || chr(10)""".replace("{{", "{").replace("}}", "}")
+|| '    \"\"\"Takes the place of ' || symbol_name || '.\"\"\"' || chr(10) || '    return {{"replaces": "' || symbol_name || '"}}' || chr(10)""".replace("{{", "{").replace("}}", "}")
 
 
 @BOOK.query(f"WITH {GRAPH}, {PARSED} SELECT directive_id, {NEW_PRODUCER} AS new_content FROM d JOIN nodes ON symbol_name = 'supplier_' || directive_id")
@@ -56,7 +56,7 @@ def producer_rewrite(spark, sf):
 
 @BOOK.query(f"""WITH {GRAPH} SELECT n.symbol_name, CASE WHEN contains(code_content, '/v1/suppliers/' || c_nationkey) THEN replace(code_content, '/v1/suppliers/' || c_nationkey, '/v2/suppliers/' || c_nationkey) END AS new_content
 FROM nodes n JOIN customer ON n.symbol_name = 'customer_' || c_custkey
-UNION ALL SELECT symbol_name, '// Migrated to consume other_v2 via the migration tool' || chr(10) || code_content FROM nodes WHERE symbol_type = 'class'
+UNION ALL SELECT symbol_name, '// Now meant to call other_v2 (the migration tool)' || chr(10) || code_content FROM nodes WHERE symbol_type = 'class'
 UNION ALL SELECT symbol_name, replace(code_content, symbol_name, symbol_name || '_v2') FROM nodes WHERE symbol_type = 'endpoint'""")
 def consumer_rewrite(spark, sf):
     n = nodes(spark, sf)
@@ -97,7 +97,7 @@ con AS (SELECT u.directive_id, n.repo, n.file_path, n.code_content, r.replacemen
 patches AS (SELECT directive_id, 'producer' AS side, repo, file_path, md5({NEW_PRODUCER}) AS digest FROM r
 UNION ALL SELECT directive_id, 'consumer', repo, file_path, md5(CASE WHEN contains(code_content, endpoint_route) THEN replace(code_content, endpoint_route, coalesce(replacement, replace(endpoint_route, 'v1', 'v2')))
   WHEN contains(code_content, root_name) THEN replace(code_content, root_name, coalesce(replacement, replace(endpoint_route, 'v1', 'v2')))
-  ELSE '// Migrated to consume ' || coalesce(replacement, replace(endpoint_route, 'v1', 'v2')) || ' via the migration tool' || chr(10) || code_content END) FROM con)
+  ELSE '// Now meant to call ' || coalesce(replacement, replace(endpoint_route, 'v1', 'v2')) || ' (the migration tool)' || chr(10) || code_content END) FROM con)
 """
 
 

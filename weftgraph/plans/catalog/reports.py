@@ -89,22 +89,22 @@ def symbol_map(spark, sf):
     return r.symbol_map(nodes(spark, sf))
 
 
-RULE = "# " + "=" * 67
+RULE = "---"
 BLUEPRINT = CONTRACTS + f""", lang AS (SELECT repo, {LANG} AS language, count(*) AS n FROM nodes GROUP BY ALL),
 top AS (SELECT repo, arg_max(language, (n, -ascii(language))) AS primary_language FROM lang GROUP BY repo),
 lines AS (
-SELECT 0 AS section, * FROM (VALUES ('{RULE}'), ('# ORGANIZATION CODEBASE BLUEPRINT'), ('{RULE}')) v(line)
-UNION ALL SELECT 0, concat('# Generated for coding agents | # Total Repositories: ', CAST(count(DISTINCT repo) AS VARCHAR)) FROM nodes
-UNION ALL SELECT 1, * FROM (VALUES (''), ('## 1. REPOSITORY INVENTORY & ARCHITECTURAL ROLES')) v(line)
-UNION ALL SELECT 2, concat('- Repo: `', repo, '` (', any_value(primary_language), ') | Files: ', CAST(count(DISTINCT file_path) AS VARCHAR), ' | Symbols: ', CAST(count(*) AS VARCHAR)) FROM nodes JOIN top USING (repo) GROUP BY repo
-UNION ALL SELECT 2, concat('  Exported Endpoint: ', symbol_name) FROM nodes WHERE symbol_type = 'endpoint'
-UNION ALL SELECT 3, * FROM (VALUES (''), ('## 2. CROSS-REPOSITORY API CONTRACT MATRIX'), ('# Format: [Consumer Repo/File] -> (Relationship [Route:Method]) -> [Producer Repo/File: Symbol]')) v(line)
-UNION ALL SELECT 4, concat('- [', caller_repo, '] ', caller_file, ' (', caller_symbol, ') --', edge_type, CASE WHEN route <> '' THEN concat(' [', http_method, ' ', route, ']') ELSE '' END, '--> [', callee_repo, '] ', callee_file, ': `', callee_symbol, '`') FROM contracts
-UNION ALL SELECT 5, * FROM (VALUES (''), ('## 3. DETERMINISTIC SYMBOL MAP & AST BOUNDARIES'), ('# Use this index to locate exact functions/classes without full-repo scans.')) v(line)
+SELECT 0 AS section, * FROM (VALUES ('{RULE}'), ('# Code graph of all repositories'), ('{RULE}')) v(line)
+UNION ALL SELECT 0, concat('Written from the symbol graph: ', CAST(count(DISTINCT repo) AS VARCHAR), ' repositories') FROM nodes
+UNION ALL SELECT 1, * FROM (VALUES (''), ('## Repositories')) v(line)
+UNION ALL SELECT 2, concat('* `', repo, '`, mostly ', any_value(primary_language), ': ', CAST(count(*) AS VARCHAR), ' symbols in ', CAST(count(DISTINCT file_path) AS VARCHAR), ' files') FROM nodes JOIN top USING (repo) GROUP BY repo
+UNION ALL SELECT 2, concat('  * serves ', symbol_name) FROM nodes WHERE symbol_type = 'endpoint'
+UNION ALL SELECT 3, * FROM (VALUES (''), ('## Calls between repositories'), ('Who refers to whom, and how: caller, kind of reference with its route, target.')) v(line)
+UNION ALL SELECT 4, concat('* ', caller_repo, '/', caller_file, ' `', caller_symbol, '` ', edge_type, CASE WHEN route <> '' THEN concat(' (', http_method, ' ', route, ')') ELSE '' END, ' ', callee_repo, '/', callee_file, ' `', callee_symbol, '`') FROM contracts
+UNION ALL SELECT 5, * FROM (VALUES (''), ('## Symbols by file'), ('Line numbers are those of the indexed texts.')) v(line)
 UNION ALL SELECT DISTINCT 6, concat('### `', repo, '`') FROM nodes
-UNION ALL SELECT 6, concat('  - `', file_path, '`: ', string_agg({SYMBOLS}, ', ' ORDER BY start_line, id)) FROM nodes GROUP BY repo, file_path
-UNION ALL SELECT 7, * FROM (VALUES (''), ('{RULE}'), ('# INSTRUCTIONS FOR CODING AGENT:'), ('# 1. When modifying an endpoint, verify all consumer files listed in Section 2.'),
-('# 2. Use line numbers in Section 3 to request targeted diffs without reading entire files.'), ('# 3. Adhere strictly to the cross-repo contracts declared in Section 2.'), ('{RULE}')) v(line))
+UNION ALL SELECT 6, concat('* ', file_path, ': ', string_agg({SYMBOLS}, ', ' ORDER BY start_line, id)) FROM nodes GROUP BY repo, file_path
+UNION ALL SELECT 7, * FROM (VALUES (''), ('{RULE}'), ('How to use this report:'), ('* Before an endpoint changes, look up its callers under the second heading.'),
+('* Ask for the lines of a symbol, not for its file.'), ('* After a change every listed call must still be answered.'), ('{RULE}')) v(line))
 """
 
 

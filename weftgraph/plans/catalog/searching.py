@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.embedding import hash_embedding as embed_text
 from weftgraph.operators import search as s
+from weftgraph.operators.vector_index import VectorIndex
 from weftgraph.plans.catalog.book import GRAPH, Book, edges, nodes
 from weftgraph.sources import views
 
@@ -108,6 +109,25 @@ def filtered_knn(spark, sf):
     return s.cosine_topk_batch(v, q).withColumn("score", F.round("score", 6))
 
 
+@BOOK.query(f"WITH {FIRSTS} SELECT query_id, v.vec_id AS id, v.label AS repo, round({COSINE}, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY {COSINE} DESC, v.vec_id) AS rank FROM embeddings v, q QUALIFY rank <= 5")
+def indexed_topk(spark, sf):
+    """The index probes until its rows are certain, so they are those of a full scan."""
+    v = vectors(spark, sf)
+    q = v.groupBy(F.col("repo").alias("query_id")).agg(F.min_by("embedding", "id").alias("embedding"))
+    return VectorIndex.store(v, cells=16).search(q, certain=True).withColumn("score", F.round("score", 6))
+
+
+@BOOK.query("SELECT count(*) AS queries, count(*) * 5 AS rows_found, true AS recall_reached FROM embeddings WHERE vec_id % 10 = 0")
+def index_recall(spark, sf):
+    """Every tenth vector asked of 12 cells of 16 (these vectors hardly cluster): all queries have all rows, and of those of a full scan 0.9 or more."""
+    v = vectors(spark, sf)
+    q = v.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found = VectorIndex.store(v, cells=16).search(q, probes=12)
+    right = found.join(s.cosine_topk_batch(v, q).select("query_id", "id", F.lit(1).alias("right")), ["query_id", "id"], "left")
+    return right.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("rows_found"),
+                     (F.count("right") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 @BOOK.query()
 def approximate_topk(spark, sf):
     v = vectors(spark, sf)

@@ -110,9 +110,12 @@ def list_files(spark, sf):
     return f.list_files(nodes(spark, sf), search="Building")
 
 
-@BOOK.query(f"SELECT repo, file_path, CAST(length(content) - length(replace(content, chr(10), '')) + CASE WHEN right(content, 1) = chr(10) THEN 0 ELSE 1 END AS INT) AS total_lines FROM {views.duck(service_files())}")
+@BOOK.query(f"""SELECT repo, file_path, content, CAST(length(content) - length(replace(content, chr(10), '')) + CASE WHEN right(content, 1) = chr(10) THEN 0 ELSE 1 END AS INT) AS total_lines
+FROM {views.duck(service_files())} WHERE file_path LIKE 'app/%' OR file_path LIKE 'nb/%'""")
 def file_content(spark, sf):
-    return code_files(spark, sf).select("repo", "file_path", f.line_count(F.col("content")).alias("total_lines"))
+    files = code_files(spark, sf)
+    asked = files.where("file_path LIKE 'app/%' OR file_path LIKE 'nb/%'").select("repo", "file_path")
+    return f.file_content(files, asked.unionByName(asked).unionByName(asked.select(F.lit("nowhere").alias("repo"), "file_path")))
 
 
 @BOOK.query(BLUEPRINT + "SELECT line FROM lines")

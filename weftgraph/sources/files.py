@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from weftgraph.functions.routes import repo_name
 from weftgraph.operators import rules
-from weftgraph.operators.scale import first_rows
+from weftgraph.operators.scale import broadcast_if_small, first_rows
 from weftgraph.schema import NODES, conform, node_id
 
 LINE_END = "(?<=[\\n\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029])|(?<=\\r)(?!\\n)"
@@ -96,8 +96,10 @@ def list_files(nodes: DataFrame, repo: str | None = None, search: str = "") -> D
     return paths.where(F.lower("file_path").contains(search.lower())) if search else paths
 
 
-def file_content(files: DataFrame, repo: str, path: str) -> DataFrame:
-    return files.where((F.col("repo") == repo) & (F.col("file_path") == path)).select(
+def file_content(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """Text and number of lines of each file in ``asked(repo, file_path)``; a path that isn't there has no row."""
+    wanted = broadcast_if_small(asked.select("repo", "file_path").distinct())
+    return files.join(wanted, ["repo", "file_path"], "left_semi").select(
         "repo", "file_path", "content", line_count(F.col("content")).alias("total_lines"))
 
 
