@@ -25,6 +25,8 @@ from weftgraph.llm.text_hash import NOT_SPACE, Words, chunks, mix, signed
 REMEMBERED = 200_000
 #: Signatures are sorted in so many slices, one after the other, whose shuffle files are freed in between.
 SLICES = 2
+#: The same for the shingles of the sets that share a signature.
+SHINGLE_SLICES = 4
 #: One in so many texts is sampled for signatures of very many sets; from so many sampled sets on, one is spread.
 SAMPLED, HOT_ROWS, HOT_SIGNATURES = 64, 64, 100_000
 
@@ -281,12 +283,16 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text", F.xxhash64("text").alias("text_hash")).join(
         wanted.hint("merge"), ["_id", "text_hash"])
     sets = scratch.save(_shingle_sets(some, words), "sets")
-    alone = (sets.select("set_key", F.explode("shingles").alias("shingle"))
-             .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n = 1")
-             .groupBy("set_key").agg(F.count(F.lit(1)).alias("private")))
+    # Shingles of one set only, counted a slice of the shingles at a time.
+    parts = [scratch.save(
+        sets.select("set_key", F.explode("shingles").alias("shingle")).where(F.pmod(F.shiftright("shingle", 7), F.lit(SHINGLE_SLICES)) == i)
+        .groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("set_key")).where("n = 1")
+        .groupBy("set_key").agg(F.count(F.lit(1)).alias("private")), "private") for i in range(SHINGLE_SLICES)]
+    alone = reduce(DataFrame.unionByName, parts).groupBy("set_key").agg(F.sum("private").alias("private"))
     sized = sets.join(alone, "set_key", "left").select(
         "set_key", "shingles", F.size("shingles").alias("n"), F.coalesce("private", F.lit(0)).alias("private"))
     kept = scratch.save(sized.where(_alike(percent, F.col("n") - F.col("private"), F.col("n"), F.col("n") - F.col("private"))), "kept")
+    scratch.drop(sets, *parts)
     facts = kept.select("set_key", "n", "private")
     met = scratch.save(shared.distinct().join(facts, "set_key"), "members")
     hubs = met.groupBy("signature").agg(F.min(F.struct("private", "set_key")).alias("hub"))
@@ -327,7 +333,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     groups = (named.where("linked").join(names, "component").select("set_key", "component_id", "component")
               .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"), "component")))
     groups = scratch.save(groups, "groups")
-    scratch.drop(*slices, wanted, sets, kept, met, stars, found, placed, late)
+    scratch.drop(*slices, wanted, kept, met, stars, found, placed, late)
     key = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return (digests.withColumn("set_key", key).join(groups, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key",
