@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -194,18 +194,47 @@ def test_leaks(spark, documents):
         assert {(first, item) for _, first, _, item, _ in decontaminate.retrieve(index, words, 0.3)} == want
 
 
-def test_short_items_are_found_word_for_word(spark):
+def test_items_of_all_lengths_by_one_rule(spark):
+    """Every item against every run of twice its words, with a share of 0.8 of question and answer in their order."""
+    import re as regex
+
     items = spark.createDataFrame([
         (1, "Capital of Peru? Lima."), (2, "Red or blue? Red."), (3, "?"), (4, None), (5, "capital of PERU lima"), (6, "Lima"),
-        (7, "Which of the many rivers runs past the old mill? The slow one.")], "item_id long, text string")
+        (7, "Which of the many rivers runs past the old mill? The slow one."), (8, "Who wrote the long red book? Anna")], "item_id long, text string")
     docs = spark.createDataFrame([
         (1, "Quiz: capital of Peru - lima, capital of peru? Lima!"), (2, "the capital of all Peru? Lima."), (3, "red or blue? green, red"),
         (4, "so red or blue red"), (5, "capital of Peru"), (6, "Lima"), (7, None), (8, ""),
-        (9, "which of the many rivers runs past the old mill? the slow one"), (10, "red or blue")], "doc_id long, text string")
-    found = {(r.doc_id, r.item_id): (r.score, r.first_word) for r in decontaminate.find_leaks(docs, items).collect()}
-    assert found.pop((9, 7))[1] == 0
-    assert found == {(1, 1): (1, 1), (1, 5): (1, 1), (1, 6): (1, 4), (2, 6): (1, 5), (4, 2): (1, 1), (6, 6): (1, 0)}
-    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()) == [3, 5, 7, 8, 10]
+        (9, "which of the many rivers runs past the old mill? the slow one"), (10, "red or blue"), (11, "who wrote the long blue book? anna"),
+        (12, "which of the many brooks runs past the old mill? the slow one"), (13, "capital " + "x " * 20 + "of peru lima"),
+        (14, "x y z " * 30 + "who wrote a long red book? Anna " + "x y z " * 30)], "doc_id long, text string")
+
+    def words(t):
+        return regex.findall(r"[0-9a-z]+", (t or "").lower())
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], max(last + 1 if x == y else 0, row[j], row[j - 1])
+        return row[-1] / len(a) if a else 1.0
+
+    def together(item, run):
+        return sum((Counter(item) & Counter(run)).values()) / len(item)
+
+    want = set()
+    for d in docs.collect():
+        for i in items.collect():
+            q, a = (words(x) for x in decontaminate.split_item(i.text or ""))
+            n, w = len(q) + len(a), words(d.text)
+            if n and any(min(common(q, w[j : j + 2 * n]), common(a, w[j : j + 2 * n]), together(q + a, w[j : j + 2 * n])) >= 0.8 for j in range(0, max(len(w), 1))):
+                want.add((d.doc_id, i.item_id))
+    found = {(r.doc_id, r.item_id): r.first_word for r in decontaminate.find_leaks(docs, items).collect()}
+    # what the plain search finds, but for runs that the score leaves out
+    assert set(found) <= want and {(1, 1), (1, 5), (1, 6), (2, 1), (2, 5), (4, 2), (6, 6), (9, 7), (11, 8), (12, 7), (14, 8)} <= set(found)
+    assert not {(5, 1), (10, 2), (13, 1), (13, 5)} & set(found)
+    gone = {d for d, _ in found}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, items).collect()} == {r.doc_id for r in docs.collect()} - gone
 
 
 def test_quality_gradient_and_odd_texts(spark, documents):

@@ -73,34 +73,6 @@ class ItemIndex:
         return np.where(self.hashes[at] == hashes, self.order[at], -1)
 
 
-class ShortItems:
-    """Items of few words, found where all their words stand one after another."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]]):
-        self.items, numbers = items, {}
-        for number, (_, question, answer) in enumerate(items):
-            numbers.setdefault(len(question) + len(answer), []).append(number)
-        self.by_length = {}
-        for size, mine in sorted(numbers.items()):
-            words = Words.of_hashes([np.concatenate(items[i][1:]) for i in mine])
-            hashes = words.windows(size)[0][words.first[:-1]]
-            order = np.argsort(hashes, kind="stable")
-            self.by_length[size] = hashes[order], np.array(mine)[order]
-
-    def find(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(row, item, first word) of the first place of each item in each text."""
-        for size, (hashes, numbers) in self.by_length.items():
-            value, whole = words.windows(size)
-            low, high = np.searchsorted(hashes, value, side="left"), np.searchsorted(hashes, value, side="right")
-            at = np.flatnonzero(whole & (low < high))
-            _, once = np.unique(words.row[at] * (len(hashes) + 1) + low[at], return_index=True)
-            for place in at[np.sort(once)].tolist():
-                for number in numbers[low[place] : high[place]].tolist():
-                    if np.array_equal(words.hash[place : place + size], np.concatenate(self.items[number][1:])):
-                        row = int(words.row[place])
-                        yield row, number, place - int(words.first[row])
-
-
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(owner, place) for every place of the ranges first..last."""
     size = last - first
@@ -180,6 +152,13 @@ def ordered_overlap(part: np.ndarray, passage: np.ndarray) -> float:
     return (len(part) - row.bit_count()) / len(part)
 
 
+def shared_words(item: np.ndarray, passage: np.ndarray) -> float:
+    """Share of the words of ``item`` that the passage has, each as often as the item."""
+    words, times = np.unique(item, return_counts=True)
+    there = (passage[None, :] == words[:, None]).sum(axis=1)
+    return float(np.minimum(times, there).sum() / len(item))
+
+
 def split_item(text: str) -> tuple[str, str]:
     """Question and answer: cut after the last ``?`` with words behind it, else at the last line
     break, else before the last sentence; a single sentence is cut at two thirds of its words."""
@@ -215,24 +194,17 @@ def _collected(rows: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                   key=lambda x: (x[0] is None, x[0] or 0))
 
 
-def build_short(items: DataFrame, min_words: int = 8) -> list[ShortItems]:
-    """The items of fewer than ``min_words`` words, dealt by hash to passes of about ``PASS_POSTINGS`` words at most."""
-    rows = _split_items(items).where((F.col("n") > 0) & (F.col("n") < min_words))
-    passes = -(-(rows.agg(F.sum("n")).first()[0] or 0) // PASS_POSTINGS)
-    dealt = F.pmod(F.xxhash64("item_id", "question", "answer"), F.lit(max(passes, 1)))
-    return [ShortItems(found) for number in range(passes) if (found := _collected(rows.where(dealt == number)))]
-
-
-def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
-    """Indexes over all items of ``min_words`` words or more, each for one pass over the texts.
+def build_indexes(items: DataFrame) -> list[ItemIndex]:
+    """Indexes over all items with words, each for one pass over the texts.
 
     Document frequencies and the mean length are over all those items. Items
     are dealt to passes by length and then by hash, so an index has about
     ``PASS_POSTINGS`` postings at most, whatever the number of items.
     """
 
-    rows = (_split_items(items).where(F.col("n") >= min_words)
-            .withColumn("band", F.ceil(F.greatest(F.log2(F.col("n") / 64) / 2, F.lit(0.0))).cast("int")))
+    # Bands only bound how much longer a passage is than its items: up to 7 words, 64, 256 and so on.
+    rows = (_split_items(items).where(F.col("n") > 0)
+            .withColumn("band", F.when(F.col("n") < 8, -1).otherwise(F.ceil(F.greatest(F.log2(F.col("n") / 64) / 2, F.lit(0.0)))).cast("int")))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("words")).collect()
     n_items, total = sum(s["items"] for s in sizes), sum(s["words"] for s in sizes)
     terms = rows.select(F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -249,40 +221,42 @@ def build_indexes(items: DataFrame, min_words: int = 8) -> list[ItemIndex]:
     return out
 
 
-def _verified(index: ItemIndex | ShortItems, begin: int, threshold: float, overlap: float, words: Words) -> Iterator[tuple]:
-    if isinstance(index, ShortItems):
-        for row, number, first in index.find(words):
-            yield begin + row, number, 1.0, first, 1.0, 1.0
-        return
+def _verified(index: ItemIndex, begin: int, threshold: float, overlap: float, words: Words) -> Iterator[tuple]:
     for row, first, end, number, score in retrieve(index, words, threshold):
         _, question, answer = index.items[number]
-        passage = words.hash[words.first[row] + first : words.first[row] + end]
-        q, a = ordered_overlap(question, passage), ordered_overlap(answer, passage)
-        if q >= overlap and a >= overlap:
-            yield begin + row, number, score, first, q, a
-
-
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, min_words: int = 8) -> DataFrame:
+        passage, own = words.hash[words.first[row] + first : words.first[row] + end], len(question) + len(answer)
+        if min(ordered_overlap(question, passage), ordered_overlap(answer, passage)) < overlap:
+            continue
+        # The same in a passage of the item's own measure: twice its words, beginning once in its length.
+        best = max((min(q, a, shared_words(np.concatenate([question, answer]), passage[i : i + 2 * own])), -i, q, a)
+                   for i in range(0, max(len(passage) - own, 1), own)
+                   for q, a in [tuple(ordered_overlap(x, passage[i : i + 2 * own]) for x in (question, answer))])
+        if best[0] >= overlap:
+            yield begin + row, number, score, first - best[1], best[2], best[3]
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """(doc_id, item_id, score, first_word, question_overlap, answer_overlap): items that stand in a text.
 
     Words are runs of digits, ASCII letters and characters outside ASCII, A-Z
     lower-cased. The score is BM25 of the item for the passage, divided by the
-    item's score for itself. Items at ``threshold`` or above are verified: of
-    the question's words and of the answer's, a share of ``overlap`` must stand
-    in the passage in their order. One row for each document and item, with the
-    best passage, the first of equal ones. Items of fewer than ``min_words``
-    words are too short to tell by score: they are found where their question
-    and answer stand word for word one after another, at the first such place,
-    with score and overlaps 1. Items without words find nothing; null and empty
-    texts have no row; repeated rows count once; other columns are ignored.
+    item's score for itself. Items at ``threshold`` or above are verified, by
+    one rule for all lengths: of the question's words and of the answer's, a
+    share of ``overlap`` must stand in their order in a run of twice the item's
+    words, and so many of both together, so that no word serves twice; a part
+    of fewer than five words must be there whole. One row for
+    each document and item, with the best passage, the first of equal ones;
+    first_word is where its run begins. Items without words find nothing; null
+    and empty texts have no row; repeated rows count once; other columns are
+    ignored.
     """
     columns = "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
     names = [c.split()[0] for c in columns.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = rows.select("doc_id").where("false").select("doc_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(", ")[1:]])
-    for index in [*build_indexes(items, min_words), *build_short(items, min_words)]:
+    for index in build_indexes(items):
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex | ShortItems = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for begin, _, data, bounds in chunks(batch.column("text")):
@@ -298,12 +272,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overla
         "doc_id", "item_id", "best.score", (-F.col("best.at")).alias("first_word"), "best.question_overlap", "best.answer_overlap")
 
 
-def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8, min_words: int = 8) -> DataFrame:
+def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item, judged as ``find_leaks`` does; nothing is shuffled."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    for index in [*build_indexes(items, min_words), *build_short(items, min_words)]:
+    for index in build_indexes(items):
 
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex | ShortItems = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
                 for begin, _, data, bounds in chunks(batch.column("text")):
