@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ PIECE_END = byte_class((10, 13), (33, 33), (44, 44), (46, 46), (58, 59), (63, 63
 WORD = ~(PIECE_END | byte_class((9, 9), (32, 32)))
 LONGEST = 4
 SHARDS = 6
+#: Words and pairs are sorted in so many slices of their keys, whose shuffle files are freed in between.
+SLICES = 2
 #: Bits of a filter that tasks carry, at most (64 MB), whatever the number of its keys.
 FILTER_BITS = 1 << 29
 _SEGMENT = 1 << 20
@@ -94,9 +97,9 @@ def _in_shard(key: np.ndarray, shard: int) -> np.ndarray:
     return mix(key + np.uint64(0xD1342543DE82EF95 * (shard + 1) % (1 << 64)))
 
 
-def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_bytes: int) -> DataFrame:
-    """(key, shard, n) of what a window holds: words and pairs, or, given the shards' frequent
-    ``pairs``, the longer phrases all of whose pairs are frequent in their shard."""
+def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_bytes: int, slices: int = 1, number: int = 0) -> DataFrame:
+    """(key, shard, n) of what a window holds: words and pairs of a slice of the keys, or, given the
+    shards' frequent ``pairs``, the longer phrases all of whose pairs are frequent in their shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,12 +110,15 @@ def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_b
                 found = phrase_keys(words, salts[begin:end])
                 if pairs is None:
                     found = [(home[first], key) for first, key in found[:2]]
+                    if slices > 1:
+                        mine = [(key >> np.uint64(50)) % np.uint64(slices) == number for _, key in found]
+                        found = [(h[m], key[m]) for (h, key), m in zip(found, mine)]
                 else:
                     first, key = found[1]
                     good = np.zeros(len(words) + LONGEST, dtype=bool)
-                    for number in range(shards):
-                        mine = home[first] == number
-                        good[first[mine]] = pairs.has(_in_shard(key[mine], number))
+                    for s in range(shards):
+                        mine = home[first] == s
+                        good[first[mine]] = pairs.has(_in_shard(key[mine], s))
                     chosen = []
                     for size in range(3, LONGEST + 1):
                         first, key = found[size - 1]
@@ -120,11 +126,11 @@ def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_b
                         chosen.append((home[first[keep]], key[keep]))
                     found = chosen
                 home, key = (np.concatenate(x) for x in zip(*found))
-                for number in range(shards):
-                    value, times = np.unique(key[home == number], return_counts=True)
+                for s in range(shards):
+                    value, times = np.unique(key[home == s], return_counts=True)
                     if len(value):
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(signed(value)), pa.array(np.full(len(value), number, dtype=np.int32)), pa.array(times.astype(np.int32))],
+                            [pa.array(signed(value)), pa.array(np.full(len(value), s, dtype=np.int32)), pa.array(times.astype(np.int32))],
                             ["key", "shard", "n"])
 
     return rows.select("lang", "shard", "text").mapInArrow(count, "key long, shard int, n int")
@@ -188,7 +194,8 @@ def frequent_phrases(docs: DataFrame, support: int, shards: int = SHARDS, filter
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     local = -(-support // shards)  # below it in every shard, a phrase is below the support in all
-    short = scratch.save(frequent_in_shards(shard_counts(rows, shards, None, window_bytes), local), "short")
+    parts = [scratch.save(frequent_in_shards(shard_counts(rows, shards, None, window_bytes, SLICES, i), local), "short") for i in range(SLICES)]
+    short = reduce(DataFrame.unionByName, parts)
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +214,7 @@ def frequent_phrases(docs: DataFrame, support: int, shards: int = SHARDS, filter
     found = (counts.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
              .where((F.col("size") == 0) | (F.col("n") >= support)))
     out = scratch.save(found, "found")
-    scratch.drop(short, long, wanted)
+    scratch.drop(*parts, long, wanted)
     return out
 
 
