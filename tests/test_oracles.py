@@ -16,5 +16,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(RUNS))
 def test_query(spark, con, name):
+    assert name in TEXTS or name == "approximate_topk"
     problem = compare(spark, con, RUNS[name], TEXTS.get(name), SF)
     assert problem in (None, "no rows"), problem
