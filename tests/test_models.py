@@ -224,3 +224,43 @@ def test_vector_index_is_exact_where_certain(spark):
     # a block without vectors
     few = search.cosine_topk_batch(vectors.limit(1), queries.select("query_id", "embedding"), 3)
     assert few.count() == len(asked)
+
+
+def test_a_long_lookup_computes_its_stream_once(spark, monkeypatch):
+    """Without a broadcast, adaptive execution splits hot keys; the stream is not read again to count them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(600).selectExpr("CAST(id % 7 AS STRING) AS caller_id", "CAST(id % 11 AS STRING) AS callee_id").mapInArrow(count, "caller_id string, callee_id string")
+    ends = [spark.range(20).selectExpr(f"CAST(id AS STRING) AS {e}_id", f"id AS {e}_at") for e in ("caller", "callee")]
+    monkeypatch.setattr(scale, "MAX_BROADCAST_BYTES", -1)
+    for how in ("left", "left_semi"):
+        before = seen.value
+        assert scale.edges_with_ends(edges, *ends, how).count() == 600
+        assert seen.value - before == 600, how
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        assert scale.edges_with_ends(edges, *ends, "inner", rows_per_task=10).count() == 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+
+
+def test_edges_of_one_pass_are_those_of_the_view(spark):
+    from weftgraph.sources import views
+
+    tables = {
+        "nation": spark.createDataFrame([(0, "A"), (1, None)], "n_nationkey int, n_name string"),
+        "customer": spark.createDataFrame([(1, 0, "BUILDING"), (2, 1, "X"), (3, None, "X"), (1, 0, "BUILDING"), (None, 0, "X")], "c_custkey int, c_nationkey int, c_mktsegment string"),
+        "supplier": spark.createDataFrame([(5, 0), (6, 0), (6, 0), (7, None)], "s_suppkey int, s_nationkey int"),
+        "orders": spark.createDataFrame([(10, 1), (11, 2), (12, None), (10, 1), (13, 3)], "o_orderkey int, o_custkey int"),
+        "lineitem": spark.createDataFrame([(10, 5, 1, "R"), (10, 5, 2, "A"), (10, 6, 1, None), (11, 6, 1, "R"), (12, 5, None, "R"), (13, 7, 2, "R"), (None, 5, 2, "A")],
+                                          "l_orderkey int, l_suppkey int, l_partkey int, l_returnflag string"),
+        "part": spark.createDataFrame([(1, "B#1", "T", 3), (2, "B#1", "T", 1), (2, "B#1", "T", 1), (4, None, "T", 2)], "p_partkey int, p_brand string, p_type string, p_size int"),
+    }
+    one, two = (sorted(map(str, spark.sql(text, **tables).collect())) for text in (views.EDGES, views.EDGES_ONCE))
+    assert one == two and len({r.split("edge_type=")[1] for r in one}) == 4
+    assert views.EDGES_ONCE.count("{orders}") == 1
