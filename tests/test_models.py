@@ -264,3 +264,20 @@ def test_edges_of_one_pass_are_those_of_the_view(spark):
     one, two = (sorted(map(str, spark.sql(text, **tables).collect())) for text in (views.EDGES, views.EDGES_ONCE))
     assert one == two and len({r.split("edge_type=")[1] for r in one}) == 4
     assert views.EDGES_ONCE.count("{orders}") == 1
+
+
+def test_searches_alike_are_searched_once(spark, monkeypatch):
+    from weftgraph.operators import search
+
+    nodes = spark.createDataFrame([(f"n{i}", f"r{i % 2}", "load", "", "", "read_all of it" if i % 3 else "reads") for i in range(9)],
+                                  "id string, repo string, symbol_name string, signature string, docstring string, code_content string")
+    asked, whole = [], search.lexical_matches
+    monkeypatch.setattr(search, "lexical_matches", lambda index, queries: asked.append(queries.count()) or whole(index, queries))
+    rows = [(i, "load" if i % 2 else "read_all", None if i % 3 else "r1") for i in range(5)] + [(50, None, None), (51, "absent", "r0"), (None, "load", "r1")]
+    queries = spark.createDataFrame(rows, "query_id int, query string, repo string")
+    best = {("load", None): [0, 1, 2], ("load", "r1"): [1, 3, 5], ("read_all", None): [1, 2, 4], ("read_all", "r1"): [1, 5, 7]}
+    got = sorted((r.query_id, r.id, r.matched_terms, r.rank) for r in search.lexical_search(nodes, queries, 3).collect())
+    assert got == sorted((q, f"n{n}", 1, k) for q, *what in rows[:5] for k, n in enumerate(best[tuple(what)], 1))
+    free = {(r.query_id, r.id) for r in search.lexical_search(nodes, queries.drop("repo"), 3).collect()}
+    assert free == {(q, f"n{n}") for q, text, _ in rows if (text, None) in best for n in best[text, None]}
+    assert asked == [6, 4]
