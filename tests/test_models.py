@@ -281,3 +281,55 @@ def test_searches_alike_are_searched_once(spark, monkeypatch):
     free = {(r.query_id, r.id) for r in search.lexical_search(nodes, queries.drop("repo"), 3).collect()}
     assert free == {(q, f"n{n}") for q, text, _ in rows if (text, None) in best for n in best[text, None]}
     assert asked == [6, 4]
+
+
+def test_a_walk_carries_numbers_and_gives_ids(spark, monkeypatch):
+    """Hops hold a number for each id; ends that are no node, null ends and repeated ids come out as they were."""
+    rng = random.Random(5)
+    names = [f"n{i}" for i in range(12)]
+    nodes = spark.createDataFrame([(n, f"s{i % 5}") for i, n in enumerate(names)] + [("n1", "s1"), (None, "s2"), ("n3", None)], "id string, symbol_name string")
+    pairs = [(rng.choice([*names, "x", "y", None]), rng.choice([*names, "x", "z", None])) for _ in range(40)]
+    edges = spark.createDataFrame(pairs, "caller_id string, callee_id string")
+    roots = spark.createDataFrame([("s1",), ("s2",), ("n7",), ("absent",)], "root string")
+    kept, write = [], traverse.materialise
+    monkeypatch.setattr(traverse, "materialise", lambda df, label="stage", by=None: kept.append((label, df.schema)) or write(df, label, by))
+
+    def model():
+        starts = {"s1": {"n1", "n6", "n11"}, "s2": {"n2", "n7"}, "n7": {"n7"}}
+        for root, ids in starts.items():
+            for start in ids:
+                for direction in traverse.DIRECTIONS:
+                    level, seen = {start}, set()
+                    for depth in range(3):
+                        for node in level:
+                            yield root, start, direction, depth, node
+                        seen |= level - {None}
+                        step = [(b, a) if direction == "upstream" else (a, b) for a, b in pairs]
+                        level = {b for a, b in step if a is not None and a in level} - seen
+
+    for limit in (traverse.MAX_FRONTIER, 0):
+        walk = traverse.blast_radius(nodes, edges, roots, 2, max_frontier=limit)
+        assert sorted(map(repr, (tuple(r) for r in walk.collect()))) == sorted(map(repr, model()))
+    hops = [schema for label, schema in kept if label == "hop"]
+    assert hops and all(s[c].dataType.simpleString() == "bigint" for s in hops for c in ("root_id", "node_id"))
+
+
+def test_reached_files_and_repositories_are_counted_in_one_lookup(spark, monkeypatch):
+    from weftgraph.operators import evaluate
+
+    nodes = spark.createDataFrame([("a", "r", "f"), ("b", "r", "f"), ("c", "r:f", "g"), ("d", "r", "f:g"), ("e", None, "r:f"), ("e", None, "r:f"), ("h", "q", None)],
+                                  "id string, repo string, file_path string")
+    rows = [("x", "x", "upstream", 0, "a"), ("x", "x", "downstream", 0, "a"), ("x", "x", "upstream", 1, "b"), ("x", "x", "downstream", 2, "b"),
+            ("x", "x", "upstream", 1, "c"), ("x", "x", "downstream", 1, "d"), ("x", "x", "upstream", 2, "e"), ("y", "y", "upstream", 0, "h"), ("y", "y", "upstream", 1, "lost"),
+            (None, "z", "upstream", 1, "a")]
+    walk = spark.createDataFrame(rows, "root string, root_id string, direction string, depth int, node_id string")
+    summary = traverse.traversal_summary(walk, nodes)
+    assert {tuple(r) for r in summary.collect()} == {("x", 3, 2, 2, 2), ("y", 0, 0, 0, 1), (None, 1, 0, 1, 1)}
+    assert "Expand" not in summary._jdf.queryExecution().executedPlan().toString()
+    lookups, join = [], traverse.lookup_join
+    monkeypatch.setattr(traverse, "lookup_join", lambda *a, **k: lookups.append(1) or join(*a, **k))
+    if hasattr(evaluate, "lookup_join"):
+        monkeypatch.setattr(evaluate, "lookup_join", traverse.lookup_join)
+    scores = evaluate.trace_scores(walk, nodes, spark.createDataFrame([("x",), ("y",), ("gone",)], "root string"), 2)
+    assert {tuple(r) for r in scores.collect()} == {("x", 3, 2, 3, True), ("y", 1, 1, 0, False), ("gone", 0, 0, 0, False)}
+    assert len(lookups) == 1
