@@ -333,3 +333,21 @@ def test_reached_files_and_repositories_are_counted_in_one_lookup(spark, monkeyp
     scores = evaluate.trace_scores(walk, nodes, spark.createDataFrame([("x",), ("y",), ("gone",)], "root string"), 2)
     assert {tuple(r) for r in scores.collect()} == {("x", 3, 2, 3, True), ("y", 1, 1, 0, False), ("gone", 0, 0, 0, False)}
     assert len(lookups) == 1
+
+
+def test_degrees_are_summed_by_number(spark, monkeypatch):
+    from weftgraph.operators import graph
+
+    nodes = spark.createDataFrame([("a", "r"), ("b", "r"), ("c", "q"), ("c", "q"), ("d", None), (None, "q"), ("e", "q")], "id string, repo string").select(
+        "id", "repo", F.col("id").alias("symbol_name"), F.lit("f").alias("file_path"), F.lit("class").alias("symbol_type"))
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "a"), ("lost", "b"), ("d", "b"), (None, "a"), ("e", None), ("a", "b")], "caller_id string, callee_id string")
+    ranking = graph.degree_ranking(nodes, edges)
+    got = sorted((str(r.id), r.inbound, r.outbound, r.total_relations, r.is_cross_repo) for r in ranking.collect())
+    # the edges of a repeated id count for each of its rows
+    assert got == [("None", 0, 0, 0, False), ("a", 3, 4, 7, True), ("b", 4, 0, 4, False), ("c", 2, 2, 4, True), ("c", 2, 2, 4, True), ("d", 0, 1, 1, False), ("e", 0, 1, 1, False)]
+    plan = ranking._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"Aggregate \[number#", plan) and not re.search(r"Aggregate \[id#", plan)
+    monkeypatch.setattr(scale, "MAX_BROADCAST_BYTES", -1)
+    long = graph.degree_ranking(nodes, edges)
+    assert sorted((str(r.id), r.inbound, r.outbound, r.total_relations, r.is_cross_repo) for r in long.collect()) == got
+    assert "ShuffledHashJoin" in long._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weftgraph.operators.scale import edges_with_ends, first_rows, lookup_join, top_rows
+from weftgraph.operators.scale import edges_with_ends, first_rows, lookup_join, numbered, top_rows
 
 NODE_ORDER = ("repo", "file_path", "start_line", "id")
 
@@ -127,31 +127,28 @@ def edge_list(edges: DataFrame) -> DataFrame:
                         edge_kind(F.col("edge_type")).alias("kind"), "edge_type")
 
 
-def _with_end_repos(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    repo = nodes.select("id", "repo")
-    return edges_with_ends(
-        edges,
-        repo.select(F.col("id").alias("caller_id"), F.col("repo").alias("caller_repo")),
-        repo.select(F.col("id").alias("callee_id"), F.col("repo").alias("callee_repo")), "left")
-
-
 def degree_ranking(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Inbound, outbound and total edges per node and a cross-repo flag.
 
-    Edges are first summed per (caller, callee) pair end, so a hub adds up in
-    map-side partial aggregates.
+    The ends of an edge are known by the numbers of their nodes once they are
+    met, and are summed by those; a hub adds up in map-side partial aggregates.
     """
-    pairs = _with_end_repos(nodes, edges.select("caller_id", "callee_id"))
+    ids = numbered(nodes)
+    repo = nodes.select("id", "repo").join(ids, "id")
+    pairs = edges_with_ends(edges.select("caller_id", "callee_id"), *(repo.select(
+        F.col("id").alias(f"{end}_id"), F.col("repo").alias(f"{end}_repo"), F.col("number").alias(f"{end}_number"))
+        for end in ("caller", "callee")), "left")
     crosses = F.coalesce(F.col("caller_repo") != F.col("callee_repo"), F.lit(False))
     ends = pairs.select(
         F.explode(F.array(
-            F.struct(F.col("callee_id").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o"), crosses.alias("x")),
-            F.struct(F.col("caller_id").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o"), crosses.alias("x")),
-        )).alias("e")).select("e.*")
-    degree = ends.groupBy("id").agg(F.sum("i").alias("inbound"), F.sum("o").alias("outbound"), F.bool_or("x").alias("is_cross_repo"))
+            F.struct(F.col("callee_number").alias("number"), F.lit(1).alias("i"), F.lit(0).alias("o"), crosses.alias("x")),
+            F.struct(F.col("caller_number").alias("number"), F.lit(0).alias("i"), F.lit(1).alias("o"), crosses.alias("x")),
+        )).alias("e")).select("e.*").where(F.col("number").isNotNull())
+    degree = ends.groupBy("number").agg(F.sum("i").alias("inbound"), F.sum("o").alias("outbound"), F.bool_or("x").alias("is_cross_repo"))
     zero = F.lit(0).cast("long")
     return nodes.select("id", F.col("symbol_name").alias("label"), "repo", "file_path",
-                        node_kind(F.col("symbol_type")).alias("kind")).join(degree, "id", "left").select(
+                        node_kind(F.col("symbol_type")).alias("kind")).join(
+        ids.join(degree, "number").drop("number"), "id", "left").select(
         "id", "label", "repo", "file_path", "kind",
         F.coalesce("inbound", zero).alias("inbound"),
         F.coalesce("outbound", zero).alias("outbound"),
