@@ -351,3 +351,18 @@ def test_degrees_are_summed_by_number(spark, monkeypatch):
     long = graph.degree_ranking(nodes, edges)
     assert sorted((str(r.id), r.inbound, r.outbound, r.total_relations, r.is_cross_repo) for r in long.collect()) == got
     assert "ShuffledHashJoin" in long._jdf.queryExecution().executedPlan().toString()
+
+
+def test_usage_links_read_the_edges_once(spark, tmp_path):
+    from weftgraph.operators import graph
+
+    nodes = spark.createDataFrame([("a", "r"), ("b", "r"), ("c", "q"), (None, "q")], "id string, repo string").select(
+        "id", "repo", F.concat(F.lit("s_"), "id").alias("symbol_name"), F.lit("f").alias("file_path"), F.lit(1).alias("start_line"))
+    spark.createDataFrame([("a", "b", "calls"), ("b", "a", "calls"), ("a", "a", "imports"), ("lost", "a", "calls"), (None, "b", "calls"), ("c", "b", "calls")],
+                          "caller_id string, callee_id string, edge_type string").write.parquet(f"{tmp_path}/edges")
+    links = graph.usage_links(nodes, spark.read.parquet(f"{tmp_path}/edges"), spark.createDataFrame([("a",), ("s_b",)], "target string"))
+    got = sorted((r.target, r.direction, r.node_id, r.edge_type, r.repo) for r in links.collect())
+    assert got == [("a", "downstream", "a", "imports", "r"), ("a", "downstream", "b", "calls", "r"), ("a", "upstream", "a", "imports", "r"), ("a", "upstream", "b", "calls", "r"),
+                   ("s_b", "downstream", "a", "calls", "r"), ("s_b", "upstream", "a", "calls", "r"), ("s_b", "upstream", "c", "calls", "q")]
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("caller_id#") and \
+        len(re.findall(r"Relation \[caller_id#", links._jdf.queryExecution().optimizedPlan().toString())) == 1

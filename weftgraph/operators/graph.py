@@ -42,15 +42,16 @@ def resolve_targets(nodes: DataFrame, targets: DataFrame) -> DataFrame:
 def usage_links(nodes: DataFrame, edges: DataFrame, targets: DataFrame, distinct: bool = False) -> DataFrame:
     """Callers and callees of each target, long form with a direction."""
     hit = resolve_targets(nodes, targets)
-    up = lookup_join(edges, hit.select("target", F.col("id").alias("callee_id")), ["callee_id"], "inner", ["caller_id"]).select(
-        "target", F.lit("upstream").alias("direction"), F.col("caller_id").alias("node_id"), "edge_type")
-    down = lookup_join(edges, hit.select("target", F.col("id").alias("caller_id")), ["caller_id"], "inner", ["callee_id"]).select(
-        "target", F.lit("downstream").alias("direction"), F.col("callee_id").alias("node_id"), "edge_type")
-    links = up.unionByName(down)
+    # both ends of an edge in one pass, so that the edges are computed once
+    ends = edges.select("edge_type", F.explode(F.array(
+        F.struct(F.col("callee_id").alias("id"), F.lit("upstream").alias("direction"), F.col("caller_id").alias("node_id")),
+        F.struct(F.col("caller_id").alias("id"), F.lit("downstream").alias("direction"), F.col("callee_id").alias("node_id")),
+    )).alias("e")).select("edge_type", "e.*")
+    links = lookup_join(ends, hit.select("target", "id"), ["id"], "inner", ["node_id"]).select("target", "direction", "node_id", "edge_type")
     if distinct:
         links = links.select("target", "direction", "node_id").distinct()
     place = nodes.select(F.col("id").alias("node_id"), "repo", "file_path", "symbol_name")
-    return lookup_join(links, place, ["node_id"], "inner", ["target"])
+    return lookup_join(links, place, ["node_id"], "inner", ["target"], by_id=True)
 
 
 def usage_counts(links: DataFrame) -> DataFrame:
