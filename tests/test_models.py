@@ -366,3 +366,10 @@ def test_usage_links_read_the_edges_once(spark, tmp_path):
                    ("s_b", "downstream", "a", "calls", "r"), ("s_b", "upstream", "a", "calls", "r"), ("s_b", "upstream", "c", "calls", "q")]
     assert links._jdf.queryExecution().optimizedPlan().toString().count("caller_id#") and \
         len(re.findall(r"Relation \[caller_id#", links._jdf.queryExecution().optimizedPlan().toString())) == 1
+
+
+def test_linked_nodes_are_computed_once(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["link_repositories"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
