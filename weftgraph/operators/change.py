@@ -127,7 +127,7 @@ def change_patches(nodes: DataFrame, edges: DataFrame, directives: DataFrame, ma
     upstream = walk.where("depth > 0").select("root_id", "depth", F.col("node_id").alias("id"))
     place = nodes.select("id", "repo", "file_path", "start_line")
     # the walk can be long and many directives can share a root: place first, then join the short plan
-    callers = lookup_join(upstream.join(place, "id"), plan, ["root_id"], "inner", ["id"]).where(F.col("repo") != F.col("producer_repo"))
+    callers = lookup_join(lookup_join(upstream, place, ["id"], "inner", ["root_id"], by_id=True), plan, ["root_id"], "inner", ["id"]).where(F.col("repo") != F.col("producer_repo"))
     first = first_rows(
         callers.select("directive_id", "repo", "file_path", "depth", "start_line", "id"),
         ["directive_id", "repo", "file_path"], ["depth", "start_line", "id"])
