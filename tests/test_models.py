@@ -368,8 +368,20 @@ def test_usage_links_read_the_edges_once(spark, tmp_path):
         len(re.findall(r"Relation \[caller_id#", links._jdf.queryExecution().optimizedPlan().toString())) == 1
 
 
-def test_linked_nodes_are_computed_once(spark):
+def test_linked_nodes_are_computed_once(spark, tmp_path):
     import __spark_entry__
 
-    plan = __spark_entry__.queries()["link_repositories"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert "l_orderkey" not in plan
+    tables = {
+        "region": ([(0, "EAST")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "NORTH", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": ([(1, 0, "BUILDING")], "c_custkey int, c_nationkey int, c_mktsegment string"),
+        "supplier": ([(5, 0, 2000.0)], "s_suppkey int, s_nationkey int, s_acctbal double"),
+        "orders": ([(10, 1)], "o_orderkey int, o_custkey int"),
+        "lineitem": ([(10, 1, 3, 5, "A", "O"), (10, 2, 3, 5, "R", "O")],
+                     "l_orderkey int, l_linenumber int, l_partkey int, l_suppkey int, l_returnflag string, l_linestatus string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    edges = __spark_entry__.queries()["link_repositories"](spark, str(tmp_path))
+    assert sorted(r.edge_type for r in edges.collect()) == ["calls", "consumes_api", "consumes_api", "imports"]
+    assert "l_orderkey" not in edges._jdf.queryExecution().optimizedPlan().toString()
