@@ -1,4 +1,7 @@
-"""A corpus made ready for training: five stages, each written before the next reads it."""
+"""A corpus made ready for training: five stages, each written before the next reads it.
+
+A stage applies the session settings itself, as ``STAGES`` may be run one by one.
+"""
 
 from __future__ import annotations
 
@@ -24,6 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Null and empty texts are judged as empty ones; repeated rows are judged alike.
     """
+    tune(spark)
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
@@ -34,6 +38,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     text are one document. A null doc_id stays where its group has no other; of
     a group's documents with the smallest doc_id that of the smallest set stays.
     """
+    tune(spark)
     groups = jaccard_groups(docs, words=5, percent=80)
     own, kind, text, row = (free_name(docs, x) for x in ("_own", "_kind", "_text", "_row"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(own)
@@ -54,16 +59,19 @@ def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document that had words and keeps none goes; null, empty and short texts
     stay, and repeated long rows go but for one.
     """
+    tune(spark)
     return cut_passages(docs, repeated_passages(docs, min_words=50))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; null and empty texts hold none, and repeated rows go or stay together."""
+    tune(spark)
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids and n_tokens of each document; ids are little-endian unsigned 32-bit numbers, none for null and empty texts."""
+    tune(spark)
     ids = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return ids.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
@@ -82,7 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written to the shared folder and read again."""
-    scratch = Scratch(tune(spark), "pipeline")
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
