@@ -39,7 +39,7 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     a group's documents with the smallest doc_id that of the smallest set stays.
     """
     tune(spark)
-    groups = jaccard_groups(docs, words=5, percent=80)
+    groups = jaccard_groups(docs, words=5, percent=80, slices=3)  # more signatures than at a higher percent
     own, kind, text, row = (free_name(docs, x) for x in ("_own", "_kind", "_text", "_row"))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(own)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), doc, "set_key")).alias("first")

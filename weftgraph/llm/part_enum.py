@@ -25,7 +25,7 @@ from weftgraph.llm.text_hash import NOT_SPACE, Words, chunks, mix, signed
 REMEMBERED = 200_000
 #: Signatures are sorted in so many slices, one after the other, whose shuffle files are freed in between.
 SLICES = 2
-#: The same for the shingles of the sets that share a signature.
+#: The same for the texts and shingles of the sets that share a signature.
 SHINGLE_SLICES = 4
 #: One in so many texts is sampled for signatures of very many sets; from so many sampled sets on, one is spread.
 SAMPLED, HOT_ROWS, HOT_SIGNATURES = 64, 64, 100_000
@@ -247,7 +247,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> Da
     return jaccard_groups(docs, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85, slices: int = SLICES) -> DataFrame:
     """Columns doc_id, n_shingles, component_id, set_key, group_key for every row of ``docs``.
 
     Rows are linked when 100 * intersection >= percent * union of their sets of
@@ -258,7 +258,8 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     linked; repeated doc_ids are told apart by their sets; a null doc_id counts
     only if a component has no other. Other columns are ignored. set_key is that
     of ``with_set_keys``; group_key tells components of one id apart. Both are
-    null for an empty set.
+    null for an empty set. ``slices`` changes no result: signatures are sorted
+    in so many parts, and more of them take less disk and more time.
 
     No group emits all its pairs. One set per key signs. Of the sets that share
     a signature with a different set, those with too many shingles that no
@@ -272,17 +273,19 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     digests = scratch.save(set_digests(docs, words), "digests")
     hot = hot_signatures(docs, words, percent)
-    slices = [scratch.save(shared_signatures(signature_rows(docs, words, percent, SLICES, i, hot)), "shared") for i in range(SLICES)]
-    shared = reduce(DataFrame.unionByName, slices)
+    met_rows = [scratch.save(shared_signatures(signature_rows(docs, words, percent, slices, i, hot)), "shared") for i in range(slices)]
+    shared = reduce(DataFrame.unionByName, met_rows)
     nodes = digests.where("n_shingles > 0").groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"),
         F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "text_hash")).alias("one"))
     wanted = shared.select("set_key").distinct().join(nodes, "set_key").select("set_key", "one._id", "one.text_hash")
     wanted = scratch.save(wanted, "wanted")
-    # By id and text: many rows may have one id, or none.
-    some = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text", F.xxhash64("text").alias("text_hash")).join(
-        wanted.hint("merge"), ["_id", "text_hash"])
-    sets = scratch.save(_shingle_sets(some, words), "sets")
+    # By id and text: many rows may have one id, or none. A slice of the texts is shuffled at a time.
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), "text", F.xxhash64("text").alias("text_hash"))
+    of_slice = [F.pmod("text_hash", F.lit(SHINGLE_SLICES)) == i for i in range(SHINGLE_SLICES)]
+    set_parts = [scratch.save(_shingle_sets(texts.where(mine).join(wanted.where(mine).hint("merge"), ["_id", "text_hash"]), words), "sets")
+                 for mine in of_slice]
+    sets = reduce(DataFrame.unionByName, set_parts)
     # Shingles of one set only, counted a slice of the shingles at a time.
     parts = [scratch.save(
         sets.select("set_key", F.explode("shingles").alias("shingle")).where(F.pmod(F.shiftright("shingle", 7), F.lit(SHINGLE_SLICES)) == i)
@@ -291,8 +294,11 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     alone = reduce(DataFrame.unionByName, parts).groupBy("set_key").agg(F.sum("private").alias("private"))
     sized = sets.join(alone, "set_key", "left").select(
         "set_key", "shingles", F.size("shingles").alias("n"), F.coalesce("private", F.lit(0)).alias("private"))
-    kept = scratch.save(sized.where(_alike(percent, F.col("n") - F.col("private"), F.col("n"), F.col("n") - F.col("private"))), "kept")
-    scratch.drop(sets, *parts)
+    # Few sets are kept, but all are shuffled for it, a slice of the sets at a time.
+    similar = sized.where(_alike(percent, F.col("n") - F.col("private"), F.col("n"), F.col("n") - F.col("private")))
+    kept_parts = [scratch.save(similar.where(F.pmod("set_key", F.lit(SHINGLE_SLICES)) == i), "kept") for i in range(SHINGLE_SLICES)]
+    kept = reduce(DataFrame.unionByName, kept_parts)
+    scratch.drop(*set_parts, *parts)
     facts = kept.select("set_key", "n", "private")
     met = scratch.save(shared.distinct().join(facts, "set_key"), "members")
     hubs = met.groupBy("signature").agg(F.min(F.struct("private", "set_key")).alias("hub"))
@@ -333,7 +339,7 @@ def jaccard_groups(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFr
     groups = (named.where("linked").join(names, "component").select("set_key", "component_id", "component")
               .unionByName(named.where("not linked and copies > 1").select("set_key", F.col("rep").alias("component_id"), "component")))
     groups = scratch.save(groups, "groups")
-    scratch.drop(*slices, wanted, kept, met, stars, found, placed, late)
+    scratch.drop(*met_rows, wanted, *kept_parts, met, stars, found, placed, late)
     key = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return (digests.withColumn("set_key", key).join(groups, "set_key", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "set_key",
