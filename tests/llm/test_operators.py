@@ -194,6 +194,27 @@ def test_leaks(spark, documents):
         assert {(first, item) for _, first, _, item, _ in decontaminate.retrieve(index, words, 0.3)} == want
 
 
+def test_few_items_are_scored_in_full(monkeypatch):
+    import random
+
+    draw, df = random.Random(6), Counter()
+    vocabulary = [f"w{int(n * n / 900)}" for n in range(900)]  # some words are much more frequent
+    items = [(i, *(decontaminate._hashes(" ".join(draw.choices(vocabulary, k=n))) for n in (30, 10))) for i in range(200)]
+    for _, question, answer in items:
+        df.update(set(np.concatenate([question, answer]).tolist()))
+    index, seen, expand = decontaminate.ItemIndex(items, df, len(items), 40), [], decontaminate._expand
+    texts = [" ".join(draw.choices(vocabulary, k=300)) for _ in range(60)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    words = text_hash.Words(raw, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), text_hash.LETTERS)
+    own = {h: n for n, h in enumerate(index.hashes.tolist())}
+    foreign = np.concatenate([index.hashes + np.uint64(1), index.hashes - np.uint64(1), np.array([0, (1 << 64) - 1], dtype=np.uint64)])
+    assert index.numbers(words.hash).tolist() == [index.order[own[h]] if h in own else -1 for h in words.hash.tolist()]
+    assert index.numbers(foreign).tolist() == [index.order[own[h]] if h in own else -1 for h in foreign.tolist()]
+    monkeypatch.setattr(decontaminate, "_expand", lambda *x: seen.append(expand(*x)) or seen[-1])
+    decontaminate.retrieve(index, words, 0.6)
+    assert sum(len(place) for _, place in seen) < 45 * len(words), sum(len(place) for _, place in seen) / len(words)
+
+
 def test_items_of_all_lengths_by_one_rule(spark):
     """Every item against every run of twice its words, with a share of 0.8 of question and answer in their order."""
     import re as regex

@@ -3,9 +3,10 @@
 The items are the indexed side. Every passage of every training text is a
 query, and all items whose score reaches a share of the item's own score are
 retrieved, whatever their number. Postings are in blocks of items with the
-block's largest impact: terms of a passage that together can't reach the
-threshold are not looked up (WAND's pivot), blocks whose bound stays below it
-are not scored (block-max), and the rest is scored in full.
+block's largest impact: terms of a passage that together can't reach a share of
+the threshold are not looked up at first (WAND's pivot), blocks whose bound
+stays below the threshold are left out (block-max), then items of the other
+blocks whose own bound stays below it, and the rest is scored in full.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from weftgraph.llm.text_hash import LETTERS, Words, chunks
 
 K1, B = 1.2, 0.75
 BLOCK = 8
+#: Share of the threshold that the terms before the pivot stay below: the smaller, the more terms are looked up
+#: and the fewer items are scored in full.
+PIVOT_SHARE = 0.6
 #: Postings of the items that one pass over the texts carries to every task.
 PASS_POSTINGS = 2_000_000
 #: Bytes of text that a task searches at a time; the search takes up to about 190 times as many.
@@ -50,6 +54,9 @@ class ItemIndex:
         hashes = np.array(rising, dtype=np.uint64)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
+        # Hashes by their first bits: a word is compared with the one or two of its place.
+        self.shift = np.uint64(64 - max(8, len(hashes).bit_length()))
+        self.place_first = np.searchsorted(self.hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
         self.blocks = -(-len(items) // BLOCK)
         cells: list[tuple[int, int, float]] = []
         places, self.post_item, self.post_impact = [0], [], []
@@ -68,11 +75,22 @@ class ItemIndex:
         self.cell_first = np.array(places)
         self.term_first = np.searchsorted(self.cell_key, np.arange(len(rising) + 1) * self.blocks)
         self.post_item, self.post_impact = np.array(self.post_item), np.array(self.post_impact)
+        # Items of a term rise, so postings are sorted by these keys.
+        self.post_key = np.repeat(np.arange(len(rising)), np.diff(self.cell_first[self.term_first])) * len(items) + self.post_item
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, -1 for words of no item."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        place = (hashes >> self.shift).astype(np.int64)
+        at, end = self.place_first[place], self.place_first[place + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left], end[left]
+        while len(left):
+            same = self.hashes[at] == hashes[left]
+            out[left[same]] = self.order[at[same]]
+            more = ~same & (at + 1 < end)
+            left, at, end = left[more], at[more] + 1, end[more]
+        return out
 
 
 def _expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,6 +107,15 @@ def _summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return key[starts], np.add.reduceat(value[order], starts) if len(starts) else value[:0]
 
 
+def _totals(key: np.ndarray, value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_summed`` for values above 0 and keys below ``size``, without a sort if there is not much room for few values."""
+    if size > 4 * len(key) + 1024:
+        return _summed(key, value)
+    total = np.bincount(key, weights=value, minlength=size)
+    found = np.flatnonzero(total)
+    return found, total[found]
+
+
 def retrieve(index: ItemIndex, words: Words, threshold: float) -> list[tuple[int, int, int, int, float]]:
     """(row, first word, end word, item, score) of all passages and items at or above the threshold.
 
@@ -117,26 +144,34 @@ def retrieve(index: ItemIndex, words: Words, threshold: float) -> list[tuple[int
     at = np.repeat(np.arange(len(starts)), size)
     rising = np.cumsum(index.largest[number])
     rising -= np.repeat(rising[starts] - index.largest[number[starts]], size)
-    needed = rising >= threshold - slack
+    needed = rising >= PIVOT_SHARE * threshold
     spare = np.bincount(at, weights=np.where(needed, 0, index.largest[number]), minlength=len(starts))
     owner, cell = _expand(index.term_first[number[needed]], index.term_first[number[needed] + 1])
-    found, bounds = _summed(at[needed][owner] * index.blocks + index.cell_block[cell], index.cell_max[cell])
-    found = found[bounds + spare[found // index.blocks] >= threshold - slack]
-    if not len(found):
+    slot, items = at[needed][owner], len(index.items)
+    in_block = slot * index.blocks + index.cell_block[cell]
+    found, bounds = _totals(in_block, index.cell_max[cell], len(starts) * index.blocks)
+    kept = np.zeros(len(starts) * index.blocks, dtype=bool)
+    kept[found[bounds + spare[found // index.blocks] >= threshold - slack]] = True
+    there = kept[in_block]
+    slot, cell = slot[there], cell[there]
+    if not len(slot):
         return []
-    owner, place = _expand(starts[found // index.blocks], (starts + size)[found // index.blocks])
-    wanted = number[place] * index.blocks + (found % index.blocks)[owner]
-    cell = np.minimum(np.searchsorted(index.cell_key, wanted), len(index.cell_key) - 1)
-    there = index.cell_key[cell] == wanted
-    owner, cell = owner[there], cell[there]
     inner, post = _expand(index.cell_first[cell], index.cell_first[cell + 1])
-    pair, score = _summed(owner[inner] * (len(index.items) + 1) + index.post_item[post], index.post_impact[post])
+    pair, bounds = _totals(slot[inner] * items + index.post_item[post], index.post_impact[post], len(starts) * items)
+    pair = pair[bounds + spare[pair // items] >= threshold - slack]
+    if not len(pair):
+        return []
+    owner, place = _expand(starts[pair // items], (starts + size)[pair // items])
+    wanted = number[place] * items + (pair % items)[owner]
+    post = np.minimum(np.searchsorted(index.post_key, wanted), len(index.post_key) - 1)
+    there = index.post_key[post] == wanted
+    pair, score = _summed(pair[owner[there]], index.post_impact[post[there]])
     out = []
     for p, s in zip(pair[score >= threshold - slack].tolist(), score[score >= threshold - slack].tolist()):
-        passage_id = int(names[found[p // (len(index.items) + 1)] // index.blocks])
+        passage_id = int(names[p // items])
         r = int(np.searchsorted(base, passage_id, side="right")) - 1
         first = (passage_id - int(base[r])) * step
-        out.append((r, first, min(first + 2 * step, int(words.counts[r])), p % (len(index.items) + 1), s))
+        out.append((r, first, min(first + 2 * step, int(words.counts[r])), p % items, s))
     return out
 
 
