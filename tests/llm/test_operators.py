@@ -370,6 +370,24 @@ def test_words_encoded_as_the_library_does(monkeypatch):
         assert use.encode_words([]) == [] and [use.encode_words([t])[0] for t in texts] == want
 
 
+def test_words_that_come_again_are_not_learned_anew(monkeypatch):
+    import random
+
+    draw, path, seen, parted = random.Random(8), public_tokenizers.path("word_bpe_49k.json"), [], []
+    words = ["".join(draw.choices("abcdeñéßü", k=9)) for _ in range(300)]
+    monkeypatch.setattr(tokens, "KEPT_BYTES", 30_000)
+    use = tokens.Encoder(path, tokens.cut_lower_words, "<u4", separator=" ", special=True)
+    learn, many = use._pieces, use._parted
+    monkeypatch.setattr(use, "_pieces", lambda pieces: seen.append(len(pieces)) or learn(pieces))
+    monkeypatch.setattr(use, "_parted", lambda pieces: parted.append(len(pieces)) or many(pieces))
+    encode = tokenizers.Tokenizer.from_file(path).encode
+    for number, call in enumerate([use.encode_words, use.encode] * 3):
+        # Each call fills the store; the words of the last one are still known.
+        texts = [" ".join(words), f"new{'x' * number} {words[number]}, été."]
+        assert call(texts) == [np.array(encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert sum(seen) < 330 and sum(parted) < 30, (seen, parted)
+
+
 def test_token_store(spark, documents, monkeypatch):
     from tokenizers import Tokenizer
 

@@ -2,15 +2,15 @@
 
 A text is cut where the tokenizer's own pattern always cuts, so the ids of the
 text are the ids of its pieces in order. A task keeps the ids of the pieces it
-has met; the library sees each of them once. Texts with anything for which the
-cut is not certain go to the library whole.
+has met; the library sees each of them once as long as it comes again soon
+enough. Texts with anything for which the cut is not certain go to the library
+whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import string
 import sys
 import types
 import unicodedata
@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that a worker process gives to the pieces it keeps; past it the store starts anew, which costs time only.
+#: Bytes that a worker process gives to the pieces it keeps. Past it the store starts anew; the last one stays until
+#: the next is full, and pieces met meanwhile go from it into the new one.
 KEPT_BYTES = 64 << 20
 #: About what one kept piece takes besides its own characters, and the characters of the longest one kept.
 _ENTRY, _LONG = 240, 100
@@ -32,6 +33,9 @@ _ODD_SPACE = re.compile(r"[^\S \n]")
 _ODD_LETTER = re.compile("[\x00\x1c-\x1fΣİ]")
 # The same, for a search by sign.
 _ODD_SIGNS = ("<|", *"\x00\x1c\x1d\x1e\x1f", "Σ", "İ")
+# Letters without an upper case, a longer form or marks of their own.
+_PLAIN_LETTERS = "".join(map(chr, [*range(97, 123), *range(223, 247), *range(248, 256)]))
+_PLAIN_WORD = re.compile(f"[{_PLAIN_LETTERS}]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_LETTER = np.zeros(256, dtype=bool)
@@ -95,26 +99,39 @@ class Encoder:
         if name not in holder.__dict__:
             tokenizer = Tokenizer.from_file(path)
             tokenizer.encode_special_tokens = not special
-            # Whether the steps before the model leave a word of lower-case letters as it is.
-            letters, before, split = string.ascii_lowercase, tokenizer.normalizer, tokenizer.pre_tokenizer
-            plain = (before is None or before.normalize_str(letters) == letters) and (
-                split is not None and [x for x, _ in split.pre_tokenize_str(letters)] == [letters])
-            holder.__dict__[name] = tokenizer, plain
-        self.tokenizer, self.plain = holder.__dict__[name]
-        self.kept: dict[str, bytes] = holder.__dict__.setdefault(f"{name}|{dtype}", {})
+            # How the steps before the model spell letters, if they leave a word of them whole.
+            before, split, spelling = tokenizer.normalizer, tokenizer.pre_tokenizer, None
+            if split is not None:
+                def spelled(word: str) -> list[str]:
+                    return [x for x, _ in split.pre_tokenize_str(before.normalize_str(word) if before else word)]
+
+                each = [spelled(c) for c in _PLAIN_LETTERS]
+                if spelled(_PLAIN_LETTERS) == ["".join(x for one in each for x in one)] and each[:26] == [[c] for c in _PLAIN_LETTERS[:26]]:
+                    spelling = {ord(c): "".join(one) for c, one in zip(_PLAIN_LETTERS, each)}
+            holder.__dict__[name] = tokenizer, spelling
+        self.tokenizer, self.spelling = holder.__dict__[name]
+        self.stores: list[dict[str, bytes]] = holder.__dict__.setdefault(f"{name}|{dtype}", [{}, {}])
         self.used: list[int] = holder.__dict__.setdefault(f"{name}|{dtype}|used", [0])
 
+    @property
+    def kept(self) -> dict[str, bytes]:
+        return self.stores[0]
+
     def _keep(self, pieces: list[str], ids: list[bytes]) -> None:
         self.kept.update(zip(pieces, ids))
         self.used[0] += sum(map(len, pieces)) + sum(map(len, ids)) + _ENTRY * len(pieces)
 
-    def _make_room(self) -> bool:
-        """Whether the store is full; then it is emptied."""
-        full = self.used[0] > KEPT_BYTES
-        if full:
-            self.kept.clear()
+    def _make_room(self) -> None:
+        """Start a new store if the one in use is full; the one before goes."""
+        if self.used[0] > KEPT_BYTES:
+            self.stores[:] = [{}, self.stores[0]]
             self.used[0] = 0
-        return full
+
+    def _found_again(self, pieces) -> None:
+        """Keep on the pieces that only the last store has."""
+        last = self.stores[1]
+        again = [p for p in pieces if p in last] if last else []
+        self._keep(again, [last[p] for p in again])
 
     def _call(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -124,16 +141,21 @@ class Encoder:
         """Ids of single pieces; many of them in one call if something without ids can part them."""
         if self.separator is None:
             return self._call(pieces)
-        if not self.plain:
+        if self.spelling is None:
             return self._parted(pieces)
-        # lower-case ASCII letters are one word each, and reach the model as they are
-        call, found = self.tokenizer.model.tokenize, {}
-        for p in pieces:
-            if p.isascii() and p.isalpha():
-                found[p] = np.array([x.id for x in call(p)], dtype=self.dtype).tobytes()
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._parted(rest)))
-        return [found[p] for p in pieces]
+        # Words of plain letters are one word each, and reach the model as spelled.
+        call, spelling, width = self.tokenizer.model.tokenize, self.spelling, np.dtype(self.dtype).itemsize
+        plain = [_PLAIN_WORD.fullmatch(p) is not None for p in pieces]
+        ids: list[int] = []
+        ends = [0]
+        for p, own in zip(pieces, plain):
+            if own:
+                ids += [x.id for x in call(p if p.isascii() else p.translate(spelling))]
+                ends.append(len(ids))
+        flat, places = np.array(ids, dtype=self.dtype).tobytes(), [width * e for e in ends]
+        found = (flat[a:b] for a, b in zip(places, places[1:]))
+        rest = iter(self._parted([p for p, own in zip(pieces, plain) if not own]))
+        return [next(found) if own else next(rest) for own in plain]
 
     def _parted(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces that may be several words, told apart by their places in the joined text."""
@@ -156,6 +178,8 @@ class Encoder:
             if p is not None:
                 fresh.update(p)
         fresh.difference_update(self.kept)
+        self._found_again(fresh)
+        fresh.difference_update(self.kept)
         long = [p for p in fresh if len(p) > _LONG]
         fresh.difference_update(long)
         new = list(fresh)
@@ -172,10 +196,14 @@ class Encoder:
         sure = [not any(x in t for x in _ODD_SIGNS) and (t.isascii() or unicodedata.is_normalized("NFC", t)) for t in texts]
         lists = lower_words([t for t, s in zip(texts, sure) if s])
         coded = lists.values.dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self._make_room()
-        once = self._learn([w for w in words if w not in self.kept])
-        found = [once[w] if w in once else self.kept[w] for w in words] if once else list(map(self.kept.__getitem__, words))
+        found = list(map(self.kept.get, words))
+        open_places = [i for i, x in enumerate(found) if x is None]
+        self._found_again(words[i] for i in open_places)
+        new = self._learn([w for w in (words[i] for i in open_places) if w not in self.kept])
+        for i in open_places:
+            found[i] = new[words[i]] if words[i] in new else self.kept[words[i]]
         flat, width = np.frombuffer(b"".join(found), dtype=self.dtype), np.dtype(self.dtype).itemsize
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // width
         starts, counts = np.cumsum(sizes) - sizes, sizes[codes]
@@ -187,19 +215,21 @@ class Encoder:
         return [next(parts) if s else next(whole) for s in sure]
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Keep the ids of words, but for long ones, which are returned; a word that is cut further has those of its pieces."""
+        """Ids of words that are not kept, all of which are kept but those of long ones; a word that is cut further has those of its pieces."""
         one, many = [], {}
         for w in words:
-            if w.isascii() and w.isalpha():
+            if _PLAIN_WORD.fullmatch(w):
                 one.append(w)
             else:
                 many[w] = self.cut(w)
+        pieces = {p for found in many.values() for p in found}
+        self._found_again(pieces.difference(self.kept))
         known = self.kept
-        new = list({*one, *(p for found in many.values() for p in found if p not in known)})
+        new = list({*one, *(p for p in pieces if p not in known)})
         coded = dict(zip(new, self._pieces(new)))
         for w, found in many.items():
-            if w not in known and w not in coded:
+            if w not in coded and w not in known:
                 coded[w] = b"".join(coded[p] if p in coded else known[p] for p in found)
         short = [w for w in coded if len(w) <= _LONG]
         self._keep(short, [coded[w] for w in short])
-        return {w: x for w, x in coded.items() if len(w) > _LONG}
+        return coded
