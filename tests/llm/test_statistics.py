@@ -125,6 +125,18 @@ def test_collocations(spark, sizes):
         assert sorted(tuple(r) for r in got.collect()) == plain_collocations(docs.collect(), support, top)
 
 
+def test_windows_of_a_task_are_counted_together(spark, monkeypatch):
+    rows = spark.createDataFrame([("en", 1, "a b c d e f, " * 200), ("en", 2, "a b, " * 90), ("fr", 1, "a")], "lang string, shard int, text string").coalesce(1)
+    assert phrases.shard_counts(rows, 3, None, 300).count() == 11 + 3 + 1  # a row for each word or pair of a shard, not of a window
+    for held in (1 << 22, 50):
+        monkeypatch.setattr(phrases, "HELD_KEYS", held)
+        counts = phrases.shard_counts(rows, 3, None, 300)
+        for support, want in ((1, [(1, 1)] + [(1, 200)] * 11 + [(2, 90)] * 3), (91, [(1, 200)] * 11), (201, [])):
+            found = phrases.frequent_in_shards(counts, support, 3).collect()
+            assert sorted((r.shard, r.n) for r in found) == want
+            assert len({(r.key, r.shard) for r in found}) == len(found)
+
+
 def test_collocations_of_nothing(spark):
     assert phrases.collocations(corpus(spark).where("false")).collect() == []
     assert phrases.collocations(corpus(spark), support=10**6).collect() == []

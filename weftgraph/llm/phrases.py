@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from weftgraph.llm.scratch import Scratch
-from weftgraph.llm.spans import WINDOW_BYTES, cut_strings, lower_ascii, ranges, windows
+from weftgraph.llm.spans import cut_strings, lower_ascii, ranges, windows
 from weftgraph.llm.text_hash import Words, byte_class, mix, signed
 from weftgraph.operators.scale import lookup_join
 
@@ -32,6 +32,10 @@ SHARDS = 6
 SLICES = 2
 #: Bits of a filter that tasks carry, at most (64 MB), whatever the number of its keys.
 FILTER_BITS = 1 << 29
+#: Bytes of text that a task works on at a time; the powers that hash so many are kept from one window to the next.
+WINDOW_BYTES = 2 << 20
+#: Keys that a task gathers from its windows before it counts the equal ones (16 MB).
+HELD_KEYS = 1 << 21
 _SEGMENT = 1 << 20
 
 
@@ -98,10 +102,19 @@ def _in_shard(key: np.ndarray, shard: int) -> np.ndarray:
 
 
 def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_bytes: int, slices: int = 1, number: int = 0) -> DataFrame:
-    """(key, shard, n) of what a window holds: words and pairs of a slice of the keys, or, given the
-    shards' frequent ``pairs``, the longer phrases all of whose pairs are frequent in their shard."""
+    """(key, tally) of what some windows of a task hold, tally being n * shards + shard: words and pairs of a slice of the
+    keys, or, given the shards' frequent ``pairs``, the longer phrases all of whose pairs are frequent in their shard."""
+
+    def counted(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for s in range(shards):
+            value, times = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *held[s]]), return_counts=True)
+            held[s].clear()
+            if len(value):
+                yield pa.RecordBatch.from_arrays([pa.array(signed(value)), pa.array(times.astype(np.int64) * shards + s)], ["key", "tally"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[] for _ in range(shards)]
+        n = 0
         for batch in batches:
             salts, shard = _salts(batch.column("lang")), batch.column("shard").to_numpy()
             for begin, end, data, bounds, _ in windows(batch.column("text"), PIECE_END, window_bytes):
@@ -126,35 +139,43 @@ def shard_counts(rows: DataFrame, shards: int, pairs: KeyFilter | None, window_b
                         chosen.append((home[first[keep]], key[keep]))
                     found = chosen
                 home, key = (np.concatenate(x) for x in zip(*found))
+                if n and n + len(key) > HELD_KEYS:
+                    yield from counted(held)
+                    n = 0
+                n += len(key)
                 for s in range(shards):
-                    value, times = np.unique(key[home == s], return_counts=True)
-                    if len(value):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(signed(value)), pa.array(np.full(len(value), s, dtype=np.int32)), pa.array(times.astype(np.int32))],
-                            ["key", "shard", "n"])
+                    held[s].append(key[home == s])
+        yield from counted(held)
 
-    return rows.select("lang", "shard", "text").mapInArrow(count, "key long, shard int, n int")
+    return rows.select("lang", "shard", "text").mapInArrow(count, "key long, tally long")
 
 
-def frequent_in_shards(counts: DataFrame, support: int) -> DataFrame:
-    """(key, shard, n) of the keys with ``support`` or more in their shard: one sort, then sums of neighbours."""
+def frequent_in_shards(counts: DataFrame, support: int, shards: int) -> DataFrame:
+    """(key, shard, n) of the keys with ``support`` or more in their shard: one sort by the key alone, then sums of neighbours."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64) for _ in range(3)]
+        def frequent(key: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+            one, shard = np.nonzero(total >= support)
+            return pa.RecordBatch.from_arrays([pa.array(key[one]), pa.array(shard.astype(np.int32)), pa.array(total[one, shard])], ["key", "shard", "n"])
+
+        last, sums = np.zeros(0, dtype=np.int64), np.zeros((0, shards), dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, shard, n = (np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held))
-            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])))
-            total = np.add.reduceat(n, starts)
-            held = [x[-1:] for x in (key, shard, total)]
-            keep = np.flatnonzero(total[:-1] >= support)
-            yield pa.RecordBatch.from_arrays([pa.array(key[starts[keep]]), pa.array(shard[starts[keep]].astype(np.int32)), pa.array(total[keep])], names)
-        keep = held[2] >= support
-        yield pa.RecordBatch.from_arrays([pa.array(held[0][keep]), pa.array(held[1][keep].astype(np.int32)), pa.array(held[2][keep])], names)
-
-    names = ["key", "shard", "n"]
-    return counts.repartition("key").sortWithinPartitions("key", "shard").mapInArrow(add, "key long, shard int, n long")
+            key, tally = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            fresh = np.append(True, key[1:] != key[:-1])
+            place = (np.cumsum(fresh) - 1) * shards + tally % shards
+            own = key[fresh]
+            total = np.bincount(place, weights=tally // shards, minlength=len(own) * shards).astype(np.int64).reshape(-1, shards)
+            if len(last) and own[0] == last[0]:
+                total[0] += sums[0]
+            else:
+                yield frequent(last, sums)
+            last, sums = own[-1:], total[-1:]
+            yield frequent(own[:-1], total[:-1])
+        yield frequent(last, sums)
+
+    return counts.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key long, shard int, n long")
 
 
 def counted_phrases(rows: DataFrame, wanted: KeyFilter, window_bytes: int) -> DataFrame:
@@ -194,7 +215,7 @@ def frequent_phrases(docs: DataFrame, support: int, shards: int = SHARDS, filter
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text",
                        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
     local = -(-support // shards)  # below it in every shard, a phrase is below the support in all
-    parts = [scratch.save(frequent_in_shards(shard_counts(rows, shards, None, window_bytes, SLICES, i), local), "short") for i in range(SLICES)]
+    parts = [scratch.save(frequent_in_shards(shard_counts(rows, shards, None, window_bytes, SLICES, i), local, shards), "short") for i in range(SLICES)]
     short = reduce(DataFrame.unionByName, parts)
 
     def salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +227,7 @@ def frequent_phrases(docs: DataFrame, support: int, shards: int = SHARDS, filter
             yield pa.RecordBatch.from_arrays([pa.array(signed(out))], ["key"])
 
     pairs = KeyFilter(short.select("key", "shard").mapInArrow(salted, "key long"), filter_bits)
-    long = scratch.save(frequent_in_shards(shard_counts(rows, shards, pairs, window_bytes), local), "long")
+    long = scratch.save(frequent_in_shards(shard_counts(rows, shards, pairs, window_bytes), local, shards), "long")
     # A shard that does not report a phrase has less than the local support of it.
     most = F.sum("n") + (shards - F.count(F.lit(1))) * (local - 1)
     wanted = scratch.save(short.unionByName(long).groupBy("key").agg(most.alias("most")).where(F.col("most") >= support).select("key"), "wanted")
