@@ -385,3 +385,35 @@ def test_linked_nodes_are_computed_once(spark, tmp_path):
     edges = __spark_entry__.queries()["link_repositories"](spark, str(tmp_path))
     assert sorted(r.edge_type for r in edges.collect()) == ["calls", "consumes_api", "consumes_api", "imports"]
     assert "l_orderkey" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_searched_like_the_index(spark, monkeypatch):
+    """Row by row, in passes, and over all rows of an id that comes again, the best are those of the index."""
+    from weftgraph.operators import row_search, search
+
+    rng = random.Random(11)
+    words = ["a", "ab", "abc", "abd", "b", "ba", "bab", "ñu", "ñandu", "x1"]
+
+    def text(most):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(0, most))) + rng.choice(["", "!", "-Ab"])
+
+    rows = [(rng.choice([None, f"n{i}", f"n{i}", f"n{i}", "twice"]), rng.choice(words), text(2), rng.choice([None, text(3)]), text(9)) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "id string, symbol_name string, signature string, docstring string, code_content string")
+    asked = [(i, " ".join(rng.choice(["ab", "AB_ba", "ab-a", "b_a_b", "ñ", "x", "ba", "abd_abc"]) for _ in range(rng.randint(1, 3)))) for i in range(40)]
+    queries = spark.createDataFrame([*asked, (40, "ab"), (40, "ba_a"), (41, None), (None, "ñu")], "query_id int, query string")
+
+    def best(nodes, **more):
+        return sorted((r.query_id is None, r.query_id or 0, r.rank, r.id or "", r.matched_terms) for r in search.lexical_search(nodes, queries, 4, **more).collect())
+
+    want = best(nodes, index=search.token_index(nodes))
+    assert len(want) > 100 and any(x[4] > 1 for x in want)
+    assert best(nodes) == want
+    monkeypatch.setattr(row_search, "PARTS_PER_PASS", 20)
+    monkeypatch.setattr(row_search, "KNOWN_WORDS", 2)
+    once = nodes.where("id IS NOT NULL AND id <> 'twice'").repartition(3)
+    # only the queries that ask for several texts are looked up in an index
+    whole, indexed = search.token_index, []
+    monkeypatch.setattr(search, "token_index", lambda n: indexed.append(n) or whole(n))
+    found = best(once)
+    assert len(indexed) == 1
+    assert found == best(once, index=whole(once))
