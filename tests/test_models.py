@@ -417,3 +417,68 @@ def test_rows_are_searched_like_the_index(spark, monkeypatch):
     found = best(once)
     assert len(indexed) == 1
     assert found == best(once, index=whole(once))
+
+
+def _random_graph(spark, rng):
+    nodes = [(f"r{i % 3}:f{i % 4}:s{i}:1" if i else None, rng.choice(["r0", "r1", "r2", None]), f"f{i % 4}", rng.choice(["a`b", "", "ñ", "z"]), "endpoint", 1, 2, None, "/x", "GET", None, "")
+             for i in range(30)] + [("r1:f1:s1:1", "r9", "f", "z", "class", 3, 4, None, None, None, "/y", "")]
+    ids = [n[0] for n in nodes] + ["lost", None]
+    edges = [(rng.choice(ids[:4]) if rng.random() < 0.4 else rng.choice(ids), rng.choice(ids), rng.choice(["calls", "consumes_api"]), 1.0) for _ in range(300)]
+    return (spark.createDataFrame(nodes, "id string, repo string, file_path string, symbol_name string, symbol_type string, start_line int, end_line int, signature string, "
+                                         "endpoint_route string, http_method string, consumes_endpoint string, consumes_http_method string"),
+            spark.createDataFrame(edges, "caller_id string, callee_id string, edge_type string, confidence double"))
+
+
+def test_edges_are_joined_slice_by_slice(spark, monkeypatch):
+    """Reports, cross-repository edges and walks of a large graph are those of a small one; a slice is joined at a time."""
+    from weftgraph.operators import evaluate, report
+
+    nodes, edges = _random_graph(spark, random.Random(8))
+    roots = spark.createDataFrame([("z",), ("ñ",), ("r1:f1:s1:1",)], "root string")
+
+    def answers():
+        walk = traverse.blast_radius(nodes, edges, roots)
+        tables = [report.contract_matrix(nodes, edges), report.blueprint_lines(nodes, edges), evaluate.cross_repo_edges(nodes, edges), walk, evaluate.trace_scores(walk, nodes, roots)]
+        return [sorted(map(str, t.collect())) for t in tables]
+
+    small = answers()
+    sizes, whole = [], scale._with_ends
+    monkeypatch.setattr(scale, "MAX_BROADCAST_ENDS", 3)
+    monkeypatch.setattr(scale, "_with_ends", lambda e, *more: sizes.append(e.count()) or whole(e, *more))
+    assert answers() == small
+    assert len(sizes) == 4 * scale.SLICES and sum(sizes) == 4 * 300 and max(sizes) < 100
+
+
+def test_a_blueprint_is_written_range_by_range(spark, tmp_path):
+    """Part files, taken by name, hold the lines in order, whatever the ranges are; also a caller of many lines is cut."""
+    from weftgraph.sources import tables
+
+    rng = random.Random(9)
+    rows = [(rng.choice([0, 2, 2, 4, 4, 4, 6]), rng.choice([None, "", "ab", "ab", "a", "ñ"]), rng.choice([None, "", "x", "y", "z"]), rng.choice(["", "k"]), f"line {i}") for i in range(400)]
+    lines = spark.createDataFrame(rows, "section int, k1 string, k2 string, k3 string, line string")
+    want = [r.line for r in lines.orderBy("section", "k1", "k2", "k3", "line").collect()]
+    for name, most in (("one", 1000), ("many", 60)):
+        tables.write_blueprint(lines, str(tmp_path / name), lines_per_slice=most)
+        parts = sorted(p for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+        assert [x for p in parts for x in p.read_text().splitlines()] == want
+        assert len({p.name[:9] for p in parts}) == (1 if name == "one" else 7)
+    tables.write_blueprint(lines.where("false"), str(tmp_path / "none"))
+    tables.write_blueprint(lines, str(tmp_path / "packed"), "gzip")
+    assert spark.read.text(str(tmp_path / "packed")).count() == 400 and spark.read.text(str(tmp_path / "none")).count() == 0
+
+
+def test_callers_are_linked_slice_by_slice(spark, monkeypatch):
+    """Edges of all kinds are the same in slices, each written by itself; null and repeated callers too."""
+    rng = random.Random(10)
+    rows = [(rng.choice([None, f"c{i}", f"c{i}", "again"]), f"web_{i % 3}", f"use{i}", "function", rng.choice([["svc_core/lib"], ["from svc_auth import check_all"], []]),
+             f"check_all(); AuthClient.load_all(x{i})", None, None, rng.choice(["/v1/x", "/v1/y", None]), "GET", None, i) for i in range(60)]
+    rows += [(f"t{i}", f"svc_{('core', 'auth')[i % 2]}", ("check_all", "load_all", "none_all")[i % 3], ("class", "endpoint")[i % 5 == 0], [], "", "/v1/x" if i % 5 == 0 else None, "GET", None, None, None, 100 + i) for i in range(12)]
+    nodes = spark.createDataFrame(rows, "id string, repo string, symbol_name string, symbol_type string, file_imports array<string>, code_content string, endpoint_route string, "
+                                        "http_method string, consumes_endpoint string, consumes_http_method string, target_base_url string, ordinal int")
+    whole = sorted(map(str, link.link_repositories(nodes).collect()))
+    assert {r.split("edge_type='")[1].split("'")[0] for r in whole} == {"consumes_api", "imports", "calls"}
+    written, write = [], scale.materialise
+    monkeypatch.setattr(scale, "SLICE_ROWS", 10)
+    monkeypatch.setattr(scale, "materialise", lambda df, label="stage", by=None: written.append(label) or write(df, label, by))
+    assert sorted(map(str, link.link_repositories(nodes).collect())) == whole
+    assert {written.count(x) for x in ("consumes-api", "imports", "calls")} >= {4}
