@@ -482,3 +482,37 @@ def test_callers_are_linked_slice_by_slice(spark, monkeypatch):
     monkeypatch.setattr(scale, "materialise", lambda df, label="stage", by=None: written.append(label) or write(df, label, by))
     assert sorted(map(str, link.link_repositories(nodes).collect())) == whole
     assert {written.count(x) for x in ("consumes-api", "imports", "calls")} >= {4}
+
+
+def _suppliers(spark, folder, n):
+    spark.createDataFrame([(i, f"Supplier {i}", i % 3, float(i * 1000 % 9999)) for i in range(n)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{folder}/supplier.parquet")
+    spark.createDataFrame([(i, f"NATION {i}", 0) for i in range(3)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{folder}/nation.parquet")
+
+
+def test_a_tree_of_files_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from weftgraph.plans.catalog import storing
+
+    _suppliers(spark, tmp_path, 40)
+    monkeypatch.setattr(storing, "scratch_path", lambda spark, label: str(tmp_path / label))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    assert sorted(int(r.supplier) for r in storing.read_files(spark, str(tmp_path)).collect()) == list(range(40))
+    files = [*(tmp_path / "tree").rglob("part-*.txt")]
+    assert len(files) == 40 and len({f.name[:10] for f in files}) > 3
+    assert spark.conf.get(name) == before
+
+
+def test_order_files_are_put_together_once(spark, tmp_path, monkeypatch):
+    from weftgraph.plans.catalog import extraction
+
+    _suppliers(spark, tmp_path, 3)
+    spark.createDataFrame([(1, 0), (2, 1)], "c_custkey long, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(7, 1), (8, 2)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, 1, 5, 1), (7, 2, 6, 2), (8, 1, 5, 0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    given, extract = [], extraction.x.extract_symbols
+    monkeypatch.setattr(extraction.x, "extract_symbols", lambda files: given.append(files) or extract(files))
+    found = extraction.extract_order_clients(spark, str(tmp_path))
+    assert sorted((r.file_path, r.symbol_name, r.start_line, r.end_line, r.consumes_endpoint) for r in found.collect()) == [
+        ("src/orders/o7.ts", "line_1", 2, 4, "/v1/suppliers/1/parts/5"), ("src/orders/o7.ts", "line_2", 5, 7, "/v1/suppliers/2/parts/6"),
+        ("src/orders/o8.ts", "line_1", 2, 4, "/v1/suppliers/0/parts/5")]
+    assert "Window" not in given[0]._jdf.queryExecution().optimizedPlan().toString()
